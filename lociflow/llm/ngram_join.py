@@ -7,14 +7,17 @@ Two texts link when their sets of 5-word shingles have a Jaccard index of at lea
    same for all sets. The order puts very frequent shingles last and is by hash otherwise, so passages that
    many texts share seldom bring them together. Frequent ones are found over all texts: each task lists what
    fills a HEAVY-th part of it or more, the lists are summed, and at most HEAVY shingles pass.
-3. Shingles that two classes or more have among their first make blocks. In each block the texts are compared
-   with the most central one; what passes is a link, and links give first components.
-4. Blocks that still hold several components are searched by signature trees: a leaf is a set's token bitmap
-   and size, a node the OR of its children's bitmaps and the range of their sizes. Two trees are walked
-   together from the roots; a pair of nodes is dropped when its sizes can't match, when it lies in one
-   component, or when the bits in common can't reach the least overlap that its sizes ask for. A block of
-   more than TILE texts is dealt out as pairs of tiles.
-5. Pairs that the trees let through, and that no star compared, are checked on the texts. Components follow.
+3. Shingles that two classes or more have among their first make blocks. Two sets that link share even more of
+   them than one: with c common first shingles, at most c + ceil(3n/4) - 1 shingles of the larger set n are
+   common at all. Pairs of blocks of up to SMALL_BLOCK texts are counted inside the tasks and summed, those that
+   reach the least c are kept; larger blocks are kept as stars. The components of that graph are families:
+   texts that link are in one family.
+4. A family is searched by a signature tree: a leaf is a set's token bitmap and size, a node the OR of its
+   children's bitmaps and the range of their sizes. Two nodes are walked together from the roots; a pair is
+   dropped when its sizes can't match, or when the bits in common can't reach the least overlap that its sizes
+   ask for. Each text's tokens are sent once; a large family is dealt out as pairs of tiles.
+5. Of the pairs that the tree lets through a spanning forest is checked on the whole texts, and every pair
+   whose bitmaps leave it open. Should a pair of the forest fail, all pairs of its family are checked.
 
 Defined results: null, empty and wordless texts have no shingles and link with nothing; a text of fewer than 5
 words has its whole sequence as one shingle; repeated doc_ids are rows of their own with one common component;
@@ -35,13 +38,14 @@ from lociflow.llm.components import components
 WORDS, NUM, DEN = 5, 3, 4
 #: Most frequent shingles told apart: 8 MB of hashes go to each task.
 HEAVY, HEAVY_LEAST, SEGMENT = 1 << 20, 32, 1 << 22
-TILE, FAN = 2048, 8
-#: Sets up to this size have 16-bit tokens, larger ones 32-bit tokens.
-SMALL_SET = 1024
-#: Ids of documents to verify are broadcast up to this many (16 MB), joined beyond.
+#: Blocks up to this size are counted pair by pair.
+SMALL_BLOCK = 256
+#: A tile holds about so many texts, or shingles, at most; a node so many children.
+TILE, TILE_SHINGLES, FAN = 1024, 500_000, 8
+#: Ids of documents in question are broadcast up to this many (16 MB), joined beyond.
 ID_BROADCAST = 1_000_000
 
-FEATURES = "doc_id bigint, digest binary, rep bigint, n bigint, tokens binary, heavy array<bigint>, heavy_n array<bigint>"
+FEATURES = "doc_id bigint, digest binary, rep bigint, n bigint, heavy array<bigint>, heavy_n array<bigint>"
 
 
 def split(text: bytes | None) -> list[bytes]:
@@ -80,17 +84,11 @@ class HeavyCounts:
         return signed(every[keep]), n[keep].astype(np.int64)
 
 
-def tokens(hashes: np.ndarray) -> bytes:
-    """The set's bitmap as the sorted numbers of its bits: 16 or, for a large set, 32 bits of each hash."""
-    short = (hashes >> np.uint64(48)).astype(np.uint16) if len(hashes) <= SMALL_SET else (hashes >> np.uint64(32)).astype(np.uint32)
-    return np.unique(short).tobytes()
-
-
 def _features(batches):
     heavy = HeavyCounts()
     full = []
     for batch in slices(batches):
-        docs, digest, rep, size, bitmap = batch.column("doc_id").to_pylist(), [], [], [], []
+        docs, digest, rep, size = batch.column("doc_id").to_pylist(), [], [], []
         for text in texts(batch):
             words = split(text)
             own = shingles(hashed(words), WORDS)
@@ -98,19 +96,18 @@ def _features(batches):
             digest.append(xxhash.xxh3_128_digest(line) if words else None)
             rep.append(xxhash.xxh64_intdigest(line) - (1 << 63))
             size.append(len(own))
-            bitmap.append(tokens(own) if words else None)
             if (found := heavy.add(own)) is not None:
                 full.append(found)
         n = len(docs)
         lists = [pa.nulls(n, pa.list_(pa.int64()))] * 2
         yield pa.RecordBatch.from_arrays(
-            [pa.array(docs, pa.int64()), pa.array(digest, pa.binary()), pa.array(rep, pa.int64()), pa.array(size, pa.int64()), pa.array(bitmap, pa.binary()), *lists],
+            [pa.array(docs, pa.int64()), pa.array(digest, pa.binary()), pa.array(rep, pa.int64()), pa.array(size, pa.int64()), *lists],
             FEATURE_NAMES,
         )
     if (found := heavy.take()) is not None:
         full.append(found)
     for hashes, n in full:  # rows without a digest or an n carry the counts
-        one = [pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())]
+        one = [pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.int64())]
         yield pa.RecordBatch.from_arrays([*one, list_array([hashes], pa.int64()), list_array([n], pa.int64())], FEATURE_NAMES)
 
 
@@ -158,142 +155,243 @@ def _first_shingles(heavy):
     return run
 
 
+# ---------------------------------------------------------------- step 3: families
+
+
+def _count_pairs(batches):
+    """Rows come sorted by key; pairs of each block whose sizes may match, with their number of blocks in this task."""
+    held, held_key, out, size = [], None, [], 0
+
+    def close():
+        if not held:
+            return 0
+        doc, n = (np.concatenate(x) for x in zip(*held))
+        i, j = np.triu_indices(len(doc), 1)
+        ok = (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j])) & (doc[i] != doc[j])
+        i, j = i[ok], j[ok]
+        swap = doc[i] > doc[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        out.append(np.stack([doc[i], doc[j], n[i], n[j]], axis=1))
+        return len(i)
+
+    def take():
+        rows = np.concatenate(out)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        new = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)]) if len(rows) else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        count = np.diff(np.append(at, len(rows)))
+        return pa.RecordBatch.from_arrays([*(pa.array(rows[at, k]) for k in range(4)), pa.array(count.astype(np.int64))], ["a", "b", "na", "nb", "c"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, doc, n = (batch.column(c).to_numpy() for c in ("key", "doc", "n"))
+        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for a, b in zip(edges, edges[1:]):
+            if key[a] != held_key:
+                size += close()
+                held, held_key = [], key[a]
+                if size > 2_000_000:
+                    yield take()
+                    out, size = [], 0
+            held.append((doc[a:b], n[a:b]))
+    size += close()
+    if size:
+        yield take()
+
+
+def families(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, component): groups of documents outside of which no link is possible; lone documents are left out."""
+    spark = members.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small = members.filter(F.col("m") <= SMALL_BLOCK).select("key", "doc", "n").repartition(parts, "key").sortWithinPartitions("key")
+    counted = small.mapInArrow(_count_pairs, "a bigint, b bigint, na bigint, nb bigint, c bigint")
+    counted = counted.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("na").alias("na"), F.min("nb").alias("nb"))
+    large = members.filter(F.col("m") > SMALL_BLOCK)
+    # A pair may also meet in large blocks, at most as often as either of its texts is in one.
+    often = scratch.write("large-counts", large.groupBy("doc").agg(F.count(F.lit(1)).alias("l")))
+    for side in "ab":
+        counted = counted.join(often.select(F.col("doc").alias(side), F.col("l").alias(f"l{side}")), side, "left")
+    both = F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
+    wanted = F.ceil(F.lit(NUM) * (F.col("na") + F.col("nb")) / (NUM + DEN))
+    most = F.col("c") + both + F.ceil(F.lit(NUM) * F.greatest("na", "nb") / DEN) - 1
+    edges = counted.filter(most >= wanted).select("a", "b")
+    centre = large.groupBy("key").agg(F.min("doc").alias("a"))
+    stars = large.join(centre, "key").select("a", F.col("doc").alias("b")).filter("a <> b").distinct()
+    return components(edges.unionByName(stars), scratch, "families")
+
+
 # ---------------------------------------------------------------- step 4: signature trees
 
 
 class Tree:
-    """Levels of nodes from the leaves up: OR of bitmaps, size range, most tokens lost to shared bits, component."""
+    """Levels of nodes from the leaves up: OR of bitmaps, size range, most shingles that share a bit with another."""
 
-    def __init__(self, bits: np.ndarray, size: np.ndarray, lost: np.ndarray, component: np.ndarray):
-        self.levels = [(bits, size, size, lost, component)]
+    def __init__(self, bits: np.ndarray, size: np.ndarray, lost: np.ndarray):
+        self.levels = [(bits, size, size, lost)]
         while len(self.levels[-1][1]) > FAN:
-            bits, low, high, lost, component = self.levels[-1]
+            bits, low, high, lost = self.levels[-1]
             at = np.arange(0, len(low), FAN)
-            same = np.minimum.reduceat(component, at) == np.maximum.reduceat(component, at)
             self.levels.append(
-                (
-                    np.bitwise_or.reduceat(bits, at, axis=0),
-                    np.minimum.reduceat(low, at),
-                    np.maximum.reduceat(high, at),
-                    np.maximum.reduceat(lost, at),
-                    np.where(same, component[at], -1),
-                )
+                (np.bitwise_or.reduceat(bits, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(lost, at))
             )
 
+    def grow(self, height: int) -> None:
+        """Single nodes on top, so that the tree is as high as another."""
+        while len(self.levels) < height:
+            bits, low, high, lost = self.levels[-1]
+            if len(low) <= FAN:
+                self.levels.append((np.bitwise_or.reduce(bits, axis=0)[None], low.min()[None], high.max()[None], lost.max()[None]))
+
     def children(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First child and one past the last, a level below."""
         return node * FAN, np.minimum(node * FAN + FAN, len(self.levels[level - 1][1]))
 
 
-def promising(a: Tree, b: Tree, level: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which pairs of nodes may hold a pair of leaves of different components with enough overlap."""
-    bits_a, low_a, high_a, lost_a, own_a = a.levels[level]
-    bits_b, low_b, high_b, lost_b, own_b = b.levels[level]
-    ok = (high_a[x] * DEN >= NUM * low_b[y]) & (high_b[y] * DEN >= NUM * low_a[x]) & ~((own_a[x] == own_b[y]) & (own_a[x] >= 0))
-    at = np.flatnonzero(ok)
-    step = max(1, (1 << 22) // max(1, bits_a.shape[1]))
+def promising(a: Tree, b: Tree, level: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of nodes may hold a pair of leaves with enough overlap, and how many bits those have in common."""
+    bits_a, low_a, high_a, lost_a = a.levels[level]
+    bits_b, low_b, high_b, lost_b = b.levels[level]
+    at = np.flatnonzero((high_a[x] * DEN >= NUM * low_b[y]) & (high_b[y] * DEN >= NUM * low_a[x]))
+    kept, common = [], []
+    step = max(1, (1 << 21) // max(1, bits_a.shape[1]))
     for k in range(0, len(at), step):
         i = at[k : k + step]
-        common = np.bitwise_count(bits_a[x[i]] & bits_b[y[i]]).sum(1, dtype=np.int64) + np.minimum(lost_a[x[i]], lost_b[y[i]])
-        ok[i] = common >= least_overlap(low_a[x[i]] + 0, low_b[y[i]])
-    return ok
+        n = np.bitwise_count(bits_a[x[i]] & bits_b[y[i]]).sum(1, dtype=np.int64)
+        ok = n + np.minimum(lost_a[x[i]], lost_b[y[i]]) >= least_overlap(low_a[x[i]], low_b[y[i]])
+        kept.append(i[ok])
+        common.append(n[ok])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *kept]), np.concatenate([none, *common])
 
 
-def walk(a: Tree, b: Tree | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Leaves (of a, of b) that pass every test on the way down; with one tree, each pair once."""
+def walk(a: Tree, b: Tree | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaves (of a, of b) that pass every test on the way down, and their common bits; with one tree, each pair once."""
     own, b = b is None, b or a
     top = max(len(a.levels), len(b.levels)) - 1
-    for t in (a, b):  # a shorter tree stands under single nodes
-        while len(t.levels) <= top:
-            bits, low, high, lost, component = t.levels[-1]
-            same = bool((component == component[0]).all())
-            t.levels.append((np.bitwise_or.reduce(bits, axis=0)[None], low.min()[None], high.max()[None], lost.max()[None], np.array([component[0] if same else -1])))
+    a.grow(top + 1)
+    b.grow(top + 1)
     x, y = (i.ravel() for i in np.meshgrid(np.arange(len(a.levels[top][1])), np.arange(len(b.levels[top][1])), indexing="ij"))
     for level in range(top, -1, -1):
         if own:
             keep = x < y if level == 0 else x <= y
             x, y = x[keep], y[keep]
-        ok = promising(a, b, level, x, y)
+        ok, common = promising(a, b, level, x, y)
         x, y = x[ok], y[ok]
         if level == 0 or not len(x):
-            break
+            return x, y, common
         (ax, az), (bx, bz) = a.children(level, x), b.children(level, y)
-        grid = [(i, j) for i in range(FAN) for j in range(FAN)]
         nx, ny = [], []
-        for i, j in grid:
-            live = (ax + i < az) & (bx + j < bz)
-            nx.append((ax + i)[live])
-            ny.append((bx + j)[live])
+        for i in range(FAN):
+            for j in range(FAN):
+                live = (ax + i < az) & (bx + j < bz)
+                nx.append((ax + i)[live])
+                ny.append((bx + j)[live])
         x, y = np.concatenate(nx), np.concatenate(ny)
-    return x, y
-
-
-def search_block(doc: np.ndarray, size: np.ndarray, component: np.ndarray, side: np.ndarray, bitmaps: list[bytes]) -> list[tuple[int, int]]:
-    """Pairs of documents of a block that may link; only pairs across if the sides are two tiles."""
-    wide = [len(b) // 2 if n <= SMALL_SET else len(b) // 4 for b, n in zip(bitmaps, size.tolist())]
-    if (size <= SMALL_SET).any():
-        sets = [np.frombuffer(b, np.uint16) if n <= SMALL_SET else np.unique((np.frombuffer(b, np.uint32) >> 16).astype(np.uint16)) for b, n in zip(bitmaps, size.tolist())]
-        wide = [len(s) for s in sets]
-    else:
-        sets = [np.frombuffer(b, np.uint32) for b in bitmaps]
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), wide)
-    values, number, often = np.unique(flat, return_inverse=True, return_counts=True)
+    return x, y, common
+
+
+def search_family(doc: np.ndarray, size: np.ndarray, tile: np.ndarray, bitmaps: list[bytes], whole: bool) -> list[tuple[int, int, bool]]:
+    """(a, b, sure) of pairs that may link, only across if there are two tiles: a spanning forest of those that link by
+    their tokens (sure), and those that may link although their tokens don't say so; all pairs, not sure, if `whole`."""
+    sets = [np.frombuffer(b, np.uint32) for b in bitmaps]
+    width = np.array([len(x) for x in sets])
+    _, number, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.cumsum(often > 1) - 1  # a token of one set is in no overlap
     shared = often[number] > 1
-    bit, owner = rank[number[shared]], owner[shared]
-    words = int(rank[-1]) // 64 + 1 if len(rank) and rank[-1] >= 0 else 1
-    bits = np.zeros((len(sets), words), np.uint64)
+    bit, owner = rank[number[shared]], np.repeat(np.arange(len(sets)), width)[shared]
+    bits = np.zeros((len(sets), int(rank[-1]) // 64 + 1), np.uint64)
     np.bitwise_or.at(bits, (owner, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
-    lost = size - np.array(wide)
+    lost = size - width
     # Neighbours in the order of size and first token are likely alike, which keeps the upper bitmaps sparse.
-    order = np.lexsort((np.array([s[0] if len(s) else 0 for s in sets]), size))
+    order = np.lexsort((np.array([x[0] for x in sets]), size))
+    left, right = order[tile[order] == tile.min()], order[tile[order] != tile.min()]
+    trees = [Tree(bits[at], size[at], lost[at]) for at in (left, right) if len(at)]
+    x, y, common = walk(*trees)
+    x, y = left[x], (right if len(right) else left)[y]
+    links = enough(common, size[x], size[y])
+    if whole:
+        return [(min(p), max(p), False) for p in zip(doc[x].tolist(), doc[y].tolist()) if p[0] != p[1]]
+    parent = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    found = []
+    for sure in (True, False):
+        at = links == sure
+        for i, j in zip(x[at].tolist(), y[at].tolist()):
+            r, q = root(i), root(j)
+            if r != q:
+                if sure:
+                    parent[r] = q
+                if doc[i] != doc[j]:
+                    found.append((min(int(doc[i]), int(doc[j])), max(int(doc[i]), int(doc[j])), sure))
+    return found
+
+
+def _tokens(batches):
+    """The set's bitmap as the sorted numbers of its bits, 32 bits of each shingle's hash."""
+    for batch in slices(batches):
+        size, bitmap = [], []
+        for text in texts(batch):
+            own = shingles(hashed(split(text)), WORDS)
+            size.append(len(own))
+            bitmap.append(np.unique((own >> np.uint64(32)).astype(np.uint32)).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(bitmap, pa.binary())], ["doc", "n", "tokens"])
 
-    def tree(at: np.ndarray) -> Tree:
-        return Tree(bits[at], size[at], lost[at], component[at])
 
-    if (side == side[0]).all():
-        x, y = walk(tree(order))
-        pairs = zip(doc[order[x]].tolist(), doc[order[y]].tolist())
-    else:
-        left, right = order[side[order] == side.min()], order[side[order] != side.min()]
-        x, y = walk(tree(left), tree(right))
-        pairs = zip(doc[left[x]].tolist(), doc[right[y]].tolist())
-    return [(min(p), max(p)) for p in pairs]
+def _search(whole: bool):
+    """Rows come sorted by (family, tile_a, tile_b); a group may run over several batches, and is at most two tiles."""
 
+    def close(held):
+        table = pa.Table.from_batches(held)
+        found = search_family(*(table.column(c).to_numpy() for c in ("doc", "n", "tile")), table.column("tokens").to_pylist(), whole)
+        columns = list(zip(*found)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_())], ["a", "b", "sure"])
 
-def _search(batches):
-    """Rows come sorted by (key, tile_a, tile_b); a block may run over several batches, and is at most two tiles."""
-    held, held_key = [], None
+    def run(batches):
+        held, held_key = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("family", "tile_a", "tile_b")], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, b in zip(edges, edges[1:]):
+                key = tuple(keys[a].tolist())
+                if held and key != held_key:
+                    yield close(held)
+                    held = []
+                held_key = key
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield close(held)
 
-    def close():
-        if not held:
-            return set()
-        table = pa.Table.from_batches(held)
-        columns = [table.column(c).to_numpy() for c in ("doc", "n", "component", "tile")]
-        return set(search_block(*columns, table.column("tokens").to_pylist()))
+    return run
 
-    found: set[tuple[int, int]] = set()
 
-    def out(rows):
-        rows = sorted(rows)
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in rows], pa.int64()), pa.array([p[1] for p in rows], pa.int64())], ["a", "b"])
+def in_question(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of (doc_id, text) whose id is in ids (doc_id), a written table."""
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= ID_BROADCAST else ids, "doc_id", "left_semi")
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "tile_a", "tile_b")], axis=1)
-        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-        for a, b in zip(edges, edges[1:]):
-            key = tuple(keys[a].tolist())
-            if key != held_key:
-                found |= close()
-                held, held_key = [], key
-                if len(found) > 200_000:  # pairs met again after this are made distinct by the shuffle
-                    yield out(found)
-                    found = set()
-            held.append(batch.slice(a, b - a))
-    found |= close()
-    yield out(found)
+
+def search(docs: DataFrame, family: DataFrame, scratch: Scratch, whole: bool, name: str) -> DataFrame:
+    """(a, b, sure) of all families (id, component); see search_family."""
+    ids = scratch.write(f"{name}-ids", family.select(F.col("id").alias("doc_id")))
+    each = in_question(docs, ids).mapInArrow(_tokens, "doc bigint, n bigint, tokens binary").join(family, F.col("doc") == F.col("id")).drop("id")
+    each = scratch.write(f"{name}-tokens", each.withColumnRenamed("component", "family"))
+    count = each.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
+    tiled = each.join(count, "family").withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = tiled.withColumn("tile_a", F.least("tile", "other")).withColumn("tile_b", F.greatest("tile", "other")).drop("other", "tiles")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tiled.repartition(parts, "family", "tile_a", "tile_b").sortWithinPartitions("family", "tile_a", "tile_b")
+    pairs = scratch.write(f"{name}-pairs", dealt.mapInArrow(_search(whole), "a bigint, b bigint, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")))
+    scratch.drop(f"{name}-tokens")
+    return pairs
 
 
 # ---------------------------------------------------------------- exact check
@@ -316,17 +414,13 @@ def _verify(batches):
 
 def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) whose whole texts link. The texts of the documents in question are set apart first."""
-    pairs = scratch.write(f"{name}-pairs", pairs)
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    ids = scratch.write(f"{name}-ids", ids)
-    wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= ID_BROADCAST else ids, "doc_id", "left_semi")
-    # A doc_id that stands for a class is the least id of rows with equal words; other rows of that id are of other classes only if ids repeat.
-    wanted = scratch.write(f"{name}-texts", wanted)
+    ids = scratch.write(f"{name}-verify", pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    wanted = scratch.write(f"{name}-texts", in_question(docs, ids))
     left = wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
     links = scratch.write(f"{name}-links", both.mapInArrow(_verify, "a bigint, b bigint").distinct())
-    scratch.drop(f"{name}-ids", f"{name}-texts")
+    scratch.drop(f"{name}-texts")
     return links
 
 
@@ -339,44 +433,29 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     features = scratch.write("features", docs.mapInArrow(_features, FEATURES))
     heavy = spark.sparkContext.broadcast(heavy_shingles(features))
-    rows = features.filter("n IS NOT NULL").select("doc_id", "digest", "rep", "n", "tokens")
-    classes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.min("rep").alias("rep"), F.min("n").alias("n"))
-    classes = scratch.write("classes", classes)
+    rows = features.filter("n IS NOT NULL").select("doc_id", "digest", "n")
+    known = features.filter("digest IS NOT NULL").groupBy("digest")
+    classes = scratch.write("classes", known.agg(F.min("doc_id").alias("doc"), F.min("rep").alias("rep"), F.min("n").alias("n")))
 
     key = Window.partitionBy("key")
     first = docs.mapInArrow(_first_shingles(heavy), "key bigint, rep bigint")
     shared = first.withColumn("lo", F.min("rep").over(key)).withColumn("hi", F.max("rep").over(key)).filter("lo < hi")
     shared = scratch.write("shared", shared.select("key", "rep").distinct())
-
-    # The text with the largest part of its first shingles in blocks is the most central of a block.
-    met = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("met"))
-    known = classes.join(met, "rep").select("rep", "doc", "n", (F.col("met") / F.col("n")).alias("central"))
-    members = scratch.write("members", shared.join(known, "rep").select("key", "doc", "n", "central"))
-    centre = F.max(F.struct("central", (-F.col("doc")).alias("least"))).over(key)
-    stars = members.select("key", "doc", "n", (-centre["least"]).alias("centre"), F.count(F.lit(1)).over(key).alias("m"))
-    pairs = stars.filter("doc <> centre").select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
-    links = verified(pairs, docs, scratch, "star")
-    reached = components(links, scratch, "star-components")
-
-    blocks = members.join(reached.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    size, low, high = F.count(F.lit(1)).over(key), F.min("component").over(key), F.max("component").over(key)
-    blocks = blocks.withColumn("m", size).withColumn("low", low).withColumn("high", high).filter("m > 2 AND low < high")
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    blocks = blocks.select("key", "doc", "n", "component", F.pmod(F.xxhash64("doc"), tiles).cast("int").alias("tile"), tiles.alias("tiles"))
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    blocks = blocks.withColumn("tile_a", F.least("tile", "other")).withColumn("tile_b", F.greatest("tile", "other")).drop("other", "tiles")
-    blocks = scratch.write("blocks", blocks)
-    bitmaps = rows.select(F.col("doc_id").alias("doc"), "tokens").filter("tokens IS NOT NULL")
-    needed = scratch.write("block-docs", blocks.select("doc").distinct())
-    bitmaps = bitmaps.join(F.broadcast(needed) if needed.count() <= ID_BROADCAST else needed, "doc", "left_semi").dropDuplicates(["doc"])
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = blocks.join(bitmaps, "doc").repartition(parts, "key", "tile_a", "tile_b").sortWithinPartitions("key", "tile_a", "tile_b")
-    passed = dealt.mapInArrow(_search, "a bigint, b bigint").distinct().join(scratch.read("star-pairs", pairs), ["a", "b"], "left_anti")
-    more = verified(passed, docs, scratch, "tree")
-
-    final = components(links.unionByName(more), scratch, "components")
+    members = shared.join(classes.select("rep", "doc", "n"), "rep").select("key", "doc", "n").withColumn("m", F.count(F.lit(1)).over(key))
+    family = families(scratch.write("members", members), scratch)
+    family = scratch.write("family", family)
+
+    pairs = search(docs, family, scratch, False, "forest")
+    links = verified(pairs, docs, scratch, "forest")
+    failed = pairs.filter("sure").join(links, ["a", "b"], "left_anti").select(F.col("a").alias("id")).join(family, "id").select("component").distinct()
+    failed = scratch.write("failed", failed)
+    if not failed.isEmpty():
+        again = search(docs, family.join(failed, "component", "left_semi").select("id", "component"), scratch, True, "whole")
+        links = links.unionByName(verified(again, docs, scratch, "whole"))
+
+    final = components(links, scratch, "components")
     labelled = classes.join(final, F.col("doc") == F.col("id"), "left").select("digest", F.coalesce("component", "doc").alias("component_id"))
-    out = rows.select("doc_id", "digest", "n").join(labelled, "digest", "left")
+    out = rows.join(labelled, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
