@@ -36,10 +36,10 @@ from lociflow.llm.common import Scratch, hashed, list_array, shingles, signed, s
 from lociflow.llm.components import components
 
 WORDS, NUM, DEN = 5, 3, 4
-#: Most frequent shingles told apart: 8 MB of hashes go to each task.
-HEAVY, HEAVY_LEAST, SEGMENT = 1 << 20, 32, 1 << 22
+#: Most frequent shingles told apart: 32 MB of hashes go to each task.
+HEAVY, HEAVY_LEAST, SEGMENT = 1 << 22, 32, 1 << 22
 #: Blocks up to this size are counted pair by pair.
-SMALL_BLOCK = 256
+SMALL_BLOCK = 64
 #: A tile holds about so many texts, or shingles, at most; a node so many children.
 TILE, TILE_SHINGLES, FAN = 1024, 500_000, 8
 #: Ids of documents in question are broadcast up to this many (16 MB), joined beyond.
