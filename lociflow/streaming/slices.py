@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None, name_filter: str | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
-    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
+    for option, value in (("maxFilesPerTrigger", files_per_batch), ("pathGlobFilter", name_filter)):
+        reader = reader.option(option, value) if value else reader
+    return reader.parquet(path)
 
 
 def append_all(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
