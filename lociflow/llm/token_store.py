@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +44,14 @@ def tokenizer_path() -> str:
 
 
 class WordEncoder:
-    """Token ids of words, kept for up to `limit` words: `index` gives a word's entry in the pool of ids."""
+    """Token ids of words, kept for up to `limit` words.
+
+    A word is one or two atoms: letters or digits, and the sentence marks after them, are different pre-tokens.
+    `index` numbers the words, `parts` has their atoms' numbers, and the pool has the atoms' ids end to end.
+    """
 
     limit = 600_000
+    tails = b".,;:!?"
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,68 +64,68 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
+        """Atom 0 has no ids, atom 1 is the end; word 0 is the end."""
         self.index: dict[bytes, int] = {b"": 0}
-        self.atoms: dict[str, list[int]] = {}
-        self.pool, self.start, self.size = [np.array([self.end_id], np.int32)], [np.zeros(1, np.int64)], [np.ones(1, np.int64)]
-        self.used, self.count = 1, 1
-
-    def _encode_atoms(self, atoms: list[str]) -> None:
-        # A word of letters alone is one pre-token, so such words can be encoded as one text and parted at the closing tokens.
-        plain = [a for a in atoms if a.isalpha()]
-        if plain:
-            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, np.int64)
-            last = np.flatnonzero(self.closes[ids]) + 1
-            if len(last) == len(plain) and last[-1] == len(ids):
-                ids = ids.tolist()
-                self.atoms.update(zip(plain, (ids[a:b] for a, b in zip([0, *last[:-1].tolist()], last.tolist()))))
-        rest = [a for a in atoms if a not in self.atoms]
-        for a, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False) if rest else []):
-            self.atoms[a] = e.ids
-
-    @staticmethod
-    def _parts(word: bytes) -> list[str]:
-        """Letters or digits and the punctuation after them are different pre-tokens; ASCII letters are lower-cased anyway."""
-        text = word.decode()
-        core = text.rstrip(".,;:!?")
-        if not core or not core[-1].isalnum():
-            return [text]
-        tail = text[len(core) :]
-        core = core.lower() if core.isascii() else core
-        return [core, tail] if tail else [core]
+        self.atoms: dict[bytes, int] = {}
+        self.parts = np.array([[1, 0]], np.int32)
+        self.pool, self.size = np.array([self.end_id], np.int32), np.array([0, 1], np.int32)
+
+    def _cut(self, word: bytes) -> tuple[bytes, bytes]:
+        core = word.rstrip(self.tails)
+        if len(core) == len(word) or not core or not (core[-1:].isalnum() or (core[-1] >= 0x80 and core.decode()[-1].isalnum())):
+            return word, b""
+        return core, word[len(core) :]
+
+    def _learn_atoms(self, new: list[bytes]) -> None:
+        text = [a.decode() for a in new]
+        # Letters alone are one pre-token, so such atoms can be encoded as one text and parted at the closing tokens.
+        plain = [i for i, a in enumerate(text) if a.isalpha()]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join([text[i] for i in plain])], add_special_tokens=False)[0].ids, np.int32)
+        last = np.flatnonzero(self.closes[ids]) + 1
+        if len(last) != len(plain):
+            plain, ids, last = [], ids[:0], last[:0]
+        rest = sorted(set(range(len(new))).difference(plain))
+        each = [e.ids for e in self.tokenizer.encode_batch_fast([text[i] for i in rest], add_special_tokens=False)] if rest else []
+        self.atoms.update(zip((new[i] for i in [*plain, *rest]), range(len(self.size), len(self.size) + len(new))))
+        self.size = np.concatenate([self.size, np.diff(last, prepend=0).astype(np.int32), np.fromiter(map(len, each), np.int32, len(each))])
+        self.pool = np.concatenate([self.pool, ids, np.fromiter(chain.from_iterable(each), np.int32)])
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.index]
         if not new:
             return
-        parts = [self._parts(w) for w in new]
-        unknown = list({a for p in parts for a in p if a not in self.atoms})
-        self._encode_atoms(unknown)
-        ids = [self.atoms[p[0]] if len(p) == 1 else self.atoms[p[0]] + self.atoms[p[1]] for p in parts]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
-        self.index.update(zip(new, range(self.count, self.count + len(new))))
-        self.pool.append(flat)
-        self.start.append(self.used + np.cumsum(size) - size)
-        self.size.append(size)
-        self.count += len(new)
-        self.used += len(flat)
+        cut = list(map(self._cut, new))
+        unknown = set(chain.from_iterable(cut)).difference(self.atoms)
+        unknown.discard(b"")
+        if unknown:
+            self._learn_atoms(list(unknown))
+        number = self.atoms.get
+        parts = np.fromiter((number(a, 0) for c in cut for a in c), np.int32, 2 * len(cut)).reshape(-1, 2)
+        self.index.update(zip(new, range(len(self.parts), len(self.parts) + len(new))))
+        self.parts = np.concatenate([self.parts, parts])
 
     def encode(self, batch: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and where each text's ids begin (one more entry: the end)."""
-        lists = [(t.split() if t else []) + [b""] for t in batch]
+        # The tokenizer lower-cases all but its special tokens.
+        lists = [[*((t if b"<|" in t else t.lower()).split() if t else ()), b""] for t in batch]
         if len(self.index) > self.limit:
             self.clear()
-        words = set().union(*lists)
-        self.learn(words)
-        self.pool, self.start, self.size = ([np.concatenate(x)] for x in (self.pool, self.start, self.size))
-        n = sum(map(len, lists))
-        entry = np.fromiter((self.index[w] for x in lists for w in x), np.int64, n)
-        size = self.size[0][entry]
-        begin = np.cumsum(size) - size
-        flat = self.pool[0][np.repeat(self.start[0][entry] - begin, size) + np.arange(int(size.sum()))]
-        last = np.cumsum([len(x) for x in lists]) - 1
-        ends = np.concatenate([[0], (begin + size)[last]]) if lists else np.zeros(1, np.int64)
-        return flat, ends
+        self.learn(set().union(*lists))
+        word = np.fromiter(map(self.index.__getitem__, chain.from_iterable(lists)), np.int32, sum(map(len, lists)))
+        atom = self.parts[word]
+        size = self.size[atom]
+        words_end = np.cumsum(size.sum(1, dtype=np.int64))
+        ends = np.concatenate([np.zeros(1, np.int64), words_end[np.cumsum(list(map(len, lists))) - 1]]) if lists else np.zeros(1, np.int64)
+        atom, size = atom.ravel(), size.ravel()
+        atom, size = atom[size > 0], size[size > 0]
+        start = np.cumsum(self.size, dtype=np.int64) - self.size
+        step = np.ones(int(size.sum()), np.int64)  # the running sum of steps walks through the pool
+        begin = np.cumsum(size, dtype=np.int64) - size
+        first = start[atom]
+        step[begin[1:]] = first[1:] - first[:-1] - size[:-1] + 1
+        if len(step):
+            step[0] = first[0]
+        return self.pool[np.cumsum(step)], ends
 
 
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
