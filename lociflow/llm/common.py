@@ -89,6 +89,24 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+#: What each kind of task remembers in a Python worker, by name: how to forget it.
+_MEMORIES: dict = {}
+_holder = [""]
+
+
+def remember(name: str, forget) -> None:
+    _MEMORIES[name] = forget
+
+
+def claim(name: str) -> None:
+    """A worker serves many kinds of tasks in turn; only one of them keeps its memory at a time."""
+    if _holder[0] != name:
+        for other, forget in _MEMORIES.items():
+            if other != name:
+                forget()
+        _holder[0] = name
+
+
 class WordHashes(dict):
     """64-bit hash of a word, remembered for up to `limit` words in each Python worker."""
 
@@ -102,9 +120,11 @@ class WordHashes(dict):
 
 
 _HASHES = WordHashes()
+remember("hashes", _HASHES.clear)
 
 
 def hashed(words: list[bytes]) -> np.ndarray:
+    claim("hashes")
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 

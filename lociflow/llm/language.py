@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import fold, mix, slices, texts
+from lociflow.llm.common import claim, fold, mix, remember, slices, texts
 
 DOCS_PER_LANG, EM_ROUNDS, MAX_PIECE, MAX_WORD = 300, 3, 8, 40
 #: Probability of a letter that no piece covers, the same in all languages.
@@ -49,7 +49,7 @@ def _codes(words: list[str]) -> np.ndarray:
 class Vocabulary:
     """Piece numbers of all substrings of many words at once, by a polynomial hash and two address tables."""
 
-    bits = 21
+    bits = 19
 
     def __init__(self, names: list[str]):
         self.size = len(names)
@@ -60,7 +60,7 @@ class Vocabulary:
             self.hashes[rows] = self._prefixes(_codes([names[i] for i in rows]))[:, -1]
         self.tables = []
         left = np.arange(len(names))
-        for shift in (0, 21, 42):  # each takes one piece a slot; what doesn't fit goes to the next
+        for shift in (0, 19, 38):  # each takes one piece a slot; what doesn't fit goes to the next
             slot = self._slot(self.hashes[left], shift)
             _, first = np.unique(slot, return_index=True)
             table = np.full(1 << self.bits, -1, np.int32)
@@ -158,22 +158,35 @@ def spelled(word: bytes) -> list[str]:
 
 
 class Model:
-    """Languages, piece probabilities, and the words scored so far in this Python worker."""
-
-    limit = 400_000
+    """Languages and piece probabilities."""
 
     def __init__(self, languages: list[str], names: list[str], chance: np.ndarray):
         self.languages, self.names, self.chance = languages, names, chance
 
-    def __getstate__(self):
-        return {"languages": self.languages, "names": self.names, "chance": self.chance}
+    def score(self, batch: list[bytes | None]) -> tuple[list[str], np.ndarray]:
+        """Language and posterior of each text."""
+        claim("language")
+        if _MEMORY.get("model") is not self:
+            _MEMORY.clear()
+            _MEMORY.update(model=self, words=ScoredWords(self))
+        return _MEMORY["words"].score(batch)
+
+
+#: The model in use in this Python worker, and the words that it has scored.
+_MEMORY: dict = {}
+remember("language", _MEMORY.clear)
+
+
+class ScoredWords:
+    """Log probabilities of the words met so far, up to about `limit`."""
+
+    limit = 300_000
 
-    def __setstate__(self, state):
-        self.__dict__.update(state)
+    def __init__(self, model: Model):
+        self.languages, self.chance, self.vocabulary = model.languages, model.chance, Vocabulary(model.names)
         self.clear()
 
     def clear(self) -> None:
-        self.vocabulary = getattr(self, "vocabulary", None) or Vocabulary(self.names)
         self.index: dict[bytes, int] = {}
         #: A word's log probabilities, and in the last column whether it has a letter.
         self.rows = [np.zeros((0, len(self.languages) + 1))]
@@ -265,7 +278,7 @@ def fit(labelled: DataFrame, vocabulary_path: str | None = None, docs_per_lang:
 
 def _predict(model):
     def run(batches):
-        for batch in slices(batches, limit=4 << 20):
+        for batch in slices(batches):
             langs, score = model.value.score(texts(batch))
             yield pa.RecordBatch.from_arrays(
                 [*batch.select([n for n in batch.schema.names if n != "text"]).columns, pa.array(langs, pa.string()), pa.array(score)],
@@ -285,7 +298,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def _keep(model, least: float):
     def run(batches):
-        for batch in slices(batches, limit=4 << 20):
+        for batch in slices(batches):
             langs, score = model.value.score(texts(batch))
             yield batch.filter(pa.array([lang != "und" and p >= least for lang, p in zip(langs, score.tolist())], pa.bool_()))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import Scratch, slices, texts
+from lociflow.llm.common import Scratch, claim, remember, slices, texts
 
 TOKENS = "part int, doc_id bigint, local_start bigint, n_tokens bigint, ids array<int>"
 #: Row groups of 16 MB, pages of 64 KB, version 2 pages with delta encodings where a dictionary doesn't pay.
@@ -129,9 +129,11 @@ class WordEncoder:
 
 
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+remember("tokens", _ENCODERS.clear)
 
 
 def encoder(path: str, end_id: int) -> WordEncoder:
+    claim("tokens")
     if (path, end_id) not in _ENCODERS:
         _ENCODERS[path, end_id] = WordEncoder(path, end_id)
     return _ENCODERS[path, end_id]
