@@ -144,7 +144,7 @@ def _encode(path: str, end_id: int):
         from pyspark import TaskContext
 
         part, start, words = TaskContext.get().partitionId(), 0, encoder(path, end_id)
-        for batch in slices(batches, limit=4 << 20):
+        for batch in slices(batches, limit=1 << 20):  # the words of a piece are objects, some 60 bytes each
             flat, ends = words.encode(texts(batch))
             size = np.diff(ends)
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
