@@ -74,7 +74,10 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each piece holds about `limit` bytes of text (a longer text stands alone)."""
+    """Cut record batches so that each piece holds about `limit` bytes of text (a longer text stands alone).
+
+    After each batch Arrow gives back what it keeps for later: workers share an executor's memory.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -83,6 +86,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)
+        del batch, size, part
+        pa.default_memory_pool().release_unused()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
