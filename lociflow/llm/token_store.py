@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from itertools import chain
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +73,10 @@ class WordEncoder:
 
     def _cut(self, word: bytes) -> tuple[bytes, bytes]:
         core = word.rstrip(self.tails)
-        if len(core) == len(word) or not core or not (core[-1:].isalnum() or (core[-1] >= 0x80 and core.decode()[-1].isalnum())):
+        if len(core) == len(word) or not core:
+            return word, b""
+        # Some letters end in a combining mark once they are normalised, and such a mark is one pre-token with what follows.
+        if not (core[-1:].isalnum() or (core[-1] >= 0x80 and normalize("NFC", core.decode()).lower()[-1:].isalnum())):
             return word, b""
         return core, word[len(core) :]
 
@@ -106,8 +110,8 @@ class WordEncoder:
 
     def encode(self, batch: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and where each text's ids begin (one more entry: the end)."""
-        # The tokenizer lower-cases all but its special tokens.
-        lists = [[*((t if b"<|" in t else t.lower()).split() if t else ()), b""] for t in batch]
+        # The tokenizer lower-cases all but its special tokens, after NFC: beside combining marks (U+0300 to U+037F) the order tells.
+        lists = [[*((t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() if t else ()), b""] for t in batch]
         if len(self.index) > self.limit:
             self.clear()
         self.learn(set().union(*lists))

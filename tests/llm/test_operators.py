@@ -140,6 +140,16 @@ def test_token_store(spark):
     assert token_store.read_metadata(spark, path).count() == len(texts)
 
 
+def test_words_that_normalise_to_marks():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_store.tokenizer_path())
+    words = ["\u09b9\u09df,", "\u092a\u0947\u095c,", "\u092a\u0947\u0921\u093c,", "\u09aa\u09c7\u09dc.", "AL\u0130.", "\u0130?!", "\u00e9,", "ΣΑΣ.", "H\u0331a", "T\u0308,", "T\u0344 J\u030c"]
+    flat, ends = token_store.WordEncoder(token_store.tokenizer_path(), 1).encode([w.encode() for w in words])
+    for w, a, b in zip(words, ends, ends[1:]):
+        assert flat[a:b].tolist() == tok.encode(w, add_special_tokens=False).ids + [1], ascii(w)
+
+
 def test_mixing(spark):
     rng = random.Random(2)
     rows = [(i, " ".join("w" for _ in range(rng.randrange(60))) or None, "en", rng.choice(["a", "b", "c", "d", None]), 0) for i in range(500)]
