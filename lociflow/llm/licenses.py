@@ -1,12 +1,18 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates. DataFrame functions only.
 
-A text's segments are its lines and, where it has blank lines, its paragraphs. A segment and a template are
-lower-cased (A-Z), runs of other characters than letters and digits of ASCII become blanks, and their sets of
+A text's segments are its lines, where it has blank lines its paragraphs, and runs of neighbouring lines up to the
+whole text. A segment and a template are lower-cased (A-Z), runs of other characters than letters and digits of ASCII become blanks, and their sets of
 word bigrams are compared. Dice of at least t asks for sizes between t / (2 - t) and (2 - t) / t of the
 template's, so the join is an equi-join on the size, and a segment meets only templates that fit. Before
 that, a segment must hold one of the templates' anchors: words that touch more of a template's bigrams than
 a match may lack.
 
+Runs of lines (lines without a word left out) are only formed in texts that hold as many of a template's bigrams as
+a match needs; they begin where a bigram of the template does and have at most twice as many words as the largest
+admissible size, repeated ones included. Of matching lines, paragraphs and runs that overlap the best one stands for
+the passage (ties: fewer lines, licence, template, the first); a run counts if it is that one. Lines and paragraphs
+count anyhow.
+
 Defined results: null and empty texts, and segments of one word, match nothing; several segments of one licence
 count together with the best one's values; a tie between templates goes to the smaller (licence, template);
 repeated doc_ids count as one document; other columns are ignored.
@@ -17,7 +23,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociflow.llm.common import LOWER, UPPER, ascii_lower
@@ -94,15 +100,60 @@ def segments(docs: DataFrame) -> DataFrame:
     return parts.select("doc_id", "segment", F.split(plain, " ").alias("words"))
 
 
+def _plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(ascii_lower(text), "[^a-z0-9]+", " "))
+
+
+def _bigrams(words: Column) -> Column:
+    after = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, 1, after), F.slice(words, 2, after), lambda a, b: F.concat_ws(" ", a, b)))
+
+
+def runs(docs: DataFrame, templates: DataFrame, anchor: list[str], all_bigrams: list[str], least: float) -> DataFrame:
+    """(doc_id, segment, d, license_id, template_id): matching runs of lines that are better than what they overlap."""
+    spread = docs.filter(F.contains("text", F.lit("\n"))).select("doc_id", "text", F.split(_plain(F.col("text")), " ").alias("words"))
+    spread = spread.filter(F.arrays_overlap("words", F.array(*map(F.lit, anchor))))
+    known = F.array_intersect(_bigrams(F.col("words")), F.array(*map(F.lit, all_bigrams)))
+    spread = spread.select("doc_id", "text", known.alias("known")).filter(F.size("known") > 0)
+    need = F.ceil(least / (2 - least) * F.size("template") - 1e-9)
+    held = spread.join(F.broadcast(templates), F.size(F.array_intersect("known", "template")) >= need)
+    lines = F.filter(F.transform(F.split("text", "\n"), _plain), lambda x: x != "")
+    paragraphs = F.transform(F.filter(F.split("text", "\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n")) & F.col("text").rlike("\n[ \t\r]*\n")), _plain)
+    most = F.floor((2 - least) / least * F.size("template") + 1e-9).cast("int")
+    held = held.select("doc_id", F.xxhash64("text").alias("t"), "license_id", "template_id", "template", lines.alias("lines"), paragraphs.alias("paragraphs"), most.alias("most"))
+    begun = held.select("*", F.posexplode("lines").alias("i", "line")).withColumn("ahead", F.slice("lines", F.col("i") + 1, 2 * F.col("most") + 1)).drop("lines")
+    begun = begun.filter(F.arrays_overlap(_bigrams(F.split(F.array_join(F.slice("ahead", 1, 2), " "), " ")), F.col("template")))
+    run = begun.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("ahead")))).withColumn("run", F.array_join(F.slice("ahead", F.lit(1), F.col("k")), " "))
+    run = run.withColumn("words", F.split("run", " ")).filter((F.size("words") <= 2 * F.col("most") + 1) | (F.col("k") == 1))
+    run = run.withColumn("bigrams", _bigrams(F.col("words"))).filter(F.size("bigrams") <= F.col("most"))
+    dice = F.lit(2.0) * F.size(F.array_intersect("bigrams", "template")) / (F.size("bigrams") + F.size("template"))
+    own = (F.col("k") > 1) & ~F.array_contains("paragraphs", F.col("run"))
+    met = run.withColumn("dice", dice).filter(F.col("dice") >= least)
+    met = met.select("doc_id", "t", "i", "k", F.struct((-F.col("dice")).alias("d"), "k", "license_id", "template_id", "i", own.alias("own")).alias("hit"))
+    by = Window.partitionBy("doc_id", "t").orderBy("i", "k", "hit")
+    reach = F.max(F.col("i") + F.col("k")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    met = met.withColumn("apart", (F.col("i") >= reach).cast("int")).withColumn("passage", F.sum(F.coalesce("apart", F.lit(0))).over(by))
+    hits = met.groupBy("doc_id", "t", "passage").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+    # The best first; one that overlaps a chosen one is left out.
+    chosen = F.aggregate(
+        "hits",
+        F.slice("hits", 1, 0),
+        lambda kept, x: F.when(F.exists(kept, lambda y: (y["i"] < x["i"] + x["k"]) & (x["i"] < y["i"] + y["k"])), kept).otherwise(F.concat(kept, F.array(x))),
+    )
+    best = hits.select("doc_id", F.explode(chosen).alias("hit")).filter("hit.own")
+    return best.select("doc_id", F.concat_ws("+", "hit.i", "hit.k").alias("segment"), "hit.d", "hit.license_id", "hit.template_id")
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, least: float = LEAST) -> DataFrame:
     """(doc_id, license_id, template_id, dice, n_segments): licences found in documents, with their best template."""
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
-    rows, anchor = [], set()
+    rows, whole, anchor = [], [], set()
     for licence, template, text in templates:
         bigrams = bigrams_of(text)
         if bigrams:
             anchor.update(anchors(text, least))
+            whole.append((licence, template, bigrams))
             low, high = math.ceil(least / (2 - least) * len(bigrams) - 1e-9), math.floor((2 - least) / least * len(bigrams) + 1e-9)
             rows += [(n, licence, template, bigrams) for n in range(max(1, low), high + 1)]
     known = spark.createDataFrame(rows, "n int, license_id string, template_id string, template array<string>")
@@ -114,6 +165,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, l
     met = met.withColumn("dice", F.lit(2.0) * shared / (F.col("n") + F.size("template"))).filter(F.col("dice") >= least)
     order = F.struct((-F.col("dice")).alias("d"), "license_id", "template_id")
     best = met.groupBy("doc_id", "segment").agg(F.min(order).alias("best")).select("doc_id", "segment", "best.*")
+    if whole:
+        entire = spark.createDataFrame(whole, "license_id string, template_id string, template array<string>")
+        more = runs(docs.select("doc_id", "text"), entire, sorted(anchor), sorted({b for _, _, t in whole for b in t}), least)
+        more = more.groupBy("doc_id", "segment").agg(F.min(F.struct("d", "license_id", "template_id")).alias("best"))
+        best = best.withColumn("segment", F.col("segment").cast("string")).unionByName(more.select("doc_id", "segment", "best.*"))
     found = best.groupBy("doc_id", "license_id").agg(F.min(F.struct("d", "template_id")).alias("best"), F.count(F.lit(1)).alias("n_segments"))
     return found.select("doc_id", "license_id", "best.template_id", F.round(-F.col("best.d"), 6).alias("dice"), "n_segments")
 

@@ -225,6 +225,32 @@ def test_licenses(spark):
         assert 2 * len(without) / (len(without) + len(own)) < licenses.LEAST
 
 
+def test_licenses_in_wrapped_lines(spark):
+    import textwrap
+
+    text = {(k, n): t for k, n, t in licenses.TEMPLATES}
+    wrapped = {key: textwrap.wrap(t, 60) for key, t in text.items()}
+    grant, header, warranty = wrapped["MIT", "grant"], wrapped["GPL-3.0", "header"], wrapped["MIT", "warranty"]
+    texts = [
+        "\n".join(grant),
+        "some code\n" + "\n".join(grant) + "\nmore code here",
+        "/*\n * " + "\n * ".join(["Copyright (c) 2020 Someone", "", *grant, "", *warranty]) + "\n */",
+        "# a\n# " + "\n# ".join(header) + "\n#\nx = 1",
+        "\n".join(grant) + "\n\nend",
+        "Released under the MIT License.\nyes",
+        "\n".join(wrapped["Apache-2.0", "header-1"]),
+        "\n".join(grant[:3]) + "\n" + "other words only\n" * 40,
+    ]
+    got = {r.doc_id: (r.license_id, r.template_id, r.dice, r.n_segments) for r in licenses.scan(frame(spark, texts, extra=True)).collect()}
+    assert got[0] == got[1] == ("MIT", "grant", 1.0, 1)
+    assert got[2][0] == "MIT" and got[2][2:] == (1.0, 2)
+    assert got[3] == ("GPL-3.0", "header", 1.0, 1)
+    assert got[4] == ("MIT", "grant", 1.0, 1)  # the paragraph has it already
+    assert got[5] == ("MIT", "notice", 1.0, 1)
+    assert got[6][:3] == ("Apache-2.0", "header-1", 1.0)
+    assert 7 not in got
+
+
 def synthetic(rng, lang):
     letters = {"en": "aeiouthns", "xx": "kqzwyáíóú"}[lang]
     return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(40))
