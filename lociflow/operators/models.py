@@ -93,8 +93,7 @@ def search(df: DataFrame, space: dict[str, list], n: int, key: str, group: str,
     return df.sparkSession.createDataFrame(rows, "trial int, params string, mcc double, auroc double, auprc double, brier double, objective double, seconds double")
 
 
-def project(df: DataFrame, key: str, embedding: str, k: int = 2, most: int = 8000, seed: int = 42) -> DataFrame:
-    """(key, x): principal components of non-zero embeddings, of a subsample of at most `most` rows."""
-    rows = sampling.subsample(df.filter(F.exists(embedding, lambda v: v != 0)), most, key, seed)
-    rows = rows.select(key, array_to_vector(embedding).alias("_v"))
+def project(df: DataFrame, key: str, embedding: str, k: int = 2) -> DataFrame:
+    """(key, x): principal components of all non-zero embeddings; `sampling.subsample` the rows first for a sample's."""
+    rows = df.filter(F.exists(embedding, lambda v: v != 0)).select(key, array_to_vector(embedding).alias("_v"))
     return PCA(k=k, inputCol="_v", outputCol="_p").fit(rows).transform(rows).select(key, vector_to_array("_p").alias("x"))

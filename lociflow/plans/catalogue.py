@@ -505,7 +505,7 @@ def oof_predict(spark, sf_dir):
     from lociflow.operators import models
 
     rows = _features(spark, sf_dir).cache()
-    return models.oof_predict(rows, "doc_id", "source", "y", ["n_chars", "upper", "marks", "lines"], k=2, maxIter=4, maxDepth=3, minInstancesPerNode=5)
+    return models.oof_predict(rows, "doc_id", "source", "y", ["n_chars", "upper", "marks", "lines"])
 
 
 @query()

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lociflow.operators import metrics, ranks, sampling
+from lociflow.operators import metrics, models, ranks, sampling
 
 
 def test_quantiles(spark):
@@ -90,3 +90,18 @@ def test_temperature_and_calibration(spark):
     assert 1.5 < metrics.fit_temperature(spark.createDataFrame(rows, "z double, y int")) < 2.6
     tied = spark.createDataFrame([(0, 0.0)] * 50 + [(1, 1.0)] * 50, "y int, p double")
     assert sum(r.n for r in metrics.calibration_bins(tied).collect()) == 100
+
+
+def test_view_has_all_rows(spark):
+    vector = F.array(*[F.when(F.col("id") % 100 == 0, 0.0).otherwise(F.sin(F.col("id") * j)) for j in (1, 2, 3)])
+    view = models.project(spark.range(9000).select("id", vector.alias("e")), "id", "e")
+    assert sorted(r.id for r in view.select("id").collect()) == [i for i in range(9000) if i % 100]
+
+
+def test_registered_trees_have_the_defaults(spark, monkeypatch):
+    from lociflow.plans import catalogue
+
+    given = []
+    monkeypatch.setattr(models, "oof_predict", lambda *args, **params: given.append((len(args), params)))
+    catalogue.QUERIES["oof_predict"](spark, "/root/testdata/sf0.001")
+    assert given == [(5, {})]
