@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,7 +146,7 @@ def test_words_that_normalise_to_marks():
 
     tok = Tokenizer.from_file(token_store.tokenizer_path())
     words = ["\u09b9\u09df,", "\u092a\u0947\u095c,", "\u092a\u0947\u0921\u093c,", "\u09aa\u09c7\u09dc.", "AL\u0130.", "\u0130?!", "\u00e9,", "ΣΑΣ.", "H\u0331a", "T\u0308,", "T\u0344 J\u030c"]
-    flat, ends = token_store.WordEncoder(token_store.tokenizer_path(), 1).encode([w.encode() for w in words])
+    flat, ends = token_store.WordEncoder(token_store.tokenizer_path(), 1).encode(pa.array(words))
     for w, a, b in zip(words, ends, ends[1:]):
         assert flat[a:b].tolist() == tok.encode(w, add_special_tokens=False).ids + [1], ascii(w)
 
