@@ -26,9 +26,11 @@ WORD_BYTES = bytes(
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder named in spark.checkpoint.dir; a temporary one only in local mode, where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="lociflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -61,6 +63,25 @@ class Scratch:
 # ---------------------------------------------------------------- expressions
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed: rows of the same one are equal but for their maps."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
+
+
+def one_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key, the one of the least row_hash; pre-aggregated before it is shuffled."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    return df.select(*keys, row, row_hash(df).alias("hash")).groupBy(*keys).agg(F.min_by("row", "hash").alias("row")).select("row.*")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII takes the fast built-in; other text is translated letter by letter."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

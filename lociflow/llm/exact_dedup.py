@@ -5,17 +5,18 @@ digest, the keeper's id and the number of equal rows in the batch that brought i
 digest, so that a new batch is compared by a sort-merge anti-join that leaves the index where it lies.
 
 Defined results: null text counts as empty text; all empty texts are equal; repeated doc_ids are separate rows
-of a group; an empty batch changes nothing; further columns, whatever their names, are carried along.
+of a group, and rows of one text under its largest doc_id leave one; a null doc_id comes before all others; an empty
+batch changes nothing; further columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import Scratch, ascii_lower, scratch_root
+from lociflow.llm.common import Scratch, ascii_lower, one_of_each, scratch_root, spare
 
 #: A group of at least this many rows, and of this share of all rows, is joined by broadcast: there are at most 1 / HOT_SHARE of them.
 HOT_ROWS, HOT_SHARE = 5_000, 1e-4
@@ -23,8 +24,11 @@ HOT_ROWS, HOT_SHARE = 5_000, 1e-4
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest): SHA-256 of the lower-cased text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(ascii_lower(text).cast("binary"), 256)).alias("digest"))
+    return docs.select(F.col(id_col).alias("doc_id"), digest_of(F.col(text_col)).alias("digest"))
+
+
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(ascii_lower(F.coalesce(text, F.lit(""))).cast("binary"), 256))
 
 
 class DigestIndex:
@@ -42,6 +46,12 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def drop(self) -> None:
+        """Forget the index: its table and its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.location)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def add(self, digested: DataFrame) -> str:
         """Append the digests of a batch that the index lacks, each with its largest doc_id; returns the batch's name."""
         batch = uuid.uuid4().hex
@@ -71,15 +81,22 @@ def assign(digested: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of `docs` to keep: the largest doc_id of each text that the index has not seen before.
+    """Rows of `docs` to keep: the largest doc_id of each text that the index has not seen before, and the index extended by them.
 
-    The index is extended by the batch. Rows with the same text and the same largest doc_id all stay.
+    Rows of the same text and the same largest doc_id are one document: the one of the least row hash stays.
     """
     spark = docs.sparkSession
     digested = Scratch(spark, "exact-dedup").write("digests", digests(docs, id_col, text_col))
     batch = index.add(digested)
-    keepers = index.rows().filter(F.col("batch") == batch).select(F.col("keep_id").alias("_keeper"))
-    return docs.join(keepers, F.col(id_col) == F.col("_keeper"), "left_semi")
+    keepers = index.rows().filter(F.col("batch") == batch).select(F.col("digest").alias("key"), "keep_id")
+    often = digested.join(keepers, (F.col("digest") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "doc_id").count()
+    digest, times, key, keeper = (spare(docs, name) for name in ("_digest", "_times", "_key", "_keeper"))
+    marked = docs.withColumn(digest, digest_of(F.col(text_col)))
+    kept = often.select(F.col("digest").alias(key), F.col("doc_id").alias(keeper), F.col("count").alias(times))
+    rows = marked.join(kept, (F.col(digest) == F.col(key)) & F.col(id_col).eqNullSafe(F.col(keeper))).drop(key, keeper)
+    once = rows.filter(F.col(times) == 1).select(*docs.columns)
+    again = one_of_each(rows.filter(F.col(times) > 1).drop(times), [digest]).select(*docs.columns)
+    return once.unionByName(again)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,26 +2,30 @@
 
 Two texts link when their sets of 5-word shingles have a Jaccard index of at least 3/4. The result is exact:
 
-1. Equal word sequences collapse to one class (128-bit digest); all further work is on classes.
+1. Equal word sequences collapse to one class (128-bit digest); all further work is on classes, by the 64-bit hash of
+   their words. No row number or doc_id stands for a text, so ids may repeat.
 2. A set that links to x shares one of the first |x| - ceil(3|x|/4) + 1 shingles of x, in any order that is the
    same for all sets. The order puts very frequent shingles last and is by hash otherwise, so passages that
    many texts share seldom bring them together. Frequent ones are found over all texts: each task lists what
    fills a HEAVY-th part of it or more, the lists are summed, and at most HEAVY shingles pass.
-3. Shingles that two classes or more have among their first make blocks. Two sets that link share even more of
-   them than one: with c common first shingles, at most c + ceil(3n/4) - 1 shingles of the larger set n are
-   common at all. Pairs of blocks of up to SMALL_BLOCK texts are counted inside the tasks and summed, those that
-   reach the least c are kept; larger blocks are kept as stars. The components of that graph are families:
-   texts that link are in one family.
-4. A family is searched by a signature tree: a leaf is a set's token bitmap and size, a node the OR of its
+3. Shingles that two classes or more have among their first make blocks; they are found by partial aggregates, so a
+   shingle that a third of all texts share fills no task. Two sets that link share even more of them than one: with
+   c common first shingles, at most c + ceil(3n/4) - 1 shingles of the larger set n are common at all. Pairs of
+   blocks of up to SMALL_BLOCK texts are counted inside the tasks and summed, those that reach the least c are
+   kept; larger blocks are kept as stars. The components of that graph are families: texts that link are in one family.
+4. A family is searched by signature trees: a leaf is a set's token bitmap and size, a node the OR of its
    children's bitmaps and the range of their sizes. Two nodes are walked together from the roots; a pair is
    dropped when its sizes can't match, or when the bits in common can't reach the least overlap that its sizes
-   ask for. Each text's tokens are sent once; a large family is dealt out as pairs of tiles.
+   ask for. A family of many texts is dealt out as tiles, each searched together with up to LEADERS texts that all
+   tiles of the family share: near copies come together through those, and the work grows with the number of tiles.
+   Only tiles of texts that are still apart are then searched pair by pair.
 5. Of the pairs that the tree lets through a spanning forest is checked on the whole texts, and every pair
    whose bitmaps leave it open. Should a pair of the forest fail, all pairs of its family are checked.
 
 Defined results: null, empty and wordless texts have no shingles and link with nothing; a text of fewer than 5
-words has its whole sequence as one shingle; repeated doc_ids are rows of their own with one common component;
-an empty table gives an empty result; other columns are carried by `keep_one_of_each`, none is read.
+words has its whole sequence as one shingle; repeated doc_ids are rows of their own, each with its text's component; a
+text that stands only under null doc_ids is linked with its equals alone, and null is their component; an empty
+table gives an empty result; other columns are carried by `keep_one_of_each`, none is read.
 """
 
 from __future__ import annotations
@@ -29,10 +33,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lociflow.llm.common import Scratch, hashed, list_array, shingles, signed, slices, texts
+from lociflow.llm.common import Scratch, hashed, list_array, row_hash, shingles, signed, slices, spare, texts
 from lociflow.llm.components import components
 
 WORDS, NUM, DEN = 5, 3, 4
@@ -42,6 +47,8 @@ HEAVY, HEAVY_LEAST, SEGMENT = 1 << 22, 32, 1 << 22
 SMALL_BLOCK = 64
 #: A tile holds about so many texts, or shingles, at most; a node so many children.
 TILE, TILE_SHINGLES, FAN = 1024, 500_000, 8
+#: Texts of a large family that each of its tiles meets; a linked group of a quarter of a tile has tiles of its own.
+LEADERS, PURE = 64, 4
 #: Ids of documents in question are broadcast up to this many (16 MB), joined beyond.
 ID_BROADCAST = 1_000_000
 
@@ -200,25 +207,28 @@ def _count_pairs(batches):
         yield take()
 
 
-def families(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, component): groups of documents outside of which no link is possible; lone documents are left out."""
-    spark = members.sparkSession
+def families(first: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, component) out of (key, rep): groups of classes outside of which no link is possible; lone ones are left out."""
+    spark = first.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small = members.filter(F.col("m") <= SMALL_BLOCK).select("key", "doc", "n").repartition(parts, "key").sortWithinPartitions("key")
+    shared = first.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("key")
+    members = scratch.write("members", first.join(scratch.write("keys", shared), "key", "left_semi").distinct())
+    scratch.drop("first", "keys")
+    blocks = scratch.write("blocks", members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("a")))
+    small = members.join(blocks.filter(F.col("m") <= SMALL_BLOCK).select("key"), "key").join(classes.select("rep", "n"), "rep")
+    small = small.select("key", F.col("rep").alias("doc"), "n").repartition(parts, "key").sortWithinPartitions("key")
     counted = small.mapInArrow(_count_pairs, "a bigint, b bigint, na bigint, nb bigint, c bigint")
     counted = counted.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("na").alias("na"), F.min("nb").alias("nb"))
-    large = members.filter(F.col("m") > SMALL_BLOCK)
+    large = scratch.write("large", members.join(blocks.filter(F.col("m") > SMALL_BLOCK).select("key", "a"), "key").select("a", F.col("rep").alias("b")))
     # A pair may also meet in large blocks, at most as often as either of its texts is in one.
-    often = scratch.write("large-counts", large.groupBy("doc").agg(F.count(F.lit(1)).alias("l")))
+    often = scratch.write("large-counts", large.groupBy("b").agg(F.count(F.lit(1)).alias("l")))
     for side in "ab":
-        counted = counted.join(often.select(F.col("doc").alias(side), F.col("l").alias(f"l{side}")), side, "left")
+        counted = counted.join(often.select(F.col("b").alias(side), F.col("l").alias(f"l{side}")), side, "left")
     both = F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
     wanted = F.ceil(F.lit(NUM) * (F.col("na") + F.col("nb")) / (NUM + DEN))
     most = F.col("c") + both + F.ceil(F.lit(NUM) * F.greatest("na", "nb") / DEN) - 1
     edges = counted.filter(most >= wanted).select("a", "b")
-    centre = large.groupBy("key").agg(F.min("doc").alias("a"))
-    stars = large.join(centre, "key").select("a", F.col("doc").alias("b")).filter("a <> b").distinct()
-    return components(edges.unionByName(stars), scratch, "families")
+    return components(edges.unionByName(large.filter("a <> b").distinct()), scratch, "families")
 
 
 # ---------------------------------------------------------------- step 4: signature trees
@@ -294,6 +304,8 @@ def walk(a: Tree, b: Tree | None = None) -> tuple[np.ndarray, np.ndarray, np.nda
 def search_family(doc: np.ndarray, size: np.ndarray, tile: np.ndarray, bitmaps: list[bytes], whole: bool) -> list[tuple[int, int, bool]]:
     """(a, b, sure) of pairs that may link, only across if there are two tiles: a spanning forest of those that link by
     their tokens (sure), and those that may link although their tokens don't say so; all pairs, not sure, if `whole`."""
+    _, once = np.unique(np.stack([doc, tile], axis=1), axis=0, return_index=True)  # a text may come more than once
+    doc, size, tile, bitmaps = doc[once], size[once], tile[once], [bitmaps[i] for i in once.tolist()]
     sets = [np.frombuffer(b, np.uint32) for b in bitmaps]
     width = np.array([len(x) for x in sets])
     _, number, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -333,15 +345,36 @@ def search_family(doc: np.ndarray, size: np.ndarray, tile: np.ndarray, bitmaps:
     return found
 
 
+def new_texts(batch: pa.RecordBatch, seen: set):
+    """(rep, words) of the batch's texts that have words and were not seen in this task."""
+    for text in texts(batch):
+        words = split(text)
+        rep = xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63)
+        if words and rep not in seen:
+            if len(seen) < 2_000_000:
+                seen.add(rep)
+            yield rep, words
+
+
 def _tokens(batches):
     """The set's bitmap as the sorted numbers of its bits, 32 bits of each shingle's hash."""
+    seen: set = set()
     for batch in slices(batches):
-        size, bitmap = [], []
-        for text in texts(batch):
-            own = shingles(hashed(split(text)), WORDS)
+        rep, size, bitmap = [], [], []
+        for r, words in new_texts(batch, seen):
+            own = shingles(hashed(words), WORDS)
+            rep.append(r)
             size.append(len(own))
             bitmap.append(np.unique((own >> np.uint64(32)).astype(np.uint32)).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(bitmap, pa.binary())], ["doc", "n", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(size, pa.int64()), pa.array(bitmap, pa.binary())], ["doc", "n", "tokens"])
+
+
+def _lines(batches):
+    """(rep, line): the words of each text, parted by blanks."""
+    seen: set = set()
+    for batch in slices(batches):
+        rows = [(r, b" ".join(words)) for r, words in new_texts(batch, seen)]
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["rep", "line"])
 
 
 def _search(whole: bool):
@@ -373,52 +406,111 @@ def _search(whole: bool):
     return run
 
 
-def in_question(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of (doc_id, text) whose id is in ids (doc_id), a written table."""
+def in_question(docs: DataFrame, reps: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Rows of (doc_id, text) under the ids of the classes in reps (rep); other texts of those ids come along."""
+    ids = scratch.write(name, classes.join(reps, "rep", "left_semi").select(F.col("doc").alias("doc_id")).distinct())
     return docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= ID_BROADCAST else ids, "doc_id", "left_semi")
 
 
-def search(docs: DataFrame, family: DataFrame, scratch: Scratch, whole: bool, name: str) -> DataFrame:
-    """(a, b, sure) of all families (id, component); see search_family."""
-    ids = scratch.write(f"{name}-ids", family.select(F.col("id").alias("doc_id")))
-    each = in_question(docs, ids).mapInArrow(_tokens, "doc bigint, n bigint, tokens binary").join(family, F.col("doc") == F.col("id")).drop("id")
-    each = scratch.write(f"{name}-tokens", each.withColumnRenamed("component", "family"))
+def _searched(dealt: DataFrame, whole: bool, table: str, scratch: Scratch) -> DataFrame:
+    """(a, b, sure) out of rows (family, tile_a, tile_b, tile, doc, n, tokens)."""
+    key = ["family", "tile_a", "tile_b"]
+    dealt = dealt.repartition(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key)
+    found = dealt.mapInArrow(_search(whole), "a bigint, b bigint, sure boolean")
+    return scratch.write(table, found.groupBy("a", "b").agg(F.max("sure").alias("sure")))
+
+
+def tokens_of(docs: DataFrame, classes: DataFrame, family: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(doc, n, tokens, family, tiles) of the texts of families (id, component)."""
+    each = in_question(docs, family.select(F.col("id").alias("rep")), classes, scratch, f"{name}-ids").mapInArrow(_tokens, "doc bigint, n bigint, tokens binary")
+    each = each.join(family, F.col("doc") == F.col("id")).drop("id").withColumnRenamed("component", "family")
+    each = scratch.write(f"{name}-tokens", each)
     count = each.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    tiled = each.join(count, "family").withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.withColumn("tile_a", F.least("tile", "other")).withColumn("tile_b", F.greatest("tile", "other")).drop("other", "tiles")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tiled.repartition(parts, "family", "tile_a", "tile_b").sortWithinPartitions("family", "tile_a", "tile_b")
-    pairs = scratch.write(f"{name}-pairs", dealt.mapInArrow(_search(whole), "a bigint, b bigint, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")))
-    scratch.drop(f"{name}-tokens")
-    return pairs
+    return each.join(scratch.write(f"{name}-tiles", count), "family")
+
+
+def _place(column: str, n) -> Column:
+    return F.pmod(F.xxhash64(column), n).cast("int")
+
+
+def search(each: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, sure) of all families, each tile by itself and with the leaders of its family."""
+    own = each.withColumn("tile_a", _place("doc", F.col("tiles")))
+    many = each.filter("tiles > 1")
+    slot = F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(LEADERS)).alias("slot")
+    leaders = scratch.write("leaders", many.groupBy("family", slot).agg(F.min("doc").alias("doc")).select("family", "doc"))
+    led = many.join(leaders, ["family", "doc"]).withColumn("tile_a", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = own.unionByName(led.select(own.columns)).withColumn("tile_b", F.col("tile_a")).withColumn("tile", F.lit(0))
+    return _searched(dealt, False, "forest-pairs", scratch)
+
+
+def search_apart(each: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(a, b, sure) across the linked groups of families of many tiles; None if no such family is in parts.
+
+    A group of a PURE-th of a tile or more has tiles of its own, the others share the mixed ones; two tiles of one
+    group need no search.
+    """
+    many = each.filter("tiles > 1").select("doc", "n", "tokens", "family")
+    if many.isEmpty():
+        return None
+    known = components(links.join(many.select(F.col("doc").alias("a")), "a", "left_semi"), scratch, "apart")
+    many = scratch.write("apart-texts", many.join(known, F.col("doc") == F.col("id"), "left").withColumn("part", F.coalesce("component", "doc")).drop("id", "component"))
+    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
+    parts = many.groupBy("family", "part").agg(F.count(F.lit(1)).alias("k"), chunks.alias("chunks"), F.sum("n").alias("n"))
+    apart = parts.groupBy("family").count().filter("count > 1").select("family")
+    parts = scratch.write("apart-parts", parts.join(apart, "family", "left_semi"))
+    if parts.isEmpty():
+        return None
+    pure = parts.filter((F.col("k") >= TILE // PURE) | (F.col("n") >= TILE_SHINGLES // PURE)).select("family", "part", "chunks")
+    texts_ = many.join(apart, "family", "left_semi").join(pure.select("family", "part", F.lit(True).alias("pure")), ["family", "part"], "left")
+    mixed = texts_.filter("pure IS NULL").groupBy("family").agg(chunks.alias("chunks")).select("family", F.lit(None).cast("bigint").alias("part"), "chunks")
+    sides = scratch.write("apart-sides", pure.unionByName(mixed))
+    a, b = (sides.select("family", F.col("part").alias(f"part_{x}"), F.col("chunks").alias(f"chunks_{x}")) for x in "ab")
+    both = a.join(b, "family").filter("part_a < part_b OR part_b IS NULL")  # groups, not texts; the mixed ones meet all, themselves too
+    both = both.withColumn("chunk_a", F.explode(F.sequence(F.lit(0), F.col("chunks_a") - 1))).withColumn("chunk_b", F.explode(F.sequence(F.lit(0), F.col("chunks_b") - 1)))
+    both = both.filter("part_a IS NOT NULL OR chunk_a <= chunk_b")
+    both = scratch.write("apart-pairs-of-tiles", both.select("*", F.xxhash64("part_a", "chunk_a").alias("tile_a"), F.xxhash64("part_b", "chunk_b").alias("tile_b")))
+    placed = texts_.withColumn("part", F.when(F.col("pure"), F.col("part"))).join(sides.select("family", F.col("part").alias("_part"), "chunks").alias("s"), "family")
+    placed = placed.filter(F.col("part").eqNullSafe(F.col("_part"))).withColumn("chunk", _place("doc", F.col("chunks"))).select("family", "part", "chunk", "doc", "n", "tokens")
+    dealt = None
+    for tile, x in enumerate("ab"):
+        pairs = both if x == "a" else both.filter("tile_a <> tile_b")
+        pairs = pairs.select("family", F.col(f"part_{x}").alias("_part"), F.col(f"chunk_{x}").alias("_chunk"), "tile_a", "tile_b")
+        side = placed.join(pairs.withColumnRenamed("family", "_family"), (F.col("family") == F.col("_family")) & F.col("part").eqNullSafe(F.col("_part")) & (F.col("chunk") == F.col("_chunk")))
+        side = side.select("family", "tile_a", "tile_b", F.lit(tile).alias("tile"), "doc", "n", "tokens")
+        dealt = side if dealt is None else dealt.unionByName(side)
+    return _searched(dealt, False, "apart-pairs", scratch)
+
+
+def search_whole(each: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, not sure) of all pairs that may link: every tile with every other."""
+    tiled = each.withColumn("tile", _place("doc", F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = tiled.withColumn("tile_a", F.least("tile", "other")).withColumn("tile_b", F.greatest("tile", "other"))
+    return _searched(tiled.drop("other", "tiles"), True, "whole-pairs", scratch)
 
 
 # ---------------------------------------------------------------- exact check
 
 
 def _verify(batches):
-    for batch in batches:
-        size = 0
-        keep = []
-        last, own = None, None
-        for a, b in zip(texts(batch, "text_a"), texts(batch, "text_b")):
+    for batch in slices(batches, "line_a"):
+        keep, last, own = [], None, None
+        for a, b in zip(texts(batch, "line_a"), texts(batch, "line_b")):
             if a != last:
-                last, own = a, shingles(hashed(split(a)), WORDS)
-            other = shingles(hashed(split(b)), WORDS)
-            common = len(np.intersect1d(own, other, assume_unique=True))
-            keep.append(bool(len(own)) and enough(common, len(own), len(other)))
-            size += 1
+                last, own = a, shingles(hashed(a.split(b" ")), WORDS)
+            other = shingles(hashed(b.split(b" ")), WORDS)
+            keep.append(enough(len(np.intersect1d(own, other, assume_unique=True)), len(own), len(other)))
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) whose whole texts link. The texts of the documents in question are set apart first."""
-    ids = scratch.write(f"{name}-verify", pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    wanted = scratch.write(f"{name}-texts", in_question(docs, ids))
-    left = wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) whose whole texts link. The texts of the classes in question are set apart first."""
+    reps = scratch.write(f"{name}-reps", pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    lines = in_question(docs, reps, classes, scratch, f"{name}-verify").mapInArrow(_lines, "rep bigint, line binary")
+    lines = scratch.write(f"{name}-texts", lines.join(reps, "rep", "left_semi").dropDuplicates(["rep"]))
+    left = lines.select(F.col("rep").alias("a"), F.col("line").alias("line_a"))
+    right = lines.select(F.col("rep").alias("b"), F.col("line").alias("line_b"))
+    both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "line_a", "line_b")
     links = scratch.write(f"{name}-links", both.mapInArrow(_verify, "a bigint, b bigint").distinct())
     scratch.drop(f"{name}-texts")
     return links
@@ -427,43 +519,79 @@ def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) ->
 # ---------------------------------------------------------------- the join
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of (doc_id, text)."""
+def labelled(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, n) of every row of (doc_id, text), and (digest, component_id, stays) of every class: the smallest
+    doc_id that its links reach, and whether the class is the one that stands for them (the smallest digest under that id)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     features = scratch.write("features", docs.mapInArrow(_features, FEATURES))
     heavy = spark.sparkContext.broadcast(heavy_shingles(features))
-    rows = features.filter("n IS NOT NULL").select("doc_id", "digest", "n")
     known = features.filter("digest IS NOT NULL").groupBy("digest")
     classes = scratch.write("classes", known.agg(F.min("doc_id").alias("doc"), F.min("rep").alias("rep"), F.min("n").alias("n")))
-
-    key = Window.partitionBy("key")
-    first = docs.mapInArrow(_first_shingles(heavy), "key bigint, rep bigint")
-    shared = first.withColumn("lo", F.min("rep").over(key)).withColumn("hi", F.max("rep").over(key)).filter("lo < hi")
-    shared = scratch.write("shared", shared.select("key", "rep").distinct())
-    members = shared.join(classes.select("rep", "doc", "n"), "rep").select("key", "doc", "n").withColumn("m", F.count(F.lit(1)).over(key))
-    family = families(scratch.write("members", members), scratch)
-    family = scratch.write("family", family)
-
-    pairs = search(docs, family, scratch, False, "forest")
-    links = verified(pairs, docs, scratch, "forest")
+    named = classes.filter("doc IS NOT NULL")
+
+    first = scratch.write("first", docs.mapInArrow(_first_shingles(heavy), "key bigint, rep bigint"))
+    family = scratch.write("family", families(first, named, scratch))
+    each = tokens_of(docs, named, family, scratch, "forest")
+    pairs = search(each, scratch)
+    links = verified(pairs, docs, named, scratch, "forest")
+    apart = search_apart(each, links, scratch)
+    if apart is not None:
+        pairs = pairs.unionByName(apart)
+        links = links.unionByName(verified(apart, docs, named, scratch, "apart"))
     failed = pairs.filter("sure").join(links, ["a", "b"], "left_anti").select(F.col("a").alias("id")).join(family, "id").select("component").distinct()
     failed = scratch.write("failed", failed)
     if not failed.isEmpty():
-        again = search(docs, family.join(failed, "component", "left_semi").select("id", "component"), scratch, True, "whole")
-        links = links.unionByName(verified(again, docs, scratch, "whole"))
+        every = tokens_of(docs, named, family.join(failed, "component", "left_semi").select("id", "component"), scratch, "whole")
+        links = links.unionByName(verified(search_whole(every, scratch), docs, named, scratch, "whole"))
+
+    linked = classes.join(components(links, scratch, "components"), F.col("rep") == F.col("id"))
+    linked = scratch.write("linked", linked.select("digest", "doc", "component"))
+    best = linked.groupBy("component").agg(F.min("doc").alias("least"))
+    heads = linked.join(best, "component").filter("doc = least").groupBy("component").agg(F.min("digest").alias("head"), F.min("least").alias("least"))
+    of = linked.join(heads, "component").select("digest", F.col("least").alias("component_id"), (F.col("digest") == F.col("head")).alias("stays"))
+    lone = classes.join(of, "digest", "left")
+    labels = lone.select("digest", F.coalesce("component_id", "doc").alias("component_id"), F.coalesce("stays", F.lit(True)).alias("stays"))
+    return features.filter("n IS NOT NULL").select("doc_id", "digest", "n"), scratch.write("labels", labels)
+
 
-    final = components(links, scratch, "components")
-    labelled = classes.join(final, F.col("doc") == F.col("id"), "left").select("digest", F.coalesce("component", "doc").alias("component_id"))
-    out = rows.join(labelled, "digest", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of (doc_id, text)."""
+    rows, labels = labelled(docs, scratch)
+    out = rows.join(labels, "digest", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _digested(batches):
+    for batch in slices(batches):
+        words = [split(t) for t in texts(batch)]
+        digest = pa.array([xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns, digest], [*batch.schema.names, "digest"])
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each component the document of the smallest doc_id; documents without words all stay."""
-    found = near_duplicates(docs, Scratch(docs.sparkSession, "near-duplicates"))
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Of each component the row of the smallest doc_id (of different texts under it the one of the smallest digest, of equal
+    ones the one of the least row hash); rows without words all stay.
+
+    Where an id has one row, the id tells what goes. Rows of repeated and null ids are told by their texts.
+    """
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    rows, labels = labelled(docs, scratch)
+    other = spare(docs, "other_id")
+    goes = F.col("digest").isNotNull() & ~(F.col("stays") & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    by_id = rows.join(labels, "digest", "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(goes).alias("gone"))
+    by_id = scratch.write("by-id", by_id.filter("n > 1 OR gone > 0 OR doc_id IS NULL").withColumnRenamed("doc_id", other))
+    own = F.col("doc_id").eqNullSafe(F.col(other))
+    kept = docs.join(by_id.select(other), own, "left_anti")
+    several = by_id.filter((F.col("n") > 1) | F.col(other).isNull()).select(other)
+    if several.isEmpty():
+        return kept
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    told = docs.join(several, own, "left_semi").select(row, row_hash(docs).alias("hash"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    told = told.mapInArrow(_digested, T.StructType([*told.schema.fields, T.StructField("digest", T.BinaryType())])).drop("text")
+    told = told.join(labels, "digest", "left").filter(~goes)
+    wordless = told.filter("digest IS NULL").select("row.*")
+    return kept.unionByName(wordless).unionByName(told.filter("digest IS NOT NULL").groupBy("digest").agg(F.min_by("row", "hash").alias("row")).select("row.*"))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

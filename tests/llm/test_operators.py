@@ -77,6 +77,44 @@ def test_ngram_join_empty_and_stage(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 4]
 
 
+def repeated(spark):
+    """Repeated and null ids, with the same and with other texts."""
+    rows = [(3, "w"), (3, "w"), (3, "W "), (7, "w z"), (7, "unrelated"), (7, None), (9, "W"), (None, "w z"), (None, "only here"), (None, "only here"), (2, "Unrelated"), (5, ""), (5, "")]
+    return spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], SCHEMA)
+
+
+def test_ngram_join_repeated_ids(spark):
+    df = repeated(spark).withColumn("other_id", F.lit(1)).withColumn("digest", F.lit("x")).withColumn("hash", F.lit(2))
+    kept = ngram_join.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text.strip().lower() if r.text else r.text) for r in kept.collect() if r.text)
+    assert got == [(False, 2, "unrelated"), (False, 3, "w"), (False, 7, "w z"), (True, 0, "only here")]
+    assert kept.filter("text IS NULL OR text = ''").count() == 3
+    found = ngram_join.near_duplicates(df, common.Scratch(spark, "t")).collect()
+    assert len(found) == 13 and sorted((r.doc_id, r.component_id) for r in found if r.doc_id in (7, 9, 2)) == [(2, 2), (7, 2), (7, 7), (7, 7), (9, 3)]
+
+
+def test_large_family_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 16)
+    monkeypatch.setattr(ngram_join, "LEADERS", 4)
+    monkeypatch.setattr(ngram_join, "SMALL_BLOCK", 8)
+    rng = random.Random(21)
+    # Three bodies that share a beginning, so that they are one family but three components; some texts stand alone.
+    start = [f"s{i}" for i in range(60)]
+    bodies = [start + [f"b{k}_{i}" for i in range(60)] for k in range(3)]
+    texts = []
+    for n in range(240):
+        own = list(bodies[n % 3])
+        own[rng.randrange(len(own))] = f"x{n}"
+        if n % 40 == 0:
+            own = start + [f"y{n}_{i}" for i in range(45)]
+        texts.append(" ".join(own))
+    scratch = common.Scratch(spark, "t")
+    found = ngram_join.near_duplicates(frame(spark, texts), scratch)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute_components(texts)
+    assert spark.read.parquet(scratch.path("apart-pairs-of-tiles")).count()  # tiles of groups that are still apart were searched
+
+
 def test_signature_tree_finds_all(spark):
     rng = np.random.default_rng(4)
     base = [np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64)) for _ in range(5)]
@@ -193,6 +231,9 @@ def test_exact_dedup_index(spark):
     again = exact_dedup.exact_dedup(frame(spark, ["same", "new", "new"]), exact_dedup.DigestIndex(spark, index.location, 4))
     assert [r.doc_id for r in again.collect()] == [2]
     assert exact_dedup.exact_dedup(df.limit(0), index).count() == 0
+    rows = spark.createDataFrame([(5, "A", 1), (5, "B", 1), (9, "b", 2), (9, "B", 2), (9, "c", 3), (None, "n", 4)], "doc_id bigint, text string, _digest int")
+    kept = exact_dedup.exact_dedup(rows, exact_dedup.DigestIndex(spark, buckets=2))
+    assert kept.columns == rows.columns and sorted((r.doc_id or 0, r.text.lower()) for r in kept.collect()) == [(0, "n"), (5, "a"), (9, "b"), (9, "c")]
     plan = exact_dedup.DigestIndex(spark, index.location, 4).rows().groupBy("digest").count()._jdf.queryExecution().toString()
     assert "Exchange" not in plan  # the buckets are used where they lie
 
