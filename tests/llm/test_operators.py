@@ -126,9 +126,11 @@ def test_signature_tree_finds_all(spark):
     assert want <= {(a, b) for a, b, _ in found}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [256, 3])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(components, "HOT_EDGES", hot)
     rng = random.Random(9)
-    edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)]
+    edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(200, i) for i in range(201, 230)]
     found = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint"), common.Scratch(spark, "t")).collect()}
     assert all(found[i] == 0 for i in range(41)) and all(found[a] == found[b] <= min(a, b) for a, b in edges if a != b)
 
