@@ -251,12 +251,36 @@ def test_substring(spark):
     assert {r.doc_id for r in spans} == set(range(1, 12)) and {r.source_doc_id for r in spans} == {0}
     for r in spans:
         own = texts[r.doc_id].split()[r.first_word : r.end_word]
-        assert own == shared[shared.index(own[0]) :][: len(own)] and r.n_words >= 25
-    rest = {r.doc_id: r.text for r in substring.remove_repeats(df).collect()}
-    assert rest[0] == texts[0] and len(rest) == len(texts) and all(len(rest[d].split()) <= len(texts[d].split()) - 25 for d in range(1, 12))
+        assert own == shared[shared.index(own[0]) :][: len(own)] and r.n_words >= 24
+    rest = {r.doc_id: r.text for r in substring.remove_repeats(df.withColumn("_lo", F.lit(1))).collect()}
+    assert rest[0] == texts[0] and len(rest) == len(texts) and all(len(rest[d].split()) <= len(texts[d].split()) - 24 for d in range(1, 12))
     assert substring.repeated_spans(df.limit(0), common.Scratch(spark, "t")).count() == 0
 
 
+def test_substring_against_all_repeats(spark):
+    """On whole documents: a span stands in its source word for word, and each run of 51 words that occurs twice meets a span."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(
+        spark.createDataFrame([(10**9, " ".join(f"q{i % 60}" for i in range(200))), (None, "n " + " ".join(f"q{i % 60}" for i in range(60)))], "doc_id bigint, text string")
+    )
+    words = {r.doc_id: [w.decode() for w in (r.text or "").encode().lower().split()] for r in df.collect()}
+    found = substring.repeated_spans(df, common.Scratch(spark, "t"))
+    spans = found.collect()
+    covered = {}
+    for r in spans:
+        own = words[r.doc_id][r.first_word : r.end_word]
+        assert len(own) == r.n_words >= 24 and own == words[r.source_doc_id][r.source_first_word :][: len(own)]
+        covered.setdefault(r.doc_id, []).append((r.first_word, r.end_word))
+    joined = [(d, i) for r in substring.stretches(found).collect() for d, i in ((r.doc_id, i) for i in range(r.first_word, r.end_word))]
+    assert len(joined) == len(set(joined)) and set(joined) == {(d, i) for d, own in covered.items() for a, b in own for i in range(a, b)}
+    places = {}
+    for d in sorted(words, key=lambda d: (d is None, d)):
+        for i in range(len(words[d]) - 50):
+            places.setdefault(tuple(words[d][i : i + 51]), []).append((d, i))
+    repeated_places = [p for ps in places.values() for p in ps[1:]]
+    assert len(repeated_places) > 1000
+    assert all(any(a < i + 51 and i < b for a, b in covered.get(d, [])) for d, i in repeated_places)
+
+
 def test_licenses(spark):
     grant = next(t for k, n, t in licenses.TEMPLATES if (k, n) == ("MIT", "grant"))
     texts = [*ODD, "x\nReleased under the MIT License.\ny", grant.replace("hereby ", ""), "intro\n\n" + grant.replace(", ", ",\n") + "\n\nend", "the license of a licensed license is released"]
