@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,6 +87,26 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def bounded_sample(docs: DataFrame, marked: DataFrame, mark: str, limits: dict, most_bytes: int) -> DataFrame:
+    """Whole rows of `docs` with the column `mark`: for each value of it at most limits[value] different (doc_id, text), those with
+    the least hash of their id, as far as their texts together have most_bytes.
+
+    marked: (doc_id, mark). Rows of one id and text count once. Neither rows nor bytes can go beyond the limits, whatever
+    ids repeat, so the sample may be broadcast or sent to the driver.
+    """
+    tkey, size, place, upto = (spare(docs, f"_{x}") for x in ("tkey", "size", "place", "upto"))
+    sized = docs.select("doc_id", F.xxhash64("text").alias(tkey), F.octet_length("text").alias(size)).join(marked, "doc_id")
+    sized = sized.groupBy("doc_id", tkey, mark).agg(F.coalesce(F.max(size), F.lit(0)).alias(size)).withColumn(place, F.xxhash64("doc_id"))
+    order, chosen = [place, "doc_id", tkey], None
+    for value, most in sorted(limits.items()):
+        part = sized.filter(F.col(mark) == value).orderBy(*order).limit(most)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    so_far = Window.partitionBy(mark).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # the limits' rows at most
+    chosen = chosen.withColumn(upto, F.sum(size).over(so_far)).filter(F.col(upto) <= most_bytes).select("doc_id", tkey, mark)
+    rows = docs.withColumn(tkey, F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", tkey])
+    return one_of_each(rows, ["doc_id", tkey, mark]).drop(tkey)
+
+
 def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 

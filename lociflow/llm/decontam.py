@@ -5,27 +5,32 @@ Both sides keep the least k-gram hash of every sliding window; with k = 5 and 6
 equal run, and a run counts from 10 words on. An item of fewer than 10 words is one window of its own: its
 length is then the k, with a window of one hash.
 
-The test items' side is taken in blocks of at most BLOCK_WORDS words, which is what is sent to the tasks at
-once; a larger benchmark makes more blocks, each of which meets all documents, and the spans are merged.
+A benchmark of up to BLOCK_BYTES is sent to the tasks, which scan the documents once. A larger one stays where it is:
+fingerprints of both sides are joined, and the texts of the pairs that meet are extended in tasks dealt by item.
+Neither side goes through the driver then, and a fingerprint that many texts share is a hot key of a plain join.
 
 Defined results: null and wordless texts have no words and are never hit; wordless items have no windows;
-equal items each count; repeated doc_ids are separate rows if their texts differ and are reported once each;
-an empty benchmark leaves everything clean; other columns are carried by `decontaminate`, none is read.
+items of the same id count once, other equal items each; every row of `docs` has a row in the result, whatever ids or
+texts repeat or are null, and whichever way is taken; an empty benchmark leaves everything clean; other columns are
+carried by `decontaminate`, whatever their names, none is read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import WORD_BYTES, grams, hash_all, list_array, slices, texts, winnow
+from lociflow.llm.common import WORD_BYTES, Scratch, grams, hash_all, list_array, one_of_each, signed, slices, spare, texts, winnow
 
 WINDOW, GRAM = 10, 5
-#: 32 MB of word hashes and about as much of fingerprints.
-BLOCK_WORDS = 2_000_000
-SPANS = "doc_id bigint, n_words bigint, text_key bigint, lo array<bigint>, hi array<bigint>, items array<string>"
+#: Texts of a benchmark that is sent to the tasks: 2 million words at most, 32 MB of word hashes and about as much of fingerprints.
+BLOCK_BYTES = 4 << 20
+SPANS = "doc_id bigint, n_words bigint, lo array<bigint>, hi array<bigint>, items array<string>"
+#: What `split` takes for words.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def split(text: bytes | None) -> list[bytes]:
@@ -135,53 +140,111 @@ def _scan(items):
                 [
                     batch.column("doc_id").cast(pa.int64()),
                     pa.array(np.diff(ends), pa.int64()),
-                    batch.column("text_key"),
                     list_array(lo, pa.int64()),
                     list_array(hi, pa.int64()),
                     pa.array(names, pa.list_(pa.string())),
                 ],
-                ["doc_id", "n_words", "text_key", "lo", "hi", "items"],
+                ["doc_id", "n_words", "lo", "hi", "items"],
             )
 
     return run
 
 
-def blocks_of(benchmark: DataFrame, block_words: int) -> list:
-    """The items in broadcast blocks of about block_words words at most (bytes over two bound the words from above)."""
+def small_enough(benchmark: DataFrame, most: int) -> Broadcast | None:
+    """The items as a broadcast if their texts have `most` bytes or less."""
     items = benchmark.select("item_id", "text")
-    n = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (2 * block_words)))
-    blocks = []
-    for b in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b)
-        blocks.append(items.sparkSession.sparkContext.broadcast(Items([(r[0], r[1]) for r in part.toLocalIterator()])))
-    return blocks
+    if (items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0) > most:
+        return None
+    return items.sparkSession.sparkContext.broadcast(Items([(r[0], r[1]) for r in items.collect()]))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, lo, hi, items) of every document: merged spans of word positions, and the items' ids, sorted."""
-    blocks = blocks_of(benchmark, block_words)
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key") if len(blocks) > 1 else F.lit(0).cast("bigint").alias("text_key"))
-    parts = [keyed.mapInArrow(_scan(items), SPANS) for items in blocks]
-    return parts[0].drop("text_key") if len(parts) == 1 else merge_blocks(parts)
-
-
-def merge_blocks(parts: list[DataFrame]) -> DataFrame:
-    """Union of the spans that several blocks of items gave for the same documents."""
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    key = ["doc_id", "text_key", "n_words"]
-    runs = every.filter(F.size("lo") > 0).select(*key, F.explode(F.arrays_zip("lo", "hi")).alias("run")).select(*key, "run.lo", "run.hi")
-    order = Window.partitionBy(*key).orderBy("lo", "hi")
-    before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = runs.withColumn("new", F.when(F.col("lo") <= before, 0).otherwise(1))
-    runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = runs.groupBy(*key, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    joined = joined.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
-    names = every.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    whole = names.join(joined, key, "left")
+    items = small_enough(benchmark, block_bytes)
+    if items is not None:
+        return docs.select("doc_id", "text").mapInArrow(_scan(items), SPANS)
+    found = joined_hits(docs, benchmark, Scratch(docs.sparkSession, "decontam"))
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_words")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), words)
+    found = found.withColumnsRenamed({"doc_id": "_doc_id", "text_key": "_text_key"})
+    whole = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key")), "left")
     none = F.array().cast("array<bigint>")
-    return whole.select("doc_id", "n_words", F.coalesce("runs.lo", none).alias("lo"), F.coalesce("runs.hi", none).alias("hi"), "items")
+    return whole.select("doc_id", "n_words", F.coalesce("lo", none).alias("lo"), F.coalesce("hi", none).alias("hi"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+# ---------------------------------------------------------------- large benchmarks: fingerprints are joined
+
+
+def _fingerprints(lengths: list[int] | None):
+    """(key, k, id, text_key): k is the length of a short item, 0 for the fingerprints of long ones; documents look for `lengths`."""
+
+    def run(batches):
+        for batch in slices(batches):
+            flat, ends = hash_all([split(t) for t in texts(batch)])
+            sizes = np.diff(ends)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            kinds = [0] if len(flat) else []
+            if lengths is None:
+                kinds += sorted(set(sizes[(sizes > 0) & (sizes < WINDOW)].tolist()))
+            else:
+                kinds += [k for k in lengths if k and len(flat)]
+            for k in kinds:
+                hashes = grams(flat, k or GRAM)
+                if not k:
+                    at = winnow(hashes, ends[:-1], ends[1:] - GRAM + 1, WINDOW - GRAM + 1)
+                elif lengths is None:
+                    at = ends[:-1][sizes == k]
+                else:
+                    at = np.flatnonzero(np.arange(len(flat)) + k <= ends[1:][row])
+                if not len(at):
+                    continue
+                pairs = np.unique(np.stack([signed(hashes[at]), row[at]], axis=1), axis=0)
+                own = pa.array(pairs[:, 1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pairs[:, 0]), pa.array(np.full(len(pairs), k), pa.int32()), batch.column("id").take(own), batch.column("text_key").take(own)], ["key", "k", "id", "text_key"]
+                )
+
+    return run
+
+
+def _extend(batches):
+    """Rows come sorted by item: the spans of each (document, item) pair."""
+    last, items = None, None
+    for batch in slices(batches):
+        for i, (name, text, item_text) in enumerate(zip(batch.column("name").to_pylist(), texts(batch), texts(batch, "item_text"))):
+            if items is None or last != (name, item_text):
+                last, items = (name, item_text), Items([(name, item_text.decode())])
+            lo, hi = merged(spans(*hash_all([split(text)]), items).get(0, []))
+            if lo:
+                own = [batch.column(c).slice(i, 1).take(pa.array([0] * len(lo))) for c in ("doc_id", "text_key", "name")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["doc_id", "text_key", "name", "lo", "hi"])
+
+
+def joined_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, text_key, lo, hi, items) of the texts that hold a window of an item."""
+    key, own = F.xxhash64("text").alias("text_key"), ["doc_id", "text_key"]
+    items = benchmark.select(F.col("item_id").cast("string").alias("id"), key, "text").filter("text IS NOT NULL")
+    prints = "key bigint, k int, id {}, text_key bigint"
+    wanted = scratch.write("item-prints", items.mapInArrow(_fingerprints(None), prints.format("string")).withColumnsRenamed({"id": "name", "text_key": "item_key"}))
+    lengths = [r[0] for r in wanted.select("k").distinct().collect()]  # WINDOW values at most
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), key, "text")
+    seen = rows.mapInArrow(_fingerprints(lengths), prints.format("bigint")).withColumnRenamed("id", "doc_id")
+    met = scratch.write("met", seen.join(wanted, ["key", "k"]).select(*own, "name", "item_key").distinct())
+    texts_of = rows.withColumnRenamed("id", "doc_id").join(met.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct(), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left_semi")
+    texts_of = scratch.write("texts", one_of_each(texts_of, own)).withColumnsRenamed({"doc_id": "_d", "text_key": "_k"})
+    item_texts = one_of_each(items, ["id", "text_key"]).select(F.col("id").alias("_n"), F.col("text_key").alias("_i"), F.col("text").alias("item_text"))
+    pairs = met.join(texts_of, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k"))).join(item_texts, F.col("name").eqNullSafe(F.col("_n")) & (F.col("item_key") == F.col("_i")))
+    pairs = pairs.select(*own, F.coalesce("name", F.lit("None")).alias("name"), "text", "item_text").sortWithinPartitions("name")
+    runs = scratch.write("runs", pairs.mapInArrow(_extend, "doc_id bigint, text_key bigint, name string, lo bigint, hi bigint"))
+    order = Window.partitionBy(*own).orderBy("lo", "hi")
+    before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = runs.withColumn("new", F.when(F.col("lo") <= before, 0).otherwise(1))
+    marked = marked.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = marked.groupBy(*own, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    joined = joined.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs")).withColumnsRenamed({"doc_id": "_d", "text_key": "_k"})
+    names = runs.groupBy(*own).agg(F.array_sort(F.collect_set("name")).alias("items"))
+    whole = names.join(joined, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")))
+    return whole.select(*own, "runs.lo", "runs.hi", "items")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -206,11 +269,14 @@ def _clean(items):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Documents without any benchmark window, all columns kept; each block of items is a filter of its own."""
-    for items in blocks_of(benchmark, block_words):
-        docs = docs.mapInArrow(_clean(items), docs.schema)
-    return docs
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Documents without any benchmark window, all columns kept."""
+    items = small_enough(benchmark, block_bytes)
+    if items is not None:
+        return docs.mapInArrow(_clean(items), docs.schema)
+    doc_id, text_key = spare(docs, "_doc_id"), spare(docs, "_text_key")
+    found = joined_hits(docs, benchmark, Scratch(docs.sparkSession, "decontam")).select(F.col("doc_id").alias(doc_id), F.col("text_key").alias(text_key))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.xxhash64("text") == F.col(text_key)), "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

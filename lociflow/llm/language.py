@@ -3,23 +3,27 @@
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability is the sum
 over all its segmentations into pieces, by the forward algorithm; a text's is the product over its words. The
 piece probabilities are fitted by expectation-maximisation over the same lattices, on a bounded sample:
-DOCS_PER_LANG documents of each language, those with the least hash of their id, whole.
+DOCS_PER_LANG documents of each language with SAMPLE_BYTES of text at most, those with the least hash of their id, whole.
+Words are letters with their combining marks; pieces that no such word can hold are left out.
 
 Defined results: null text, and text without a letter, is `und` with score 0; so is everything when no row has
 a label; a tie goes to the first language by name; words of over MAX_WORD letters are cut into runs of that
-length; very long texts are scored whole; other columns are carried by `keep_identified`, none is read.
+length; very long texts are scored whole; rows of repeated doc_ids are rows of their own; other columns are carried by
+`keep_identified`, none is read.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import claim, fold, mix, remember, slices, texts
+from lociflow.llm.common import claim, fold, mix, one_of_each, remember, slices, texts
 
-DOCS_PER_LANG, EM_ROUNDS, MAX_PIECE, MAX_WORD = 300, 3, 8, 40
+DOCS_PER_LANG, SAMPLE_BYTES, EM_ROUNDS, MAX_WORD = 300, 8 << 20, 3, 40
 #: Probability of a letter that no piece covers, the same in all languages.
 UNKNOWN, SMOOTHING = 1e-6, 0.1
 #: ASCII letters in lower case, everything above ASCII as it is, blanks for the rest.
@@ -38,7 +42,12 @@ def pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     every = (model.id_to_piece(i) for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return sorted({p.lower() for p in every if len(p) <= MAX_PIECE})
+    return sorted({p.lower() for p in every if p and all(lettered(c) for c in p.lower()[p.startswith("▁") :]) and len(p) <= MAX_WORD + 1})
+
+
+def lettered(c: str) -> bool:
+    """A letter, or a combining mark that belongs to one."""
+    return c.isalpha() or (c > "\u02ff" and unicodedata.category(c)[0] == "M")
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -58,21 +67,19 @@ class Vocabulary:
         for n in np.unique(lengths):
             rows = np.flatnonzero(lengths == n)
             self.hashes[rows] = self._prefixes(_codes([names[i] for i in rows]))[:, -1]
-        self.tables = []
-        left = np.arange(len(names))
-        for shift in (0, 19, 38):  # each takes one piece a slot; what doesn't fit goes to the next
-            slot = self._slot(self.hashes[left], shift)
+        self.longest = int(lengths.max(initial=1))
+        self.tables: list[np.ndarray] = []
+        left = np.unique(self.hashes, return_index=True)[1]
+        while len(left):  # each table takes one piece a slot; what doesn't fit goes to the next
+            slot = self._slot(self.hashes[left], len(self.tables))
             _, first = np.unique(slot, return_index=True)
             table = np.full(1 << self.bits, -1, np.int32)
             table[slot[first]] = left[first]
-            self.tables.append((shift, table))
+            self.tables.append(table)
             left = np.delete(left, first)
-            if not len(left):
-                break
-        assert not len(left), "pieces collide in every table"
 
-    def _slot(self, hashes: np.ndarray, shift: int) -> np.ndarray:
-        return ((mix(hashes) >> np.uint64(shift)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+    def _slot(self, hashes: np.ndarray, turn: int) -> np.ndarray:
+        return (mix(hashes + np.uint64(turn)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     @staticmethod
     def _prefixes(codes: np.ndarray) -> np.ndarray:
@@ -83,8 +90,8 @@ class Vocabulary:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         found = np.full(len(hashes), -1, np.int64)
-        for shift, table in self.tables:
-            candidate = table[self._slot(hashes, shift)]
+        for turn, table in enumerate(self.tables):
+            candidate = table[self._slot(hashes, turn)]
             ok = (candidate >= 0) & (self.hashes[candidate] == hashes)
             found[ok] = candidate[ok]
         return found
@@ -93,10 +100,10 @@ class Vocabulary:
         """(begin, end, rows, piece numbers) of every span of equal-length words that is a piece, by end."""
         prefix = self._prefixes(_codes(words))
         power = [np.uint64(1)]
-        for _ in range(MAX_PIECE):
+        for _ in range(self.longest):
             power.append(np.uint64((int(power[-1]) * int(_BASE)) & 0xFFFFFFFFFFFFFFFF))
         for end in range(1, prefix.shape[1]):
-            for begin in range(max(0, end - MAX_PIECE), end):
+            for begin in range(max(0, end - self.longest), end):
                 found = self.find(prefix[:, end] - prefix[:, begin] * power[end - begin])
                 rows = np.flatnonzero(found >= 0)
                 if len(rows):
@@ -153,7 +160,9 @@ def log_chances(vocabulary: Vocabulary, chance: np.ndarray, words: list[str]) ->
 
 def spelled(word: bytes) -> list[str]:
     """The letters of a blank-free stretch of text as marked words; none if it has no letter."""
-    text = "".join(c for c in word.decode().lower() if c.isalpha())
+    text = "".join(c for c in word.decode().lower() if lettered(c))
+    if not any(map(str.isalpha, text)):
+        return []
     return ["▁" + text[i : i + MAX_WORD] for i in range(0, len(text), MAX_WORD)]
 
 
@@ -245,10 +254,15 @@ def _count_words(batches):
 def fit(labelled: DataFrame, vocabulary_path: str | None = None, docs_per_lang: int = DOCS_PER_LANG, rounds: int = EM_ROUNDS) -> Model | None:
     """A model out of (doc_id, text, lang) rows; None if none has text and lang."""
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= docs_per_lang)
-    # docs_per_lang rows a language.
-    sample = known.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")
+    tkey = F.xxhash64("text")
+    sized = known.select("lang", "doc_id", tkey.alias("tkey"), F.octet_length("text").alias("size")).distinct()
+    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "tkey")
+    chosen = sized.withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= docs_per_lang)
+    upto = F.sum("size").over(least.rowsBetween(Window.unboundedPreceding, 0))
+    chosen = chosen.withColumn("_upto", upto).filter(F.col("_upto") <= SAMPLE_BYTES).select("lang", "doc_id", "tkey")
+    # docs_per_lang rows and SAMPLE_BYTES a language.
+    sample = known.select("lang", "doc_id", "text", tkey.alias("tkey")).join(F.broadcast(chosen), ["lang", "doc_id", "tkey"])
+    sample = one_of_each(sample, ["lang", "doc_id", "tkey"]).select("lang", "text")
     rows = sample.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     if not rows.num_rows:
         return None
@@ -296,20 +310,20 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), "doc_id bigint, lang_pred string, score double")
 
 
-def _keep(model, least: float):
+def _keep(model):
     def run(batches):
         for batch in slices(batches):
-            langs, score = model.value.score(texts(batch))
-            yield batch.filter(pa.array([lang != "und" and p >= least for lang, p in zip(langs, score.tolist())], pa.bool_()))
+            langs, _ = model.value.score(texts(batch))
+            yield batch.filter(pa.array([lang != "und" for lang in langs], pa.bool_()))
 
     return run
 
 
-def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
-    """Documents whose language is found with a posterior of at least `least`, all columns kept."""
+def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
+    """Documents whose language is found, all columns kept; without a model those with a letter."""
     if model is None:
-        return docs.limit(0)
-    return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model), least), docs.schema)
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates. DataFrame functions only.
 
-A text's segments are its lines, where it has blank lines its paragraphs, and runs of neighbouring lines up to the
-whole text. A segment and a template are lower-cased (A-Z), runs of other characters than letters and digits of ASCII become blanks, and their sets of
+A text's segments are its lines, the sentences of lines of several, where it has blank lines its paragraphs, and runs of
+neighbouring lines up to the whole text. A sentence counts only if its line doesn't match as a whole. A segment and a template are lower-cased (A-Z), runs of other characters than letters and digits of ASCII become blanks, and their sets of
 word bigrams are compared. Dice of at least t asks for sizes between t / (2 - t) and (2 - t) / t of the
 template's, so the join is an equi-join on the size, and a segment meets only templates that fit. Before
 that, a segment must hold one of the templates' anchors: words that touch more of a template's bigrams than
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from lociflow.llm.common import LOWER, UPPER, ascii_lower
 
 LEAST = 0.8
+SENTENCE_END = "[.!?;][ \t]+"
 #: A template table with more (template, size) rows than this is joined without a broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -65,6 +66,19 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "work", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "notice", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "work", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("MIT", "spdx", "SPDX-License-Identifier: MIT"),
+    ("Apache-2.0", "spdx", "SPDX-License-Identifier: Apache-2.0"),
+    ("GPL-2.0", "spdx-only", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-2.0", "spdx-later", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("GPL-3.0", "spdx-only", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-3.0", "spdx-later", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("MPL-2.0", "spdx", "SPDX-License-Identifier: MPL-2.0"),
+    ("BSD-2-Clause", "spdx", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "spdx", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("ISC", "spdx", "SPDX-License-Identifier: ISC"),
+    ("Unlicense", "spdx", "SPDX-License-Identifier: Unlicense"),
+    ("CC-BY-4.0", "spdx", "SPDX-License-Identifier: CC-BY-4.0"),
+    ("CC-BY-SA-4.0", "spdx", "SPDX-License-Identifier: CC-BY-SA-4.0"),
     ("Proprietary", "rights", "Copyright. All rights reserved."),
 ]
 
@@ -90,14 +104,18 @@ def anchors(text: str, least: float) -> list[str]:
     return chosen
 
 
-def segments(docs: DataFrame) -> DataFrame:
-    """(doc_id, segment, words): the normalised words of each line, and of each paragraph of several lines."""
+def segments(docs: DataFrame, anchor: list[str]) -> DataFrame:
+    """(doc_id, segment, sentence, words): the normalised words of each line and of each paragraph of several lines that hold an
+    anchor, and of their sentences where there are several (0 is the whole)."""
     lines = F.split("text", "\n")
     paragraphs = F.filter(F.split("text", "\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n")))
     blank_lines = F.col("text").rlike("\n[ \t\r]*\n")
     parts = docs.select("doc_id", F.posexplode(F.when(blank_lines, F.concat(lines, paragraphs)).otherwise(lines)).alias("segment", "part"))
-    plain = F.trim(F.regexp_replace(ascii_lower(F.col("part")), "[^a-z0-9]+", " "))
-    return parts.select("doc_id", "segment", F.split(plain, " ").alias("words"))
+    likely = F.arrays_overlap("words", F.array(*map(F.lit, anchor)))
+    parts = parts.withColumn("words", F.split(_plain(F.col("part")), " ")).filter(likely)
+    sentences = F.split(F.when(~F.contains("part", F.lit("\n")), F.col("part")).otherwise(""), SENTENCE_END)
+    pieces = F.when(F.size(sentences) > 1, F.transform(sentences, lambda x: F.split(_plain(x), " "))).otherwise(F.array().cast("array<array<string>>"))
+    return parts.select("doc_id", "segment", F.posexplode(F.concat(F.array("words"), pieces)).alias("sentence", "words")).filter(likely)
 
 
 def _plain(text: Column) -> Column:
@@ -157,19 +175,24 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, l
             low, high = math.ceil(least / (2 - least) * len(bigrams) - 1e-9), math.floor((2 - least) / least * len(bigrams) + 1e-9)
             rows += [(n, licence, template, bigrams) for n in range(max(1, low), high + 1)]
     known = spark.createDataFrame(rows, "n int, license_id string, template_id string, template array<string>")
-    likely = segments(docs).filter(F.arrays_overlap("words", F.array(*[F.lit(w) for w in sorted(anchor)])) if anchor else F.lit(False))
+    likely = segments(docs, sorted(anchor)) if anchor else segments(docs.limit(0), [""])
     pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))
-    sized = likely.filter(F.size("words") > 1).select("doc_id", "segment", F.array_distinct(pairs).alias("bigrams")).withColumn("n", F.size("bigrams"))
+    sized = likely.filter(F.size("words") > 1).select("doc_id", "segment", "sentence", F.array_distinct(pairs).alias("bigrams")).withColumn("n", F.size("bigrams"))
     met = sized.join(F.broadcast(known) if len(rows) <= BROADCAST_ROWS else known, "n")
     shared = F.size(F.array_intersect("bigrams", "template"))
     met = met.withColumn("dice", F.lit(2.0) * shared / (F.col("n") + F.size("template"))).filter(F.col("dice") >= least)
     order = F.struct((-F.col("dice")).alias("d"), "license_id", "template_id")
-    best = met.groupBy("doc_id", "segment").agg(F.min(order).alias("best")).select("doc_id", "segment", "best.*")
+    best = met.groupBy("doc_id", "segment", "sentence").agg(F.min(order).alias("best"))
+    # A line that matches as a whole stands for its sentences.
+    each = F.collect_list(F.struct("sentence", "best"))
+    best = best.groupBy("doc_id", "segment").agg(F.array_sort(each).alias("each"))
+    best = best.select("doc_id", "segment", F.explode(F.when(F.col("each")[0]["sentence"] == 0, F.slice("each", 1, 1)).otherwise(F.col("each"))).alias("one"))
+    best = best.select("doc_id", F.concat_ws(".", "segment", "one.sentence").alias("segment"), "one.best.*")
     if whole:
         entire = spark.createDataFrame(whole, "license_id string, template_id string, template array<string>")
         more = runs(docs.select("doc_id", "text"), entire, sorted(anchor), sorted({b for _, _, t in whole for b in t}), least)
         more = more.groupBy("doc_id", "segment").agg(F.min(F.struct("d", "license_id", "template_id")).alias("best"))
-        best = best.withColumn("segment", F.col("segment").cast("string")).unionByName(more.select("doc_id", "segment", "best.*"))
+        best = best.unionByName(more.select("doc_id", "segment", "best.*"))
     found = best.groupBy("doc_id", "license_id").agg(F.min(F.struct("d", "template_id")).alias("best"), F.count(F.lit(1)).alias("n_segments"))
     return found.select("doc_id", "license_id", "best.template_id", F.round(-F.col("best.d"), 6).alias("dice"), "n_segments")
 
@@ -193,14 +216,18 @@ OP9_SQL = (
     "p AS (SELECT doc_id, list_concat(string_split(text, chr(10)), CASE WHEN regexp_matches(text, '\\n[ \\t\\r]*\\n') THEN\n"
     "        [x FOR x IN string_split_regex(text, '\\n[ \\t\\r]*\\n') IF contains(x, chr(10))] ELSE [] END) AS parts FROM documents),\n"
     "s AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS segment, unnest(parts) AS part FROM p),\n"
-    "w AS (SELECT doc_id, segment, string_split("
+    "u AS (SELECT doc_id, segment, 0 AS sentence, part FROM s UNION ALL\n"
+    "      SELECT doc_id, segment, unnest(range(1, len(x) + 1)) AS sentence, unnest(x) AS part\n"
+    "      FROM (SELECT doc_id, segment, string_split_regex(part, '[.!?;][ \\t]+') AS x FROM s WHERE NOT contains(part, chr(10))) WHERE len(x) > 1),\n"
+    "w AS (SELECT doc_id, segment, sentence, string_split("
     + _PLAIN.format("part")
-    + ", ' ') AS w FROM s),\n"
-    "b AS (SELECT doc_id, segment, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS b FROM w WHERE len(w) > 1),\n"
-    "m AS (SELECT doc_id, segment, license_id, template_id, 2.0::DOUBLE * len(list_intersect(b, t)) / (len(b) + len(t)) AS dice\n"
+    + ", ' ') AS w FROM u),\n"
+    "b AS (SELECT doc_id, segment, sentence, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS b FROM w WHERE len(w) > 1),\n"
+    "m AS (SELECT doc_id, segment, sentence, license_id, template_id, 2.0::DOUBLE * len(list_intersect(b, t)) / (len(b) + len(t)) AS dice\n"
     "      FROM b JOIN kb ON len(b) BETWEEN ceil(len(t) / 1.5 - 1e-9) AND floor(len(t) * 1.5 + 1e-9)),\n"
     "f AS (SELECT * FROM m WHERE dice >= 0.8\n"
-    "      QUALIFY row_number() OVER (PARTITION BY doc_id, segment ORDER BY dice DESC, license_id, template_id) = 1)\n"
+    "      QUALIFY row_number() OVER (PARTITION BY doc_id, segment, sentence ORDER BY dice DESC, license_id, template_id) = 1),\n"
+    "z AS (SELECT * FROM f QUALIFY sentence = 0 OR min(sentence) OVER (PARTITION BY doc_id, segment) > 0)\n"
     "SELECT doc_id, license_id, arg_min(template_id, struct_pack(d := -dice, t := template_id)) AS template_id,\n"
-    "       round(max(dice), 6) AS dice, count(*) AS n_segments FROM f GROUP BY doc_id, license_id"
+    "       round(max(dice), 6) AS dice, count(*) AS n_segments FROM z GROUP BY doc_id, license_id"
 )

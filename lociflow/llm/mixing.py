@@ -7,7 +7,8 @@ source miss its target by no more than about one document.
 
 Defined results: null or wordless text has size 0 and its copies, if any, carry no words; a source without
 words has target 0 and gives nothing; null is a source of its own, after all others; repeated doc_ids are
-separate rows; an empty table gives an empty mix.
+separate rows; an empty table gives an empty mix. The plan of targets is one row a source in one task: sources are
+meant to be names of collections, some thousands at most, not hosts.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import SPACED_WORD, Scratch
+from lociflow.llm.common import SPACED_WORD, Scratch, row_hash, spare
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -80,25 +81,42 @@ def copies(sized: DataFrame, scratch: Scratch, seed: str = "mix", **weighting) -
     return rows.select("doc_id", "source", "size", "tie", "source_size", "target", crossed.cast("bigint").alias("copies"))
 
 
+def numbered(df: DataFrame, keys: list[str], order: str, name: str, scratch: Scratch) -> DataFrame:
+    """df with each row's number among those of its key, from 1 on, in `order`: two levels, as a key may hold very many rows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part, first = spare(df, "_part"), spare(df, "_first")
+    dealt = scratch.write(f"numbered{name}", df.repartitionByRange(parts, *keys, order).withColumn(part, F.spark_partition_id()))
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*keys, part).agg(F.count(F.lit(1)).alias(first)).withColumn(first, F.coalesce(F.sum(first).over(earlier), F.lit(0)))
+    renamed = counts.select(*[F.col(k).alias(f"{k}_r") for k in [*keys, part]], first)
+    same = F.lit(True)
+    for k in [*keys, part]:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_r"))
+    local = F.row_number().over(Window.partitionBy(*keys, part).orderBy(order))
+    return dealt.join(renamed, same).withColumn(name, F.col(first) + local).select(*df.columns, name)
+
+
 def mix_sources(docs: DataFrame, seed: str = "mix", **weighting) -> DataFrame:
     """The mix itself: each document's row as often as it is taken, with the columns of `docs`.
 
-    Rows of the same doc_id are told apart by their text; equal rows take the mean of their copies' ranks in turn.
+    Rows of the same doc_id are told apart by their text; equal rows share the copies of their ranks in turn, in the order of
+    their row hash. Whole texts meet the plan in one join; only rows of an id and text that stand there several times are numbered.
     """
     scratch = Scratch(docs.sparkSession, "mix")
+    d, s, t, tie, number, times, total, row = (spare(docs, f"_{x}") for x in ("d", "s", "t", "tie", "number", "times", "total", "row"))
     sized = scratch.write("sizes", sizes(docs))
-    taken = copies(sized, scratch, seed, **weighting).filter("copies > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("tie").alias("_t")).agg(
-        F.sum("copies").alias("_copies")
-    )
-    # Equal rows are one entry above, so each of them is numbered and takes its share of the copies.
-    keyed = docs.withColumn("_tie", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = Window.partitionBy("doc_id", "source", "_tie")
-    keyed = keyed.withColumn("_n", F.count(F.lit(1)).over(same)).withColumn("_i", F.row_number().over(same.orderBy("_tie")))
-    joined = keyed.join(taken, (F.col("doc_id") == F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_tie") == F.col("_t")))
-    own = F.floor(F.col("_i") * F.col("_copies") / F.col("_n")) - F.floor((F.col("_i") - 1) * F.col("_copies") / F.col("_n"))
-    often = joined.withColumn("_own", own.cast("int")).filter("_own > 0")
-    return often.withColumn("_each", F.explode(F.array_repeat(F.lit(0), F.col("_own")))).select(*docs.columns)
+    taken = copies(sized, scratch, seed, **weighting).groupBy(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("tie").alias(t))
+    taken = scratch.write("taken", taken.agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(times)).filter(F.col(total) > 0))
+    keyed = docs.withColumn(tie, F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(tie) == F.col(t)))
+    once = joined.filter(F.col(times) == 1).withColumn(number, F.col(total))
+    several = joined.filter(F.col(times) > 1)
+    if not taken.filter(F.col(times) > 1).isEmpty():
+        placed = numbered(several.withColumn(row, row_hash(docs)), [d, s, t], row, number, scratch).drop(row)
+        own = F.floor(F.col(number) * F.col(total) / F.col(times)) - F.floor((F.col(number) - 1) * F.col(total) / F.col(times))
+        once = once.unionByName(placed.withColumn(number, own.cast("bigint")))
+    often = once.filter(F.col(number) > 0)
+    return often.withColumn(row, F.explode(F.array_repeat(F.lit(0), F.col(number).cast("int")))).select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,22 +5,26 @@ Trusted positives and unlabelled web text train a small network that minimises t
 is estimated as the share of positives among the rows that carry a label. A text is described by counts over
 its characters, words and lines, gathered with numpy.
 
-Training takes POSITIVES trusted and UNLABELLED other documents, those with the least hash of their id, whole.
+Training takes POSITIVES trusted and UNLABELLED web documents at most, those with the least hash of their id, whole.
+The cut, which scores one half, is set on all documents: where their log-odds, counted in BINS bins, are thinnest within
+NEAR of the prior's quantile. That the prior is the labels' own share supposes that labels were drawn at random.
 
 Defined results: null and empty texts have all counts 0 and are scored like any other; without positives every
-score is 0.5; without unlabelled rows the positives stand in for them; further columns are ignored.
+score is 0.5; without unlabelled rows the positives stand in for them; rows of repeated doc_ids are rows of their own;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import fold, slices, texts
+from lociflow.llm.common import Scratch, bounded_sample, fold, slices, texts
 
 POSITIVES, UNLABELLED = 4_000, 8_000
+SAMPLE_BYTES, BINS, NEAR = 256 << 20, 4096, 0.03
 HIDDEN, EPOCHS, BATCH, RATE = 24, 60, 256, 0.01
 
 _BYTES = np.arange(256)
@@ -78,59 +82,50 @@ def describe_all(batch: list[bytes | None]) -> np.ndarray:
 class Scorer:
     """Standardised features, one hidden layer, a logistic score."""
 
-    def __init__(self, mean, scale, hidden, bias, out, out_bias):
-        self.mean, self.scale, self.hidden, self.bias, self.out, self.out_bias = mean, scale, hidden, bias, out, out_bias
+    def __init__(self, mean, scale, hidden, bias, out, out_bias, prior):
+        self.mean, self.scale, self.hidden, self.bias, self.out, self.out_bias, self.prior = mean, scale, hidden, bias, out, out_bias, prior
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.tanh(np.clip((x - self.mean) / self.scale, -8, 8) @ self.hidden + self.bias) @ self.out + self.out_bias
 
-    def scores(self, batch: list[bytes | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(describe_all(batch)), -60, 60)))
-
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 11, epochs: int = EPOCHS) -> Scorer:
-    """Minimise the non-negative risk by Adam; where the negative part falls below zero, its ascent is taken instead.
-
-    In the end the bias is moved so that `prior` of the unlabelled rows score over one half.
-    """
+    """Minimise the non-negative risk by Adam; where the negative part falls below zero, its ascent is taken instead."""
     rng = np.random.default_rng(seed)
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(0), np.maximum(both.std(0), 1e-3)
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
     params = [rng.normal(0, 1 / np.sqrt(N_FEATURES), (N_FEATURES, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
     m, v, t = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params], 0
-
-    def risk(x: np.ndarray, sign: int, weight: float):
-        """Mean sigmoid loss of calling x `sign`, and its gradient."""
-        h = np.tanh(x @ params[0] + params[1])
-        loss = 1 / (1 + np.exp(np.clip(sign * (h @ params[2] + params[3]), -60, 60)))
-        dz = -sign * loss * (1 - loss) * weight / len(x)
-        dh = dz[:, None] * params[2] * (1 - h * h)
-        return weight * loss.mean(), [x.T @ dh, dh.sum(0), h.T @ dz, dz.sum(keepdims=True)]
-
     for _ in range(epochs):
         order_u = rng.permutation(len(u))
         for at in range(0, len(u), BATCH):
             xu, xp = u[order_u[at : at + BATCH]], p[rng.integers(0, len(p), min(BATCH, len(p)))]
-            _, up = risk(xp, 1, prior)
-            r_u, down_u = risk(xu, -1, 1.0)
-            r_p, down_p = risk(xp, -1, prior)
-            negative = [a - b for a, b in zip(down_u, down_p)]
-            grads = [a + b for a, b in zip(up, negative)] if r_u >= r_p else [-b for b in negative]
+            _, grads = pu_risk(params, xp, xu, prior)
             t += 1
             for k, g in enumerate(grads):
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 params[k] -= RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-    scorer = Scorer(mean, scale, *params)
-    # Scores saturate on both sides of a gap; the cut goes into the widest part of it near the prior's quantile.
-    z = np.sort(scorer.logits(unlabelled))
-    if len(z) > 1:
-        lo, hi = (int(np.clip((1 - prior + d) * len(z), 0, len(z) - 1)) for d in (-0.03, 0.03))
-        gaps = np.diff(z[lo : hi + 2])
-        k = lo + int(gaps.argmax()) if len(gaps) else lo
-        scorer.out_bias = scorer.out_bias - (z[k] + z[min(k + 1, len(z) - 1)]) / 2
-    return scorer
+    return Scorer(mean, scale, *params, prior)
+
+
+def risk(params: list[np.ndarray], x: np.ndarray, sign: int, weight: float) -> tuple[float, list[np.ndarray]]:
+    """Mean sigmoid loss of calling x `sign`, and its gradient."""
+    h = np.tanh(x @ params[0] + params[1])
+    loss = 1 / (1 + np.exp(np.clip(sign * (h @ params[2] + params[3]), -60, 60)))
+    dz = -sign * loss * (1 - loss) * weight / len(x)
+    dh = dz[:, None] * params[2] * (1 - h * h)
+    return float(weight * loss.mean()), [x.T @ dh, dh.sum(0), h.T @ dz, dz.sum(keepdims=True)]
+
+
+def pu_risk(params: list[np.ndarray], xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, list[np.ndarray]]:
+    """The non-negative risk, and the direction to leave: its gradient, or where its negative part is below zero that part's ascent."""
+    r_up, up = risk(params, xp, 1, prior)
+    r_u, down_u = risk(params, xu, -1, 1.0)
+    r_p, down_p = risk(params, xp, -1, prior)
+    negative = [a - b for a, b in zip(down_u, down_p)]
+    return r_up + max(0.0, r_u - r_p), [a + b for a, b in zip(up, negative)] if r_u >= r_p else [-b for b in negative]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer | None:
@@ -139,13 +134,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer | None:
     prior = known.agg(F.avg((F.col("_y") == 1).cast("double"))).first()[0]
     if not prior:
         return None
-    by_hash = (F.xxhash64("doc_id"), F.col("doc_id"))
-    trusted = known.filter(F.col("_y") == 1).select("doc_id").orderBy(*by_hash).limit(POSITIVES)
-    web = docs.select("doc_id").orderBy(*by_hash).limit(UNLABELLED)  # the web as it is, positives among it
-    chosen = trusted.withColumn("_p", F.lit(1)).unionByName(web.withColumn("_p", F.lit(0)))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    trusted = bounded_sample(docs, known.filter(F.col("_y") == 1).select("doc_id", F.lit(1).alias("p")), "p", {1: POSITIVES}, SAMPLE_BYTES)
+    # The web as it is, positives among it: of all ids those with the least hash.
+    some = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED).withColumn("p", F.lit(0))
+    web = bounded_sample(docs, some, "p", {0: UNLABELLED}, SAMPLE_BYTES)
     # POSITIVES + UNLABELLED rows at most; the tasks send back N_FEATURES numbers of each.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_p").mapInArrow(_describe, "doc_id bigint, p int, x array<double>").collect()
-    rows = sorted(rows, key=lambda r: (r[0], r[2]))
+    rows = trusted.unionByName(web).select("doc_id", "p", "text").mapInArrow(_describe, "doc_id bigint, p int, x array<double>").collect()
+    rows = sorted(rows, key=lambda r: (r[0], r[1], r[2]))
     x, p = np.array([r[2] for r in rows]).reshape(-1, N_FEATURES), np.array([r[1] for r in rows])
     positive, rest = x[p == 1], x[p == 0]
     if not len(positive):
@@ -157,32 +153,48 @@ def _describe(batches):
     for batch in slices(batches):
         x = describe_all(texts(batch))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), batch.column("_p").cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "p", "x"]
+            [batch.column("doc_id").cast(pa.int64()), batch.column("p").cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "p", "x"]
         )
 
 
-def _score(scorer):
+def _logits(scorer):
     def run(batches):
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(scorer.value.scores(texts(batch)))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(scorer.value.logits(describe_all(texts(batch))))], ["doc_id", "z"])
 
     return run
 
 
-def score(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
-    """(doc_id, score) of every row of (doc_id, text)."""
+def thinnest(logits: DataFrame, prior: float) -> float:
+    """The middle of the emptiest bins of z near the quantile that leaves `prior` of the rows above."""
+    lo, hi = logits.agg(F.min("z"), F.max("z")).first()
+    if lo is None or lo == hi:
+        return lo or 0.0
+    place = F.least(F.floor((F.col("z") - lo) / (hi - lo) * BINS), F.lit(BINS - 1)).cast("int")
+    counts = np.zeros(BINS, np.int64)
+    for b, n in logits.groupBy(place).count().collect():  # BINS rows at most
+        counts[b] = n
+    upto = np.cumsum(counts)
+    first, last = (int(np.searchsorted(upto, np.clip(1 - prior + d, 0, 1) * upto[-1])) for d in (-NEAR, NEAR))
+    near = counts[first : min(last, BINS - 1) + 1]
+    ends = np.flatnonzero(np.diff(np.concatenate([[0], near == near.min(), [0]])))
+    a, b = max(zip(ends[::2], ends[1::2]), key=lambda e: (e[1] - e[0], -e[0]))
+    return float(lo + (first + (a + b) / 2) * (hi - lo) / BINS)
+
+
+def score(docs: DataFrame, scorer: Scorer | None, seen: Column | None = None) -> DataFrame:
+    """(doc_id, score) of every row of (doc_id, text). The cut is set on rows whose doc_id meets `seen`, or on all."""
     if scorer is None:
         return docs.select("doc_id", F.lit(0.5).alias("score"))
-    return docs.select("doc_id", "text").mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(scorer)), "doc_id bigint, score double")
+    spark = docs.sparkSession
+    logits = docs.select("doc_id", "text").mapInArrow(_logits(spark.sparkContext.broadcast(scorer)), "doc_id bigint, z double")
+    logits = Scratch(spark, "quality").write("logits", logits)
+    cut = thinnest(logits if seen is None else logits.filter(seen), scorer.prior)
+    return logits.select("doc_id", (1 / (1 + F.exp(-F.least(F.greatest(F.col("z") - cut, F.lit(-60.0)), F.lit(60.0))))).alias("score"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold(F.col("doc_id"), 3) != 1)
-    seen = docs.filter(fold(F.col("doc_id"), 3) != 1)
-    return score(docs, fit(seen, labels)).select(
-        "doc_id",
-        (fold(F.col("doc_id"), 3) == 1).alias("held_out"),
-        "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
-    )
+    seen = fold(F.col("doc_id"), 3) != 1
+    scorer = fit(docs.filter(seen), spark.read.parquet(f"{sf_dir}/labels.parquet").filter(seen))
+    return score(docs, scorer, seen).select("doc_id", (~seen).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

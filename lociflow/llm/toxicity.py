@@ -2,15 +2,18 @@
 
 A word is two hashed embeddings side by side: one of the word, one of its first four letters. Filters of one,
 two and three words run over the text, each keeps its maximum, and a logistic unit scores the maxima. Scores
-are set so that 0.3 is the threshold of best F1 on a validation part; beside it, each language has a
-threshold of its own where enough validation rows carry that language (the score itself never sees it).
-
-Training takes a bounded sample of labelled rows, POSITIVES and NEGATIVES of them, those with the least hash
-of their id, whole. Only the pooled position of each filter gets a gradient, so a step costs little more than
-the forward pass.
-
-Defined results: null and wordless texts are scored as an empty text; without labelled rows of both classes every
-score is 0; a label given twice counts as the larger; further columns are ignored.
+are set so that 0.3 is the threshold of best F1 on the validation part, every VALIDATION-th of all labelled rows by
+the hash of their id: these are scored by Spark and counted by language, score and label, so that thresholds rest on
+all of them and on the labels' own mix. Beside it, each language has a threshold of its own where at least LEAST
+validation rows of either class carry that language (the score itself never sees it).
+
+Training takes a bounded sample of the other labelled rows: POSITIVES and NEGATIVES of them at most, with SAMPLE_BYTES
+of text each at most, those with the least hash of their id, whole; only their words' bucket numbers come to the
+driver. Only the pooled position of each filter gets a gradient, so a step costs little more than the forward pass.
+
+Defined results: null and wordless texts are scored as an empty text; without labelled rows of both classes to train on
+every score is 0; without both among the validation rows all labelled rows set the thresholds; a label given twice counts
+as the larger; rows of repeated doc_ids are rows of their own; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import WORD_BYTES, claim, fold, remember, slices, texts
+from lociflow.llm.common import WORD_BYTES, bounded_sample, claim, fold, remember, slices, texts
 
-POSITIVES, NEGATIVES = 3_000, 6_000
+POSITIVES, NEGATIVES, SAMPLE_BYTES = 3_000, 6_000, 16 << 20
 WORD_BUCKETS, PREFIX_BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 1 << 15, 8, 8, (1, 2, 3)
 EPOCHS, STEPS, BATCH, RATE, VALIDATION, CUT = 6, 800, 32, 0.02, 4, 0.3
+#: Weight decay of filters and of the last unit.
+DECAY = (1e-5, 1e-4)
+#: Least rows of a class for a language's own threshold; score bins to a unit of log-odds, and their range.
+LEAST, BINS, RANGE = 10, 64, 40
 #: Blank rows after each text, so that no filter reaches into the next one.
 PAD = max(WIDTHS) - 1
 
@@ -120,38 +127,29 @@ class Adam:
             p[at] -= scale * m[at] / (np.sqrt(v[at]) + 1e-8)
 
 
-def train(rows: list[tuple[str | None, int, str | None]], seed: int = 7) -> Network | None:
-    """A network from (text, label, language) rows; every VALIDATION-th row only sets the thresholds.
+def train(docs: list[np.ndarray], labels: list[int], seed: int = 7) -> Network | None:
+    """A network from texts (as `encode` gives them, one by one) and their labels; None if one class is missing.
 
     There are EPOCHS rounds over the rows, more if they make fewer than STEPS steps.
     """
-    if len({y for _, y, _ in rows}) < 2:
+    if len(set(labels)) < 2:
         return None
     net, rng = Network(seed), np.random.default_rng(seed)
-    ids, ends = encode([t.encode() if t is not None else None for t, _, _ in rows])
-    label = np.array([y for _, y, _ in rows], np.float32)
-    order = rng.permutation(len(rows))
-    held, used = order[::VALIDATION], np.setdiff1d(order, order[::VALIDATION])
-    params = [net.word, net.prefix, *net.filters, *net.bias, net.out, net.out_bias]
-    adam = Adam(params, RATE)
-    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(used)))):
-        rng.shuffle(used)
-        for at in range(0, len(used), BATCH):
-            step(net, adam, [(ids[ends[i] : ends[i + 1]], label[i]) for i in used[at : at + BATCH].tolist()])
-    held = held if len(set(label[held].tolist())) > 1 else order
-    logit = np.concatenate([net.logits(ids[ends[i] : ends[i + 1]], np.array([0, ends[i + 1] - ends[i]])) for i in held.tolist()]).astype(np.float64)
-    cut = best_cut(logit, label[held])
-    net.shift = float(np.log(CUT / (1 - CUT)) - cut)
-    languages = np.array([str(rows[i][2]) for i in held.tolist()])
-    for lang in sorted(set(languages.tolist()) - {"None"}):
-        own = languages == lang
-        if min((label[held][own] == k).sum() for k in (0, 1)) >= 10:
-            z = best_cut(logit[own], label[held][own]) + net.shift
-            net.thresholds[lang] = float(1 / (1 + np.exp(-z)))
+    label, order = np.array(labels, np.float32), np.arange(len(docs))
+    adam = Adam([net.word, net.prefix, *net.filters, *net.bias, net.out, net.out_bias], RATE)
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(docs)))):
+        rng.shuffle(order)
+        for at in range(0, len(order), BATCH):
+            step(net, adam, [(docs[i], label[i]) for i in order[at : at + BATCH].tolist()])
     return net
 
 
 def step(net: Network, adam: Adam, docs: list[tuple[np.ndarray, float]]) -> None:
+    adam.step(gradients(net, docs)[1])
+
+
+def gradients(net: Network, docs: list[tuple[np.ndarray, float]]) -> tuple[float, list]:
+    """Mean log-loss (without the decay terms), and the gradients in the order of the optimiser's parameters."""
     flat = np.concatenate([d for d, _ in docs])
     ends = np.concatenate([[0], np.cumsum([len(d) for d, _ in docs])])
     rows = net.embed(flat)
@@ -159,7 +157,8 @@ def step(net: Network, adam: Adam, docs: list[tuple[np.ndarray, float]]) -> None
     peak = [np.stack([a + f[a:b].argmax(0) for a, b in zip(ends[:-1], ends[1:])]) for f in found]
     pooled = np.concatenate([f[p, np.arange(FILTERS)] for f, p in zip(found, peak)], axis=1)
     z = pooled @ net.out + net.out_bias[0]
-    error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - np.array([y for _, y in docs], np.float32)) / len(docs)
+    label = np.array([y for _, y in docs], np.float32)
+    error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) / len(docs)
     down = error[:, None] * net.out * (pooled > 0)
     filter_grads, bias_grads, where, what = [], [], [], []
     for k, (filters, p) in enumerate(zip(net.filters, peak)):
@@ -171,44 +170,76 @@ def step(net: Network, adam: Adam, docs: list[tuple[np.ndarray, float]]) -> None
             grad[j] = np.einsum("dfe,df->ef", rows[at], live)
             where.append(at.ravel())
             what.append((live[:, :, None] * filters[j].T[None]).reshape(-1, 2 * DIM))
-        filter_grads.append(grad + 1e-5 * filters)
+        filter_grads.append(grad + DECAY[0] * filters)
         bias_grads.append(own.sum(0))
     where, what = np.concatenate(where), np.concatenate(what)
     seen = (flat[where] >= 0) & what.any(1)
     packed, what = flat[where[seen]], what[seen]
-    adam.step(
-        [(packed >> 20, what[:, :DIM]), (packed & 0xFFFFF, what[:, DIM:]), *filter_grads, *bias_grads, pooled.T @ error + 1e-4 * net.out, error.sum(keepdims=True)]
-    )
-
-
-def best_cut(logit: np.ndarray, label: np.ndarray) -> float:
-    """The cut of best F1, halfway between the two logits that it parts."""
-    order = np.argsort(-logit, kind="stable")
-    hits = np.cumsum(label[order])
-    f1 = 2 * hits / (np.arange(1, len(label) + 1) + label.sum())
-    last = np.append(logit[order][1:] != logit[order][:-1], True)
-    k = int(np.argmax(np.where(last, f1, -1)))
-    below = logit[order][k + 1] if k + 1 < len(label) else logit[order][k] - 1
-    return float((logit[order][k] + below) / 2)
+    grads = [(packed >> 20, what[:, :DIM]), (packed & 0xFFFFF, what[:, DIM:]), *filter_grads, *bias_grads, pooled.T @ error + DECAY[1] * net.out, error.sum(keepdims=True)]
+    return float(np.mean(np.logaddexp(0, z) - label * z)), grads
+
+
+def best_cut(bins: np.ndarray, hits: np.ndarray, misses: np.ndarray) -> float:
+    """The log-odds of best F1 out of counts by score bin: halfway between the bins that it parts."""
+    order = np.argsort(-bins, kind="stable")
+    bins, hits, all_rows = bins[order], np.cumsum(hits[order]), np.cumsum((hits + misses)[order])
+    f1 = 2 * hits / (all_rows + hits[-1])
+    k = int(f1.argmax())
+    below = bins[k + 1] + 1 if k + 1 < len(bins) else bins[k] - BINS
+    return float(bins[k] + below) / 2 / BINS
+
+
+def calibrate(net: Network, rows: DataFrame) -> bool:
+    """Set shift and thresholds from labelled rows (text, lang, _y), counted by language and score bin; False without both classes."""
+    scored = rows.select("text", "lang", F.col("_y").cast("int").alias("y")).mapInArrow(_bins(rows.sparkSession.sparkContext.broadcast(net)), "lang string, bin int, y int")
+    counts = scored.groupBy("lang", "bin").agg(F.count_if(F.col("y") == 1).alias("hits"), F.count_if(F.col("y") == 0).alias("misses")).collect()  # 2 * RANGE * BINS rows a language at most
+
+    def summed(chosen: list) -> np.ndarray:
+        total: dict[int, list[int]] = {}
+        for r in chosen:
+            own = total.setdefault(r["bin"], [0, 0])
+            own[0], own[1] = own[0] + r["hits"], own[1] + r["misses"]
+        return np.array([[b, *own] for b, own in total.items()], np.float64).reshape(-1, 3)
+
+    every = summed(counts)
+    if not (every[:, 1].sum() and every[:, 2].sum()):
+        return False
+    net.shift = float(np.log(CUT / (1 - CUT)) - best_cut(*every.T))
+    for lang in sorted({r["lang"] for r in counts} - {None}):
+        own = summed([r for r in counts if r["lang"] == lang])
+        if min(own[:, 1:].sum(0)) >= LEAST:
+            net.thresholds[lang] = float(1 / (1 + np.exp(-(best_cut(*own.T) + net.shift))))
+    return True
+
+
+def _bins(net):
+    def run(batches):
+        for batch in slices(batches, limit=1 << 20):
+            z = net.value.logits(*encode(texts(batch))).astype(np.float64)
+            bins = np.floor(np.clip(z, -RANGE, RANGE) * BINS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(bins), batch.column("y")], ["lang", "bin", "y"])
 
+    return run
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, name: str, limits: dict[int, int]) -> list:
-    """(text, label, lang) of at most limits[label] rows of each label: those with the least hash of their id.
 
-    The limits bound what the driver collects.
-    """
-    known = labels.filter(F.col(name).isNotNull()).groupBy("doc_id").agg(F.max(name).alias("_y"))
-    chosen = None
-    for value, most in sorted(limits.items()):
-        part = known.filter(F.col("_y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "_y", "lang", "doc_id").collect()
-    return [(r[0], int(r[1]), r[2]) for r in sorted(rows, key=lambda r: (r[3], r[0] or ""))]
+def _encoded(batches):
+    for batch in slices(batches, limit=1 << 20):
+        flat, ends = encode(texts(batch))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "y", "words"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     """A network from documents (doc_id, text, lang) and labels (doc_id, toxic)."""
-    return train(labelled_sample(docs, labels, "toxic", {0: NEGATIVES, 1: POSITIVES}))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
+    known = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_y"))
+    validation = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(VALIDATION)) == 0
+    sample = bounded_sample(docs, known.filter(~validation), "_y", {0: NEGATIVES, 1: POSITIVES}, SAMPLE_BYTES)
+    sample = sample.select("doc_id", F.col("_y").cast("int").alias("y"), "text").mapInArrow(_encoded, "doc_id bigint, y int, words array<bigint>")
+    rows = sample.toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()  # bounded, see bounded_sample
+    net = train([x.values.to_numpy() for x in rows.column("words")], rows.column("y").to_pylist())
+    if net is not None and not calibrate(net, docs.join(known.filter(validation), "doc_id")):
+        calibrate(net, docs.join(known, "doc_id"))
+    return net
 
 
 def _score(net):

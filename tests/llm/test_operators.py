@@ -139,7 +139,7 @@ def words_of(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans(common.UPPER, common.LOWER)))
 
 
-@pytest.mark.parametrize("block", [10**6, 12])
+@pytest.mark.parametrize("block", [10**6, 12])  # sent to the tasks, and joined
 def test_decontamination(spark, block):
     rng = random.Random(5)
     items = [" ".join(rng.choice("abcdef") + str(rng.randrange(9)) for _ in range(n)) for n in (3, 10, 14, 30, 30, 1)] + [None, "!!"]
@@ -163,6 +163,14 @@ def test_decontamination(spark, block):
     clean = decontam.decontaminate(frame(spark, texts), bench, block)
     assert sorted(r.doc_id for r in clean.collect()) == sorted(d for d, r in got.items() if not r.contaminated)
     assert decontam.report(decontam.hits(frame(spark, texts), bench.limit(0))).filter("contaminated").isEmpty()
+    # Repeated and null ids: each row has its result, however the benchmark is met.
+    own = f"z {items[1]} z"
+    rows = [(1, own), (1, own), (1, "clean words"), (None, own), (None, own), (2, None), (None, "clean")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).withColumn("text_key", F.lit(1)).withColumn("_doc_id", F.lit(1))
+    out = decontam.report(decontam.hits(df, bench, block)).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.contaminated) for r in out) == [(0, 1, 0, False), (0, 12, 10, True), (0, 12, 10, True), (1, 2, 0, False), (1, 12, 10, True), (1, 12, 10, True), (2, 0, 0, False)]
+    clean = decontam.decontaminate(df, bench, block)
+    assert clean.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in clean.collect() if r.text) == [(0, "clean"), (1, "clean words")]
 
 
 def test_token_store(spark):
@@ -222,6 +230,11 @@ def test_mixing(spark):
     mixed = mixing.mix_sources(df)
     assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in out)
     assert mixing.mix_sources(df.limit(0)).count() == 0
+    clash = df.unionByName(spark.createDataFrame([(None, "no id", "en", "a", 0)] * 3, SCHEMA)).selectExpr("*", "1 AS _tie", "2 AS _n", "3 AS _number", "4 AS _part")
+    sized = scratch.write("clash", mixing.sizes(clash))
+    want = {(r.doc_id, r.source): n for (r, n) in ((r, r.n) for r in mixing.copies(sized, scratch).groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).collect()) if n}
+    mixed = mixing.mix_sources(clash)
+    assert mixed.columns == clash.columns and {(r.doc_id, r.source): r["count"] for r in mixed.groupBy("doc_id", "source").count().collect()} == want
 
 
 def test_exact_dedup_index(spark):
@@ -284,9 +297,13 @@ def test_substring_against_all_repeats(spark):
 def test_licenses(spark):
     grant = next(t for k, n, t in licenses.TEMPLATES if (k, n) == ("MIT", "grant"))
     texts = [*ODD, "x\nReleased under the MIT License.\ny", grant.replace("hereby ", ""), "intro\n\n" + grant.replace(", ", ",\n") + "\n\nend", "the license of a licensed license is released"]
+    texts += ["Our tool is great. Released under the MIT License. Enjoy it, and tell others!", "// SPDX-License-Identifier: BSD-3-Clause\nint main;", "x. Licensed under CC BY 4.0. y; Licensed under CC BY-SA 4.0. z"]
+    tie = [("B", "one", "Alpha beta gamma delta."), ("A", "two", "Alpha beta gamma delta."), ("A", "one", "Alpha beta gamma delta.")]
+    assert [tuple(r)[1:3] for r in licenses.scan(frame(spark, ["alpha beta gamma delta"]), tie).collect()] == [("A", "one")]
+    assert licenses.scan(frame(spark, texts), []).count() == 0 and licenses.scan(frame(spark, [])).count() == 0
     got = {(r.doc_id, r.license_id) for r in licenses.scan(frame(spark, texts, extra=True)).collect()}
     n = len(ODD)
-    assert got == {(n, "MIT"), (n + 1, "MIT"), (n + 2, "MIT")}
+    assert got == {(n, "MIT"), (n + 1, "MIT"), (n + 2, "MIT"), (n + 4, "MIT"), (n + 5, "BSD-3-Clause"), (n + 6, "CC-BY-4.0"), (n + 6, "CC-BY-SA-4.0")}
     for _, _, text in licenses.TEMPLATES:  # every match holds an anchor
         own, chosen = licenses.bigrams_of(text), licenses.anchors(text, licenses.LEAST)
         without = [b for b in own if not set(b.split()) & set(chosen)]
@@ -337,6 +354,17 @@ def test_language(spark):
     kept = language.keep_identified(df.withColumn("score", F.lit("own")), model)
     assert kept.columns == [*df.columns, "score"] and {r.doc_id for r in kept.collect()} >= set(range(120))
     assert language.keep_identified(df.limit(0), model).count() == 0
+    assert {r.doc_id for r in language.keep_identified(df, None).collect()} == set(range(120)) | {1003}
+    twice = df.unionByName(df.filter("doc_id < 20").withColumn("lang", F.lit("yy"))).unionByName(df.filter("doc_id = 3"))
+    assert language.fit(twice, docs_per_lang=5).languages == ["en", "xx", "yy"]
+    one = language.Model(["aa", "bb"], model.names, np.repeat(model.chance[:, :1], 2, axis=1))  # a tie goes to the first by name
+    assert {r.lang_pred for r in language.identify(df.filter("doc_id < 9"), one).collect()} == {"aa"}
+
+
+def test_marks_stay_within_words():
+    assert language.spelled("हिन्दी,".encode()) == ["▁हिन्दी"] and language.spelled("\u0301\u0301".encode()) == [] and language.spelled(b"a1b") == ["▁ab"]
+    names = language.pieces(language.piece_model_path())
+    assert max(map(len, names)) > 8 and "▁" in names and not any(c.isdigit() for n in names for c in n)
 
 
 def test_forward_sums_all_segmentations():
@@ -365,7 +393,94 @@ def test_toxicity(spark):
     assert len(got) == len(texts) and all(0 <= r.score <= 1 for r in got.values())
     assert np.mean([(got[i].score >= toxicity.CUT) == (i in bad) for i in range(0, 400, 3)]) > 0.95
     assert toxicity.score(df, toxicity.fit(df, known.filter("toxic = 0"))).filter("score > 0").isEmpty()
-    assert toxicity.score(df.limit(0), toxicity.train([("a", 0, "en"), ("b", 1, "en")] * 40)).count() == 0
+    empty = toxicity.score(df.limit(0), toxicity.fit(df, known))
+    assert empty.count() == 0 and toxicity.fit(df.limit(0), known) is None
+    # Ids that repeat stay within the sample's bound, and give a row each.
+    many = df.filter("doc_id < 8").crossJoin(spark.range(50).select(F.lit(0).alias("x"))).drop("x")
+    sample = common.bounded_sample(many, known.withColumnRenamed("toxic", "_y"), "_y", {0: 3, 1: 2}, 10**6)
+    assert sample.count() == 4 and toxicity.score(many, toxicity.fit(df, known)).count() == 400
+    assert common.bounded_sample(df, known.withColumnRenamed("toxic", "_y"), "_y", {0: 30, 1: 20}, 500).agg(F.sum(F.length("text"))).first()[0] <= 1000
+
+
+def test_toxicity_gradients():
+    rng = np.random.default_rng(5)
+    net = toxicity.Network(3)
+    flat, ends = toxicity.encode([b"one two three four", b"five", b"six two one one seven", b""])
+    docs = [(flat[a:b], y) for a, b, y in zip(ends, ends[1:], (1.0, 0.0, 1.0, 0.0))]
+    params = [net.word, net.prefix, *net.filters, *net.bias, net.out, net.out_bias]
+    for p in params[:2]:
+        p *= 20  # far from the kinks of the maximum
+    for p in net.bias:
+        p += rng.uniform(0.05, 0.2, len(p)).astype(np.float32)
+    toxicity.DECAY, kept = (0.0, 0.0), toxicity.DECAY
+    try:
+        _, grads = toxicity.gradients(net, docs)
+        for p, g in zip(params, grads):
+            if isinstance(g, tuple):
+                whole = np.zeros_like(p)
+                np.add.at(whole, g[0], g[1])
+                g, places = whole, [(int(r), int(c)) for r in np.unique(g[0])[:4] for c in range(2)]
+            else:
+                places = [tuple(rng.integers(0, n) for n in p.shape) for _ in range(6)]
+            for at in places:
+                was, step = p[at], np.float32(1e-3)
+                p[at] = was + step
+                up, _ = toxicity.gradients(net, docs)
+                p[at] = was - step
+                down, _ = toxicity.gradients(net, docs)
+                p[at] = was
+                assert abs((up - down) / (2 * float(step)) - g[at]) < 2e-3 + 0.02 * abs(g[at]), at
+    finally:
+        toxicity.DECAY = kept
+
+
+def test_forward_pass_by_words():
+    """Scores against a plain reading of the network, word by word."""
+    net = toxicity.Network(4)
+    batch = [b"Alpha beta, gamma delta", b"beta", b"", None, b"one two"]
+    flat, ends = toxicity.encode(batch)
+    for k, (a, b) in enumerate(zip(ends, ends[1:])):
+        rows = [np.concatenate([net.word[x >> 20], net.prefix[x & 0xFFFFF]]) if x >= 0 else np.zeros(2 * toxicity.DIM) for x in flat[a:b].tolist()]
+        pooled = []
+        for filters, bias in zip(net.filters, net.bias):
+            found = [np.maximum((sum(rows[i + j] @ filters[j] for j in range(len(filters)) if i + j < len(rows)) if flat[a + i] >= 0 else 0) + bias, 0) for i in range(len(rows))]
+            pooled.append(np.max(found, axis=0))
+        z = np.concatenate(pooled) @ net.out + net.out_bias[0]
+        assert abs(net.scores(batch)[k] - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_best_cut_and_thinnest(spark):
+    bins, hits, misses = np.array([5, -3, 2, 9]), np.array([4, 0, 1, 3]), np.array([0, 6, 5, 0])
+    assert toxicity.best_cut(bins, hits, misses) == (5 + 3) / 2 / toxicity.BINS  # F1 is best from bin 5 up
+    z = spark.createDataFrame([(float(x),) for x in [*np.linspace(0, 1, 70), *np.linspace(5, 6, 30)]], "z double")
+    assert 1 < quality.thinnest(z, 0.3) < 5 and quality.thinnest(z.limit(0), 0.3) == 0.0 and quality.thinnest(z.limit(1), 0.5) == 0.0
+
+
+def test_pu_risk_and_gradient():
+    rng = np.random.default_rng(1)
+    n = quality.N_FEATURES
+    params = [rng.normal(0, 0.3, (n, 5)), rng.normal(0, 0.1, 5), rng.normal(0, 0.5, 5), np.zeros(1)]
+    xp, xu = rng.normal(0.3, 1, (20, n)), rng.normal(-0.1, 1, (40, n))
+
+    def plain(prior):
+        score = lambda x: np.tanh(x @ params[0] + params[1]) @ params[2] + params[3]
+        loss = lambda z: float(np.mean(1 / (1 + np.exp(z))))
+        return prior * loss(score(xp)), loss(-score(xu)) - prior * loss(-score(xp))
+
+    for prior in (0.3, 5.0):  # with the larger prior the negative part is below zero
+        risk, grads = quality.pu_risk(params, xp, xu, prior)
+        up, negative = plain(prior)
+        assert abs(risk - (up + max(0, negative))) < 1e-12 and (negative >= 0) == (prior < 1)
+        for k, p in enumerate(params):
+            for at in [tuple(rng.integers(0, s) for s in p.shape) for _ in range(4)]:
+                was = p[at]
+                p[at] = was + 1e-5
+                a = plain(prior)
+                p[at] = was - 1e-5
+                b = plain(prior)
+                p[at] = was
+                slope = sum(a) - sum(b) if negative >= 0 else b[1] - a[1]
+                assert abs(slope / 2e-5 - grads[k][at]) < 1e-6
 
 
 def test_quality(spark):
@@ -377,6 +492,8 @@ def test_quality(spark):
     got = {r.doc_id: r.score for r in quality.score(df, quality.fit(df, known)).collect()}
     assert len(got) == len(texts) and np.mean([(got[i] >= 0.5) == (i % 5 > 0) for i in range(1, 400, 2)]) > 0.95
     assert quality.fit(df, known.limit(0)) is None and quality.score(df, None).count() == len(texts)
+    many = df.filter("doc_id < 8").crossJoin(spark.range(50).select(F.lit(0).alias("x"))).drop("x")
+    assert quality.score(many, quality.fit(many, known)).count() == 400 and quality.score(df.limit(0), quality.fit(df, known)).count() == 0
 
 
 def test_pipeline_stages(spark, tmp_path):
