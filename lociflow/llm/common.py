@@ -87,6 +87,13 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def likely_least(h: Column, most: int, count) -> Column:
+    """Whether a 64-bit hash is low enough to be among the `most` least of `count`: some four times as many rows pass, so that
+    what is sorted in one place doesn't grow with the rows."""
+    share = F.least(F.lit(1.0), F.lit(4.0 * most + 100) / F.greatest(F.lit(1.0), F.lit(count) if isinstance(count, int) else count))
+    return h <= (share * 2.0 - 1.0) * float(1 << 63)
+
+
 def bounded_sample(docs: DataFrame, marked: DataFrame, mark: str, limits: dict, most_bytes: int) -> DataFrame:
     """Whole rows of `docs` with the column `mark`: for each value of it at most limits[value] different (doc_id, text), those with
     the least hash of their id, as far as their texts together have most_bytes.
@@ -97,9 +104,9 @@ def bounded_sample(docs: DataFrame, marked: DataFrame, mark: str, limits: dict,
     tkey, size, place, upto = (spare(docs, f"_{x}") for x in ("tkey", "size", "place", "upto"))
     sized = docs.select("doc_id", F.xxhash64("text").alias(tkey), F.octet_length("text").alias(size)).join(marked, "doc_id")
     sized = sized.groupBy("doc_id", tkey, mark).agg(F.coalesce(F.max(size), F.lit(0)).alias(size)).withColumn(place, F.xxhash64("doc_id"))
-    order, chosen = [place, "doc_id", tkey], None
+    order, chosen, counts = [place, "doc_id", tkey], None, dict(sized.groupBy(mark).count().collect())  # one row a value of limits
     for value, most in sorted(limits.items()):
-        part = sized.filter(F.col(mark) == value).orderBy(*order).limit(most)
+        part = sized.filter((F.col(mark) == value) & likely_least(F.col(place), most, counts.get(value, 0))).orderBy(*order).limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     so_far = Window.partitionBy(mark).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # the limits' rows at most
     chosen = chosen.withColumn(upto, F.sum(size).over(so_far)).filter(F.col(upto) <= most_bytes).select("doc_id", tkey, mark)

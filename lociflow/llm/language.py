@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import claim, fold, mix, one_of_each, remember, slices, texts
+from lociflow.llm.common import claim, fold, likely_least, mix, one_of_each, remember, slices, texts
 
 DOCS_PER_LANG, SAMPLE_BYTES, EM_ROUNDS, MAX_WORD = 300, 8 << 20, 3, 40
 #: Probability of a letter that no piece covers, the same in all languages.
@@ -256,6 +256,8 @@ def fit(labelled: DataFrame, vocabulary_path: str | None = None, docs_per_lang:
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     tkey = F.xxhash64("text")
     sized = known.select("lang", "doc_id", tkey.alias("tkey"), F.octet_length("text").alias("size")).distinct()
+    counts = sized.groupBy(F.col("lang").alias("_lang")).count()
+    sized = sized.join(counts, F.col("lang") == F.col("_lang")).filter(likely_least(F.xxhash64("doc_id"), docs_per_lang, F.col("count"))).drop("_lang", "count")
     least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "tkey")
     chosen = sized.withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= docs_per_lang)
     upto = F.sum("size").over(least.rowsBetween(Window.unboundedPreceding, 0))

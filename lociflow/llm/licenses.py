@@ -26,9 +26,11 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import LOWER, UPPER, ascii_lower
+from lociflow.llm.common import LOWER, UPPER, Scratch, ascii_lower
 
 LEAST = 0.8
+#: Words that are no anchors if others do.
+COMMON = {"a", "and", "at", "by", "for", "in", "is", "of", "on", "or", "the", "this", "to", "with", "you"}
 SENTENCE_END = "[.!?;][ \t]+"
 #: A template table with more (template, size) rows than this is joined without a broadcast.
 BROADCAST_ROWS = 100_000
@@ -93,11 +95,11 @@ def bigrams_of(text: str) -> list[str]:
 
 
 def anchors(text: str, least: float) -> list[str]:
-    """The longest words whose bigrams are more than a match may lack: every match holds one of them."""
+    """The longest words, common ones last, whose bigrams are more than a match may lack: every match holds one of them."""
     bigrams = bigrams_of(text)
     lack = len(bigrams) - math.ceil(least / (2 - least) * len(bigrams) - 1e-9)
     chosen: list[str] = []
-    for word in sorted(set(words_of(text)), key=lambda w: (-len(w), w)):
+    for word in sorted(set(words_of(text)), key=lambda w: (w in COMMON, -len(w), w)):
         chosen.append(word)
         if sum(any(c in b.split() for c in chosen) for b in bigrams) > lack:
             break
@@ -175,7 +177,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, l
             low, high = math.ceil(least / (2 - least) * len(bigrams) - 1e-9), math.floor((2 - least) / least * len(bigrams) + 1e-9)
             rows += [(n, licence, template, bigrams) for n in range(max(1, low), high + 1)]
     known = spark.createDataFrame(rows, "n int, license_id string, template_id string, template array<string>")
-    likely = segments(docs, sorted(anchor)) if anchor else segments(docs.limit(0), [""])
+    # One pass over all words finds the texts with an anchor; all further work is on those.
+    held = F.arrays_overlap(F.split(_plain(F.col("text")), " "), F.array(*map(F.lit, sorted(anchor)))) if anchor else F.lit(False)
+    docs = Scratch(spark, "licences").write("likely", docs.select("doc_id", "text").filter(held))
+    likely = segments(docs, sorted(anchor) or [""])
     pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))
     sized = likely.filter(F.size("words") > 1).select("doc_id", "segment", "sentence", F.array_distinct(pairs).alias("bigrams")).withColumn("n", F.size("bigrams"))
     met = sized.join(F.broadcast(known) if len(rows) <= BROADCAST_ROWS else known, "n")

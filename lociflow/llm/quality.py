@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import Scratch, bounded_sample, fold, slices, texts
+from lociflow.llm.common import Scratch, bounded_sample, fold, likely_least, slices, texts
 
 POSITIVES, UNLABELLED = 4_000, 8_000
 SAMPLE_BYTES, BINS, NEAR = 256 << 20, 4096, 0.03
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer | None:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     trusted = bounded_sample(docs, known.filter(F.col("_y") == 1).select("doc_id", F.lit(1).alias("p")), "p", {1: POSITIVES}, SAMPLE_BYTES)
     # The web as it is, positives among it: of all ids those with the least hash.
-    some = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED).withColumn("p", F.lit(0))
+    some = docs.filter(likely_least(F.xxhash64("doc_id"), UNLABELLED, docs.count())).select("doc_id").distinct().withColumn("p", F.lit(0))
     web = bounded_sample(docs, some, "p", {0: UNLABELLED}, SAMPLE_BYTES)
     # POSITIVES + UNLABELLED rows at most; the tasks send back N_FEATURES numbers of each.
     rows = trusted.unionByName(web).select("doc_id", "p", "text").mapInArrow(_describe, "doc_id bigint, p int, x array<double>").collect()
