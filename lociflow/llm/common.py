@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -121,10 +123,14 @@ def fold(doc_id: Column, n: int) -> Column:
 # ---------------------------------------------------------------- inside tasks
 
 
+#: The C library's call that gives back free memory, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each piece holds about `limit` bytes of text (a longer text stands alone).
 
-    After each batch Arrow gives back what it keeps for later: workers share an executor's memory.
+    After each batch what Arrow and the C library keep for later goes back to the system: workers share an executor's memory.
     """
     for batch in batches:
         if not batch.num_rows:
@@ -136,6 +142,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(a, b - a)
         del batch, size, part
         pa.default_memory_pool().release_unused()
+        if _TRIM is not None:
+            _TRIM(0)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:

@@ -45,6 +45,8 @@ WORDS, NUM, DEN = 5, 3, 4
 HEAVY, HEAVY_LEAST, SEGMENT = 1 << 22, 32, 1 << 22
 #: Blocks up to this size are counted pair by pair.
 SMALL_BLOCK = 64
+#: Pairs of blocks are counted in this many tasks at least. A pair has a row for each task that meets it.
+COUNT_TASKS = 64
 #: A tile holds about so many texts, or shingles, at most; a node so many children.
 TILE, TILE_SHINGLES, FAN = 1024, 500_000, 8
 #: Texts of a large family that each of its tiles meets; a linked group of a quarter of a tile has tiles of its own.
@@ -210,7 +212,7 @@ def _count_pairs(batches):
 def families(first: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) out of (key, rep): groups of classes outside of which no link is possible; lone ones are left out."""
     spark = first.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(COUNT_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shared = first.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("key")
     members = scratch.write("members", first.join(scratch.write("keys", shared), "key", "left_semi").distinct())
     scratch.drop("first", "keys")
