@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.operators.ranks import exact_quantiles, running
@@ -67,8 +67,7 @@ def curve_points(pred: DataFrame, keys: list[str] = []) -> DataFrame:
     """(keys, p, pos, neg, tp, fp): cumulative counts at or above each distinct score."""
     points = pred.groupBy(*keys, "p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     bucket = -F.floor(F.col("p") * 4096)
-    points = running(points, keys, bucket, [F.col("p").desc()], F.col("pos"), "tp")
-    return running(points, keys, bucket, [F.col("p").desc()], F.col("neg"), "fp")
+    return running(points, keys, bucket, [F.col("p").desc()], {"tp": F.col("pos"), "fp": F.col("neg")})
 
 
 def ranking_scores(pred: DataFrame, keys: list[str] = []) -> DataFrame:
@@ -194,6 +193,3 @@ def ensemble(members: DataFrame, key: str, temperature: float = 1.0) -> DataFram
 
     return members.groupBy(key).agg(F.avg("z").alias("z")).select(key, sigmoid(F.col("z"), temperature).alias("p"))
 
-
-def last_before(df: DataFrame, keys: list[str], order: str, column: str) -> Column:
-    return F.lag(column).over(Window.partitionBy(*keys).orderBy(order))

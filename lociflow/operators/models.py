@@ -15,7 +15,7 @@ from lociflow.operators import enrich, metrics, sampling
 from lociflow.operators.clean import align_features, check_classes
 from lociflow.operators.scale import fit_impute, fit_scale, impute, scale
 
-#: Defaults of the boosted trees.
+#: Defaults of the boosted trees.
 TREES = {"maxIter": 100, "stepSize": 0.02, "maxDepth": 5, "minInstancesPerNode": 60, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
 #: Weights of the search's objective.
 OBJECTIVE = {"mcc": 0.50, "auroc": 0.25, "auprc": 0.15, "brier": -0.10}
@@ -96,4 +96,6 @@ def search(df: DataFrame, space: dict[str, list], n: int, key: str, group: str,
 def project(df: DataFrame, key: str, embedding: str, k: int = 2) -> DataFrame:
     """(key, x): principal components of all non-zero embeddings; `sampling.subsample` the rows first for a sample's."""
     rows = df.filter(F.exists(embedding, lambda v: v != 0)).select(key, array_to_vector(embedding).alias("_v"))
+    if rows.isEmpty():
+        return rows.select(key, F.array().cast("array<double>").alias("x"))
     return PCA(k=k, inputCol="_v", outputCol="_p").fit(rows).transform(rows).select(key, vector_to_array("_p").alias("x"))

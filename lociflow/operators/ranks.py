@@ -17,53 +17,59 @@ def hash_bucket(h: Column) -> Column:
     return F.shiftright(h, 52)
 
 
-def spread_bucket(df: DataFrame, column: str) -> Column:
-    """Buckets of equal width between the column's least and largest value."""
-    lo, hi = df.agg(F.min(column), F.max(column)).first()
-    if lo is None or hi == lo:
-        return F.lit(0)
-    return F.floor((F.col(column) - F.lit(lo)) * (BUCKETS - 1) / (F.lit(hi) - F.lit(lo))).cast("int")
-
-
-def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, name: str) -> DataFrame:
-    """Inclusive running sum of `value` in `order` within `keys`; `bucket` must not fall along the order."""
+def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Inclusive running sums {name: value} in `order` within `keys`, all in one pass; `bucket` must not fall along the order."""
     marked = df.withColumn("_b", bucket)
-    sums = marked.groupBy(*keys, "_b").agg(F.sum(value).alias("_s"))
+    totals = marked.groupBy(*keys, "_b").agg(*[F.sum(v).alias(f"_s{n}") for n, v in sums.items()])
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
+    starts = totals.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), *[F.coalesce(F.sum(f"_s{n}").over(before), F.lit(0)).alias(f"_start{n}") for n in sums]
+    )
     on = F.col("_b") == F.col("_kb")
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     local = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = marked.join(starts, on)
-    return joined.withColumn(name, F.col("_start") + F.sum(value).over(local)).select(*df.columns, name)
+    return joined.withColumns({n: F.col(f"_start{n}") + F.sum(v).over(local) for n, v in sums.items()}).select(*df.columns, *sums)
 
 
 def ranked(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str = "rank") -> DataFrame:
-    return running(df, keys, bucket, order, F.lit(1), name)
+    return running(df, keys, bucket, order, {name: F.lit(1)})
 
 
 def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
-    """Interpolated quantiles, exact, of the non-null values.
+    """Interpolated quantiles, exact, of the values that are neither NULL nor NaN; infinite ones are the largest and smallest.
 
-    Counts by bucket find the buckets that hold the wanted ranks; only those are ranked value by value, after
-    equal values are counted together.
+    A histogram of BUCKETS equal parts, counted before anything is shuffled, finds the bucket of each wanted rank; each of those is
+    divided again between its own least and largest value until one value is left, so an outlier costs a round and no more.
     """
-    values = df.filter(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(F.col(column).cast("double").alias("v"))
-    values = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    total = values.agg(F.sum("n")).first()[0]
+    v = F.col(column).cast("double")
+    values = df.select(v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    inf, finite = float("inf"), F.abs("v") < float("inf")
+    low, total, lo, hi = values.agg(F.count_if(F.col("v") == -inf), F.count(F.lit(1)), F.min(F.when(finite, F.col("v"))), F.max(F.when(finite, F.col("v")))).first()
     if not total:
         return [None] * len(shares)
-    cumulated = running(values, [], spread_bucket(values, "v"), [F.col("v")], F.col("n"), "upto")
+    at: dict[int, float] = {}
+
+    def find(places: list[int], lo: float, hi: float, before: int) -> int:
+        """Set the values of the places, of which those between lo and hi begin after `before` rows; returns where those end."""
+        share = F.least(F.floor((F.col("v") / 2 - lo / 2) / (hi / 2 - lo / 2) * BUCKETS), F.lit(BUCKETS - 1)) if hi > lo else F.lit(0)
+        counts = values.filter(F.col("v").between(lo, hi)).groupBy(share.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        for row in sorted(counts.collect(), key=lambda r: r["b"]):  # BUCKETS rows at most
+            own = [p for p in places if before <= p < before + row["n"]]
+            if own and row["lo"] == row["hi"]:
+                at.update((p, row["lo"]) for p in own)
+            elif own:
+                find(own, row["lo"], row["hi"], before)
+            before += row["n"]
+        return before
+
     places = sorted({int(s * (total - 1)) + d for s in shares for d in (0, 1)} & set(range(total)))
-    holds = F.lit(False)
-    for p in places:
-        holds = holds | ((F.col("upto") > p) & (F.col("upto") - F.col("n") <= p))
-    found = cumulated.filter(holds).collect()  # two rows a share at most
-    at = {p: next(r["v"] for r in found if r["upto"] - r["n"] <= p < r["upto"]) for p in places}
+    end = find([p for p in places if p >= low], lo, hi, low) if lo is not None else low
+    at.update((p, -inf if p < low else inf) for p in places if p < low or p >= end)
     out = []
     for s in shares:
         x = s * (total - 1)
-        lo = int(x)
-        out.append(at[lo] + (x - lo) * (at[min(lo + 1, total - 1)] - at[lo]))
+        a, b = at[int(x)], at[min(int(x) + 1, total - 1)]
+        out.append(a if a == b or x == int(x) else a + (x - int(x)) * (b - a))
     return out

@@ -21,10 +21,10 @@ def balance(df: DataFrame, label: str, key: str, seed: int = 42, order: Column |
     return placed.filter(F.col("_rank") <= least).drop("_rank")
 
 
-def subsample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """n rows without replacement, or all."""
-    h = shuffled(seed, key)
-    return ranked(df, [], hash_bucket(h), [h, F.col(key)], "_rank").filter(F.col("_rank") <= n).drop("_rank")
+def subsample(df: DataFrame, n: int, key: str, seed: int = 42, order: Column | None = None, bucket: Column | None = None) -> DataFrame:
+    """n rows without replacement, or all: the first by hash, or in a given order with its bucket."""
+    h = shuffled(seed, key) if order is None else order
+    return ranked(df, [], hash_bucket(h) if bucket is None else bucket, [h, F.col(key)], "_rank").filter(F.col("_rank") <= n).drop("_rank")
 
 
 def deterministic_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -48,18 +48,18 @@ def group_folds(df: DataFrame, group: str, label: str, k: int = 5, order: Column
     return placed.select(group, "positives", "negatives", fold.cast("int").alias("fold"))
 
 
-def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """df with a fold; each class is dealt out in the order of the hash."""
-    h = shuffled(seed, key)
-    placed = ranked(df, [label], hash_bucket(h), [h, F.col(key)], "_rank")
+def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42, order: Column | None = None, bucket: Column | None = None) -> DataFrame:
+    """df with a fold; each class is dealt out in the order of the hash, or in a given order with its bucket."""
+    h = shuffled(seed, key) if order is None else order
+    placed = ranked(df, [label], hash_bucket(h) if bucket is None else bucket, [h, F.col(key)], "_rank")
     return placed.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank")
 
 
-def nested_split(df: DataFrame, group: str, label: str, test_fold: int, k: int = 5) -> DataFrame:
+def nested_split(df: DataFrame, group: str, label: str, test_fold: int, k: int = 5, inner_order: Column | None = None) -> DataFrame:
     """df with `part`: test, validation (first fold of the rest, dealt anew) or train."""
     folds = group_folds(df, group, label, k).select(F.col(group).alias("_g"), "fold")
     marked = df.join(folds, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
-    inner = group_folds(marked.filter(F.col("fold") != test_fold), group, label, k, F.xxhash64(F.lit(test_fold), F.col(group)))
+    inner = group_folds(marked.filter(F.col("fold") != test_fold), group, label, k, F.xxhash64(F.lit(test_fold), F.col(group)) if inner_order is None else inner_order)
     inner = inner.select(F.col(group).alias("_g"), F.col("fold").alias("_inner"))
     marked = marked.join(inner, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
     part = F.when(F.col("fold") == test_fold, "test").when(F.col("_inner") == 0, "validation").otherwise("train")

@@ -74,6 +74,74 @@ def constant_columns(spark, sf_dir):
     return clean.drop_constant_columns(df, "U")
 
 
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def drop_columns(spark, sf_dir):
+    return clean.drop_columns(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderdate"], ["o_orderpriority", "not_there"])
+
+
+@query("SELECT l_suppkey, l_linenumber, l_extendedprice, l_discount, l_tax FROM lineitem")
+def select_features(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").withColumnRenamed("l_quantity", "emb_0")
+    return df.select(*clean.select_features(df, exclude=["l_orderkey", "l_partkey"]))
+
+
+@query("SELECT l_discount, l_tax FROM lineitem")
+def align_features(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return clean.align_features(lines, lines.withColumn("extra", F.lit(1)), ["l_discount", "l_tax"])
+
+
+_SASA = "CASE WHEN p_partkey % 9 = 0 THEN -1 WHEN p_partkey % 11 = 0 THEN NULL ELSE p_size END AS sasa"
+
+
+@query(f"SELECT * FROM (SELECT p_partkey, {_SASA} FROM part) WHERE sasa IS NULL OR sasa <> -1")
+def drop_sentinel(spark, sf_dir):
+    return clean.drop_sentinel(table(spark, sf_dir, "part").selectExpr("p_partkey", _SASA), "sasa")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice::FLOAT::DOUBLE AS l_extendedprice, l_tax::FLOAT::DOUBLE AS l_tax FROM lineitem")
+def downcast(spark, sf_dir):
+    small = clean.floats(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_tax"))
+    return small.select("l_orderkey", "l_linenumber", *[F.col(c).cast("double").alias(c) for c in ("l_extendedprice", "l_tax")])
+
+
+_SCORE = {"revel": "CASE WHEN l_linenumber = 2 THEN NULL ELSE l_discount END", "sift": "CASE WHEN l_linenumber = 3 THEN NULL ELSE l_tax END", "polyphen": "CASE WHEN l_linenumber = 4 THEN NULL ELSE l_quantity / 50.0 END"}
+_SCORES_SQL = ", ".join(f"{e} AS {n}" for n, e in _SCORE.items())
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, round(0.6::DOUBLE * coalesce(revel, 0.5) + 0.2::DOUBLE * (1 - coalesce(sift, 0.5)) + 0.2::DOUBLE * coalesce(polyphen, 0.5), 6) AS consensus
+FROM (SELECT l_orderkey, l_linenumber, {_SCORES_SQL} FROM lineitem)""")
+def consensus_score(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", *[f"{e} AS {n}" for n, e in _SCORE.items()])
+    return df.select("l_orderkey", "l_linenumber", F.round(S.consensus_score(F.col("revel"), F.col("sift"), F.col("polyphen")), 6).alias("consensus"))
+
+
+@query("""SELECT NOT EXISTS (SELECT 1 FROM customer JOIN orders ON c_custkey = o_custkey) AS customers_apart, NOT EXISTS (SELECT 1 FROM customer JOIN orders ON c_custkey = -o_custkey) AS negatives_apart""")
+def disjoint_check(spark, sf_dir):
+    keys, orders = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k"), table(spark, sf_dir, "orders")
+    found = (clean.is_disjoint(keys, orders.selectExpr("o_custkey AS k"), "k"), clean.is_disjoint(keys, orders.selectExpr("-o_custkey AS k"), "k"))
+    return spark.createDataFrame([found], "customers_apart boolean, negatives_apart boolean")
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (o_orderstatus = 'F') AS finished, count(*) FILTER (o_totalprice > 100000) AS large FROM orders")
+def row_audit(spark, sf_dir):
+    df, seen = clean.audit(table(spark, sf_dir, "orders"), "orders", finished=F.col("o_orderstatus") == "F", large=F.col("o_totalprice") > 100000)
+    df.write.format("noop").mode("overwrite").save()
+    found = seen.get
+    return spark.createDataFrame([(found["rows"], found["finished"], found["large"])], "rows bigint, finished bigint, large bigint")
+
+
+_RESIDUES = sorted(S.MAX_SASA)
+
+
+@query(f"""WITH r AS (SELECT p_partkey, [{', '.join(f"'{r}'" for r in _RESIDUES)}, 'sec', NULL][(p_partkey % 22 + 1)::INT] AS residue FROM part)
+SELECT p_partkey, CASE upper(residue) {' '.join(f"WHEN '{r}' THEN {S.MAX_SASA[r]}" for r in _RESIDUES)} ELSE 200 END AS largest, substr(p_name, 1, 7) AS short_name FROM r JOIN part USING (p_partkey)""")
+def literal_lookup(spark, sf_dir):
+    names = F.array(*[F.lit(r.lower()) for r in _RESIDUES], F.lit("sec"), F.lit(None))
+    df = table(spark, sf_dir, "part").withColumn("residue", F.element_at(names, (F.col("p_partkey") % 22 + 1).cast("int")))
+    return df.select("p_partkey", S.max_sasa(F.col("residue")).alias("largest"), S.short_text(F.col("p_name"), 7).alias("short_name"))
+
+
 # ---------------------------------------------------------------- labelling
 
 _VARIANT = {
@@ -207,6 +275,54 @@ def inner_multi_union_dedup(spark, sf_dir):
     return dedup.union_by_priority([a.distinct(), b.distinct()], keys)
 
 
+@query("""WITH d AS (SELECT l_partkey, l_suppkey, sum(l_linenumber)::BIGINT AS recurrence FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, coalesce(recurrence, 0) AS recurrence FROM lineitem LEFT JOIN d USING (l_partkey, l_suppkey)""")
+def dim_left_composite(spark, sf_dir):
+    lines, keys = table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"]
+    dim = lines.filter("l_returnflag = 'R'").groupBy(*keys).agg(F.sum("l_linenumber").alias("recurrence"))
+    return enrich.join_dimension(lines, dim, keys, {"recurrence": 0}).select("l_orderkey", "l_linenumber", "recurrence")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') OR o_orderpriority IN ('1-URGENT')")
+def packed_prefilter(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").withColumn("packed", F.concat_ws(" ; ", "o_orderstatus", "o_orderpriority"))
+    return enrich.prefilter_packed(df, "packed", ["F", "P", "1-URGENT"]).select("o_orderkey")
+
+
+@query("""WITH i AS (SELECT * FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey < 40)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem e WHERE l_returnflag <> 'A' AND NOT EXISTS (SELECT 1 FROM i WHERE i.l_partkey = e.l_partkey)
+AND NOT EXISTS (SELECT 1 FROM i WHERE i.l_suppkey = e.l_suppkey AND i.l_linenumber = e.l_linenumber)""")
+def deoverlap(spark, sf_dir):
+    from lociflow.operators import models
+
+    lines = table(spark, sf_dir, "lineitem")
+    out = models.deoverlap(lines.filter("l_returnflag <> 'A'"), lines.filter("l_returnflag = 'A' AND l_suppkey < 40"), "l_partkey", ["l_suppkey", "l_linenumber"])
+    return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+
+
+@query("""WITH r AS (SELECT s_suppkey AS res_no, 'Brand#' || s_nationkey AS accession, s_acctbal AS sasa, s_acctbal / 100 AS relative_sasa, s_acctbal + 1 AS plddt FROM supplier)
+SELECT p_partkey, coalesce(sasa, -1) AS sasa, coalesce(relative_sasa, -1) AS relative_sasa, coalesce(plddt, -1) AS plddt FROM part LEFT JOIN r ON p_brand = accession AND p_size = res_no""")
+def residue_lookup(spark, sf_dir):
+    residues = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS res_no", "concat('Brand#', s_nationkey) AS accession", "s_acctbal AS sasa", "s_acctbal / 100 AS relative_sasa", "s_acctbal + 1 AS plddt")
+    df = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_brand AS accession", "cast(p_size AS bigint) AS res_no")
+    return structures.join_residues(df, residues, ["accession", "res_no"]).select("p_partkey", "sasa", "relative_sasa", "plddt")
+
+
+@query("""SELECT p_brand AS gene, arg_min(p_name, p_partkey) AS sequence FROM part WHERE p_size % 5 <> 0 GROUP BY p_brand""")
+def first_sequence(spark, sf_dir):
+    from lociflow.sources import proteins
+
+    df = table(spark, sf_dir, "part").selectExpr("p_brand AS gene", "CASE WHEN p_size % 5 = 0 THEN '' ELSE p_name END AS sequence", "p_partkey AS input_seq")
+    return proteins.first_sequence(df)
+
+
+@query("""SELECT o_custkey, count(*) AS n, string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey) AS rows FROM orders GROUP BY o_custkey""")
+def grouped_rows(spark, sf_dir):
+    lists = enrich.grouped_rows(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderstatus"], ["o_orderkey"])
+    one = F.transform("rows", lambda r: F.concat_ws(":", r["o_orderkey"].cast("string"), r["o_orderstatus"]))
+    return lists.select("o_custkey", F.size("rows").cast("bigint").alias("n"), F.array_join(one, ",").alias("rows"))
+
+
 _INTERVALS = "(SELECT n_nationkey AS k, 'Brand#' || n_nationkey AS p_brand, (n_nationkey * 7) % 40 AS lo, (n_nationkey * 7) % 40 + 12 AS hi, 'D' || n_nationkey AS name FROM nation)"
 
 
@@ -336,10 +452,31 @@ def group_folds(spark, sf_dir):
     return sampling.group_folds(df, "o_custkey", "y", 5)
 
 
-@query()
+@query("SELECT doc_id, quality, ((row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1) % 5)::INT AS fold FROM labels")
 def stratified_folds(spark, sf_dir):
     df = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return sampling.stratified_folds(df, "quality", "doc_id")
+    return sampling.stratified_folds(df, "quality", "doc_id", order=F.col("doc_id"), bucket=F.floor(F.col("doc_id") / 1024))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 700")
+def subsample(spark, sf_dir):
+    """A sampling operator: the limit is the feature; the order is given, so that SQL can follow it."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return sampling.subsample(df, 700, "o_orderkey", order=F.col("o_orderkey"), bucket=F.floor(F.col("o_orderkey") / 1024))
+
+
+_FOLD_OF = "(CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END)"
+
+
+@query(f"""WITH g AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS positives, count(*) FILTER (o_orderstatus <> 'F') AS negatives FROM orders GROUP BY o_custkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY positives > 0 ORDER BY positives DESC, negatives DESC, o_custkey) - 1 AS i FROM g),
+f AS (SELECT o_custkey, positives, negatives, {_FOLD_OF} AS fold FROM r),
+q AS (SELECT o_custkey, row_number() OVER (PARTITION BY positives > 0 ORDER BY positives DESC, negatives DESC, o_custkey) - 1 AS i FROM f WHERE fold <> 2),
+n AS (SELECT o_custkey, {_FOLD_OF} AS inner_fold FROM q)
+SELECT o_orderkey, CASE WHEN fold = 2 THEN 'test' WHEN inner_fold = 0 THEN 'validation' ELSE 'train' END AS part FROM orders JOIN f USING (o_custkey) LEFT JOIN n USING (o_custkey)""")
+def nested_split(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").withColumn("y", (F.col("o_orderstatus") == "F").cast("int"))
+    return sampling.nested_split(df, "o_custkey", "y", 2, inner_order=F.col("o_custkey")).select("o_orderkey", "part")
 
 
 @query("""WITH d AS (SELECT doc_id, n_chars, (n_chars + 2) // 64 AS length_bucket FROM documents),
@@ -393,6 +530,11 @@ def metric_delta(spark, sf_dir):
     return out.select("metric", *[F.round(c, 6).alias(c) for c in ("base", "other", "delta")])
 
 
+@query("""SELECT event_type, (CASE WHEN value < 10 THEN 0 WHEN value >= 90 THEN 9 ELSE floor((value - 10) / 10) + 1 END)::BIGINT AS bin, count(*) AS count FROM events GROUP BY ALL""")
+def histogram(spark, sf_dir):
+    return reports.histogram(table(spark, sf_dir, "events"), "event_type", "value", 10.0, 90.0, 8)
+
+
 # ---------------------------------------------------------------- evaluation
 
 _SCORES = {"y": "quality", "p": "(n_chars % 997 + 1) / 1000.0D", "p2": "(n_chars * 7 % 991 + 1) / 1000.0D"}
@@ -417,6 +559,13 @@ def roc_points(spark, sf_dir):
     return metrics.curve_points(predictions(spark, sf_dir))
 
 
+@query(f"""WITH {_PRED}, t AS (SELECT p, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM pred GROUP BY p),
+c AS (SELECT *, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(neg) OVER (ORDER BY p DESC) AS fp FROM t)
+SELECT p, round(tp / (SELECT sum(pos) FROM t), 9) AS tpr, round(fp / (SELECT sum(neg) FROM t), 9) AS fpr, round(tp / (tp + fp), 9) AS precision FROM c""")
+def curve_table(spark, sf_dir):
+    return reports.curves(predictions(spark, sf_dir)).select("p", *[F.round(c, 9).alias(c) for c in ("tpr", "fpr", "precision")])
+
+
 @query(f"""WITH {_PRED}, t AS (SELECT p, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM pred GROUP BY p),
 c AS (SELECT *, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(neg) OVER (ORDER BY p DESC) AS fp FROM t)
 SELECT round(sum(neg * (tp - pos / 2.0::DOUBLE)) / (sum(pos) * sum(neg)), 9) AS auroc, round(sum(pos * tp::DOUBLE / (tp + fp)) / sum(pos), 9) AS auprc FROM c""")
@@ -429,19 +578,29 @@ def threshold_scan(spark, sf_dir):
     return metrics.threshold_counts(predictions(spark, sf_dir))
 
 
+@query(f"""WITH {_THR}, b AS (SELECT *, tp / nullif(tp + fp, 0) AS precision FROM k)
+SELECT thr, false AS feasible FROM b ORDER BY coalesce(5 * precision * recall / nullif(4 * precision + recall, 0), 0) DESC, i LIMIT 1""")
+def threshold_infeasible(spark, sf_dir):
+    """No threshold reaches a recall of more than 1: the largest F-beta counts."""
+    return metrics.select_threshold(predictions(spark, sf_dir), floor=1.1)
+
+
 @query(f"WITH {_THR} SELECT thr, true AS feasible FROM k WHERE recall >= 0.9 ORDER BY mcc DESC, i LIMIT 1")
 def threshold_choice(spark, sf_dir):
     return metrics.select_threshold(predictions(spark, sf_dir))
 
 
-@query(f"""WITH {_PRED}, s AS (SELECT *, 0.3::DOUBLE AS thr FROM pred), a AS (SELECT {_CELLS}, avg((p - y) ** 2) AS brier FROM s), x AS (SELECT {_CELLS}, count(*) AS n FROM s WHERE abs(p - thr) >= 0.1)
+@query(f"""WITH {_PRED}, s AS (SELECT *, 0.3::DOUBLE AS thr FROM pred), a AS (SELECT {_CELLS}, avg((p - y) ** 2) AS brier FROM s), x AS (SELECT {_CELLS}, count(*) AS n FROM s WHERE abs(p - thr) >= 0.1),
+u AS (SELECT p, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM pred GROUP BY p), c AS (SELECT *, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(neg) OVER (ORDER BY p DESC) AS fp FROM u),
+v AS (SELECT round(sum(neg * (tp - pos / 2.0::DOUBLE)) / (sum(pos) * sum(neg)), 4) AS auroc, round(sum(pos * tp::DOUBLE / (tp + fp)) / sum(pos), 4) AS auprc FROM c)
 SELECT round(a.brier, 6) AS brier, a.tp, a.fp, a.fn, a.tn, round(a.tp / (a.tp + a.fp), 4) AS precision, round(a.tp / (a.tp + a.fn), 4) AS recall, round(2 * a.tp / (2 * a.tp + a.fp + a.fn), 4) AS f1,
-round(x.n / (SELECT count(*) FROM s), 4) AS coverage, round(x.tp / (x.tp + x.fn), 4) AS s_recall, round(x.tp / (x.tp + x.fp), 4) AS s_precision FROM a, x""")
+round(x.n / (SELECT count(*) FROM s), 4) AS coverage, round(x.tp / (x.tp + x.fn), 4) AS s_recall, round(x.tp / (x.tp + x.fp), 4) AS s_precision,
+(SELECT round({_MCC}, 4) FROM a) AS mcc, (SELECT round({_MCC}, 4) FROM x) AS s_mcc, v.auroc, v.auprc FROM a, x, v""")
 def metric_suite(spark, sf_dir):
     thresholds = spark.range(1).select(F.lit(0.3).alias("thr"))
     out = metrics.evaluate(predictions(spark, sf_dir), thresholds)
-    block = {"coverage": "coverage", "s_recall": "recall", "s_precision": "precision"}
-    return out.select("brier", "tp", "fp", "fn", "tn", "precision", "recall", "f1", *[F.col(f"selective.{c}").alias(n) for n, c in block.items()])
+    block = {"coverage": "coverage", "s_recall": "recall", "s_precision": "precision", "s_mcc": "mcc"}
+    return out.select("mcc", "auroc", "auprc", "brier", "tp", "fp", "fn", "tn", "precision", "recall", "f1", *[F.col(f"selective.{c}").alias(n) for n, c in block.items()])
 
 
 @query(f"""WITH {_PRED}, s AS (SELECT y, (p >= 0.5)::INT AS a, (p2 >= 0.5)::INT AS b FROM pred),
@@ -504,7 +663,9 @@ def oof_predict(spark, sf_dir):
     """Out-of-fold boosted trees by source; the prepared features are written first, as every fold reads them."""
     from lociflow.operators import models
 
-    rows = _features(spark, sf_dir).cache()
+    path = f"{_shared_root(spark)}/features-{uuid.uuid4().hex}"
+    _features(spark, sf_dir).write.parquet(path)
+    rows = spark.read.parquet(path)
     return models.oof_predict(rows, "doc_id", "source", "y", ["n_chars", "upper", "marks", "lines"])
 
 
@@ -515,9 +676,17 @@ def embedding_view(spark, sf_dir):
     return models.project(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
+def _shared_root(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; in local mode alone the warehouse does, where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (root or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
 def _streamed(spark: SparkSession, sf_dir: str, name: str):
     """A stream over one Parquet table, and a new folder for its output."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    root = _shared_root(spark)
     # A stream's source is a folder; a table that is one file is picked out of its folder by name.
     at, schema = f"{sf_dir}/{name}.parquet", spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
@@ -549,3 +718,23 @@ def stream_enrich(spark, sf_dir):
     dim = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     slices.append_all(stream, lambda df: df.join(dim, F.col("user_id") == F.col("c_custkey")).select("event_id", "c_custkey", "c_mktsegment"), f"{out}/rows", f"{out}/state")
     return spark.read.parquet(f"{out}/rows")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_keep_first(spark, sf_dir):
+    """Which of a user's rows arrives first is the stream's affair; every user has one."""
+    stream, out = _streamed(spark, sf_dir, "events")
+    slices.append_all(slices.keep_first(stream, ["user_id"]), lambda df: df.select("user_id"), f"{out}/rows", f"{out}/state")
+    return spark.read.parquet(f"{out}/rows")
+
+
+@query(f"WITH {_PRED} SELECT 'a' AS config, 'm' AS model, doc_id, y, p FROM pred UNION ALL SELECT 'b', 'm', doc_id, y, p2 FROM pred")
+def prediction_upsert(spark, sf_dir):
+    """Two configurations are stored, the second of them is written again, and the store is read back."""
+    from lociflow.sources import tables
+
+    path, pred = f"{_shared_root(spark)}/predictions-{uuid.uuid4().hex}", predictions(spark, sf_dir)
+    rows = lambda config, p: pred.select(F.lit(config).alias("config"), F.lit("m").alias("model"), "doc_id", "y", F.col(p).alias("p"))
+    tables.upsert_predictions(rows("a", "p").unionByName(rows("b", "p")), path)
+    tables.upsert_predictions(rows("b", "p2"), path)
+    return spark.read.parquet(path).select("config", "model", "doc_id", "y", "p")

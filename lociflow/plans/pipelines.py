@@ -12,7 +12,7 @@ from lociflow.sources import proteins as P
 from lociflow.sources import structures as S
 
 VARIANT = ["chr", "pos", "ref", "alt"]
-#: Columns that would leak the label, and identifiers.
+#: Columns that would leak the label, and identifiers.
 LEAKAGE = ["evidence_source", "rescue_reason", "is_rescue", "clinvar_path", "clinvar_benign", "clinvar_clnsig", "is_hotspot", "recurrence"]
 
 

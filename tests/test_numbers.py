@@ -105,3 +105,17 @@ def test_registered_trees_have_the_defaults(spark, monkeypatch):
     monkeypatch.setattr(models, "oof_predict", lambda *args, **params: given.append((len(args), params)))
     catalogue.QUERIES["oof_predict"](spark, "/root/testdata/sf0.001")
     assert given == [(5, {})]
+
+
+def test_quantiles_with_outliers_and_infinities(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for values in ([1e12, *rng.uniform(0, 1, 3000)], [1e308, -1e308, *rng.normal(0, 1, 500)], [5.0] * 40, [0.1, 0.2], [7.0]):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+        shares = [0.0, 0.1, 0.5, 0.9, 1.0]
+        assert np.allclose(ranks.exact_quantiles(df, "v", shares), np.quantile(values, shares), rtol=1e-12)
+    inf = float("inf")
+    df = spark.createDataFrame([(-inf,), (1.0,), (2.0,), (inf,), (inf,)], "v double")
+    assert ranks.exact_quantiles(df, "v", [0.0, 0.25, 0.5, 1.0]) == [-inf, 1.0, 2.0, inf]
+    assert ranks.exact_quantiles(df.limit(0), "v", [0.5]) == [None]
