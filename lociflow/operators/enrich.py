@@ -61,11 +61,21 @@ def site_flag(df: DataFrame, sites: DataFrame, key: str, pos: str, flag: str) ->
 
 
 def nearest_distance(df: DataFrame, sites: DataFrame, key: str, pos: str, name: str, none: int = 999, most: int = 100) -> DataFrame:
-    """Distance to the nearest site of the same key, `none` without one, clipped to 0..most. A key's sites go as one array."""
-    arrays = sites.groupBy(key).agg(F.sort_array(F.collect_set("site")).alias("_sites"))
-    least = F.array_min(F.transform("_sites", lambda s: F.abs(s - F.col(pos))))
-    joined = df.join(arrays, key, "left")
-    return joined.withColumn(name, clip(F.coalesce(least, F.lit(none)), 0, most)).drop("_sites")
+    """Distance to the nearest site of the same key, `none` without one, clipped to 0..most.
+
+    Sites go to the bins of `most` positions that they can matter to, so an array holds at most 3 * most whole
+    numbers and a row meets one array, however many sites its key has.
+    """
+    bins = F.explode(F.sequence(F.floor(F.col("site") / most) - 1, F.floor(F.col("site") / most) + 1))
+    binned = sites.filter(F.col("site").isNotNull()).select(F.col(key).alias("_key"), "site", bins.alias("_bin"))
+    arrays = binned.groupBy("_key", "_bin").agg(F.collect_set("site").alias("_sites"))
+    joined = df.join(arrays, (F.col(key) == F.col("_key")) & (F.floor(F.col(pos) / most) == F.col("_bin")), "left")
+    least, beyond = F.array_min(F.transform("_sites", lambda s: F.abs(s - F.col(pos)))), F.lit(none)
+    if none < most:  # else a far site and none at all give the same
+        known = sites.filter(F.col("site").isNotNull()).select(F.col(key).alias("_any")).distinct()
+        joined = joined.join(known, F.col(key) == F.col("_any"), "left")
+        beyond = F.when(F.col("_any").isNotNull() & F.col(pos).isNotNull(), F.lit(most)).otherwise(beyond)
+    return joined.withColumn(name, clip(F.coalesce(least, beyond), 0, most)).select(*df.columns, name)
 
 
 def mutation_score(df: DataFrame, logp: DataFrame, protein: str, pos: str, wild: str, mutant: str, name: str = "variant_score") -> DataFrame:

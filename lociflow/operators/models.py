@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import time
 
@@ -63,7 +64,7 @@ def oof_predict(df: DataFrame, key: str, group: str, label: str, features: list[
 def deoverlap(external: DataFrame, internal: DataFrame, group: str, variant: list[str]) -> DataFrame:
     """External rows whose group, and whose variant where both sides have its columns, is not internal."""
     out = enrich.anti(external, internal, [group])
-    if all(c in external.columns and c in internal.columns for c in variant):
+    if variant and all(c in external.columns and c in internal.columns for c in variant):
         out = enrich.anti(out, internal, variant)
     return out
 
@@ -89,10 +90,22 @@ def search(df: DataFrame, space: dict[str, list], n: int, key: str, group: str,
         pred = oof_predict(df, key, group, label, features, k, **(fixed | chosen))
         m = metrics.evaluate(pred, metrics.select_threshold(pred)).first()
         objective = sum(w * (m[name] or 0.0) for name, w in OBJECTIVE.items())
-        rows.append((trial, str(chosen), m["mcc"], m["auroc"], m["auprc"], m["brier"], objective, time.time() - began))
+        rows.append((trial, json.dumps(chosen), m["mcc"], m["auroc"], m["auprc"], m["brier"], objective, time.time() - began))
     return df.sparkSession.createDataFrame(rows, "trial int, params string, mcc double, auroc double, auprc double, brier double, objective double, seconds double")
 
 
+def confirm(df: DataFrame, history: DataFrame, key: str, group: str, label: str, features: list[str], k: int = 5, **fixed) -> DataFrame:
+    """Metrics by `setting`: the best of a search (the first trial of equals) and the defaults, each fitted and scored anew on k folds."""
+    best = history.orderBy(F.col("objective").desc(), "trial").first()
+    if best is None:
+        raise ValueError("the search has no trial")
+    every = None
+    for name, params in (("default", fixed), ("best", fixed | json.loads(best["params"]))):
+        pred = oof_predict(df, key, group, label, features, k, **params).withColumn("setting", F.lit(name))
+        every = pred if every is None else every.unionByName(pred)
+    return metrics.evaluate(every, metrics.select_threshold(every, ["setting"]), ["setting"])
+
+
 def project(df: DataFrame, key: str, embedding: str, k: int = 2) -> DataFrame:
     """(key, x): principal components of all non-zero embeddings; `sampling.subsample` the rows first for a sample's."""
     rows = df.filter(F.exists(embedding, lambda v: v != 0)).select(key, array_to_vector(embedding).alias("_v"))

@@ -709,7 +709,7 @@ def stream_label(spark, sf_dir):
 def stream_counts(spark, sf_dir):
     stream, out = _streamed(spark, sf_dir, "events")
     slices.running_counts(stream, ["event_type"], f"{out}/counts", f"{out}/state")
-    return spark.read.parquet(f"{out}/counts")
+    return slices.latest(spark, f"{out}/counts")
 
 
 @query("SELECT event_id, c_custkey, c_mktsegment FROM events JOIN customer ON user_id = c_custkey")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.functions.arrays import explode_packed
-from lociflow.functions.scalars import centred_crop, consensus_score, guarded_ratio
+from lociflow.functions.scalars import centred_crop, consensus_score, guarded_ratio, to_number
 from lociflow.operators import clean, dedup, enrich, labels, metrics, models, sampling
 from lociflow.sources import proteins as P
 from lociflow.sources import structures as S
@@ -19,10 +19,11 @@ LEAKAGE = ["evidence_source", "rescue_reason", "is_rescue", "clinvar_path", "cli
 def label_annotations(annotation: DataFrame, packed: list[str], numbers: list[str], dims: dict, rules: labels.EvidenceRules = labels.EvidenceRules()) -> DataFrame:
     """Explode, clean, join the evidence tables, label, keep what has a label.
 
+    `numbers` are scores and frequencies, cleaned and held to their range; the counts ac and an are only parsed.
     dims: gene_sets {flag: table of genename}, recurrence (genename, aapos, sampled, tested), hotspots {gene: positions}.
     """
     df = clean.numeric(explode_packed(annotation, packed), numbers)
-    df = df.withColumn("af", F.coalesce(guarded_ratio(F.col("ac"), F.col("an")), F.col("joint_af")))
+    df = df.withColumn("af", F.coalesce(guarded_ratio(to_number(F.col("ac")), to_number(F.col("an"))), F.col("joint_af")))
     df = df.withColumn("aapos", F.col("aapos").try_cast("int"))
     df = enrich.membership_flags(df, "genename", dims["gene_sets"])
     counts = enrich.recurrence(dims["recurrence"], ["genename", "aapos"], "sampled", "tested")

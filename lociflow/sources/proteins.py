@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociflow.operators.ranks import ranked
+
 #: Kinds of feature lines that are kept.
 KINDS = ("DOMAIN", "ACT_SITE", "BINDING", "TRANSMEM", "SIGNAL")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(input_seq, record): records end with a line of two slashes."""
+    """(input_seq, record): records end with a line of two slashes; input_seq (path, start, id) sorts them as the files do."""
     rows = spark.read.option("lineSep", "\n//\n").text(path)
-    seq = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    place = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")
+    seq = F.struct(*place, F.monotonically_increasing_id().alias("id"))
     return rows.select(seq.alias("input_seq"), F.col("value").alias("record")).filter(F.length(F.trim("record")) > 0)
 
 
@@ -67,5 +70,6 @@ def first_sequence(proteins: DataFrame) -> DataFrame:
 
 
 def in_order(proteins: DataFrame) -> DataFrame:
-    """input_seq as numbers from 1; one row a protein."""
-    return proteins.withColumn("input_seq", F.row_number().over(Window.orderBy("input_seq")))
+    """The input_seq of read_records as numbers from 1; a window holds one split of a file at most."""
+    split = F.struct("input_seq.path", "input_seq.start")
+    return ranked(proteins, [], split, [F.col("input_seq")], "_place").withColumn("input_seq", F.col("_place")).drop("_place")

@@ -32,10 +32,32 @@ def keep_first(stream: DataFrame, keys: list[str], event_time: str | None = None
 
 
 def running_counts(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> None:
-    """Totals by key, rewritten under `path` after each batch."""
+    """Totals by key, a new folder under `path` for each batch; `latest` reads them.
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    The folder before stays until the next batch is whole, so a crash in between loses nothing, and a batch that
+    is run again replaces its own folder.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number:012d}")
+        fs, whole = _whole(batch.sparkSession, path)
+        for old in whole[:-2]:
+            fs.delete(old, True)
 
     counts = stream.groupBy(*keys).count()
     counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _whole(spark: SparkSession, path: str):
+    """The file system of `path`, and its batches that are written to the end, oldest first."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, sorted((s.getPath().getParent() for s in fs.globStatus(Path(f"{path}/*/_SUCCESS"))), key=lambda p: p.getName())
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The totals after the last whole batch of `running_counts`."""
+    whole = _whole(spark, path)[1]
+    if not whole:
+        raise FileNotFoundError(f"no whole batch under {path}")
+    return spark.read.parquet(whole[-1].toString())
