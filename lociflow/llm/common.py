@@ -150,6 +150,16 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+def word_runs(text: bytes, most: int = 2 << 20) -> Iterator[list[bytes]]:
+    """The words of a text whose only white space is blanks, in lists of about `most` bytes, so that no very long one is held."""
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + most) if len(text) - at > most else -1
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
+        at = end
+
+
 #: What each kind of task remembers in a Python worker, by name: how to forget it.
 _MEMORIES: dict = {}
 _holder = [""]

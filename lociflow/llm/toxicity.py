@@ -13,7 +13,8 @@ driver. Only the pooled position of each filter gets a gradient, so a step costs
 
 Defined results: null and wordless texts are scored as an empty text; without labelled rows of both classes to train on
 every score is 0; without both among the validation rows all labelled rows set the thresholds; a label given twice counts
-as the larger; rows of repeated doc_ids are rows of their own; further columns are ignored.
+as the larger; rows of repeated doc_ids are rows of their own; further columns are ignored; very long texts are
+read whole, a stretch at a time.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import WORD_BYTES, bounded_sample, claim, fold, remember, slices, texts
+from lociflow.llm.common import WORD_BYTES, bounded_sample, claim, fold, remember, slices, texts, word_runs
 
 POSITIVES, NEGATIVES, SAMPLE_BYTES = 3_000, 6_000, 16 << 20
 WORD_BUCKETS, PREFIX_BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 1 << 15, 8, 8, (1, 2, 3)
@@ -33,6 +34,8 @@ EPOCHS, STEPS, BATCH, RATE, VALIDATION, CUT = 6, 800, 32, 0.02, 4, 0.3
 DECAY = (1e-5, 1e-4)
 #: Least rows of a class for a language's own threshold; score bins to a unit of log-odds, and their range.
 LEAST, BINS, RANGE = 10, 64, 40
+#: Words that go through the filters at a time.
+STRETCH = 1 << 16
 #: Blank rows after each text, so that no filter reaches into the next one.
 PAD = max(WIDTHS) - 1
 
@@ -57,14 +60,15 @@ remember("buckets", _BUCKETS.clear)
 def encode(batch: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Packed buckets of all words with PAD blanks (-1) after each text, and where each text begins."""
     claim("buckets")
-    lists = [t.translate(WORD_BYTES).split() if t else [] for t in batch]
-    sizes = np.array([len(x) + PAD for x in lists], np.int64)
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    flat = np.full(int(ends[-1]), -1, np.int64)
-    for words, a in zip(lists, ends[:-1].tolist()):
-        if words:
-            flat[a : a + len(words)] = np.fromiter(map(_BUCKETS.__getitem__, words), np.int64, len(words))
-    return flat, ends
+    parts, ends, blank = [], np.zeros(len(batch) + 1, np.int64), np.full(PAD, -1, np.int64)
+    for i, text in enumerate(batch):
+        size = PAD
+        for words in word_runs((text or b"").translate(WORD_BYTES)):
+            parts.append(np.fromiter(map(_BUCKETS.__getitem__, words), np.int64, len(words)))
+            size += len(words)
+        parts.append(blank)
+        ends[i + 1] = ends[i] + size
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64), ends
 
 
 class Network:
@@ -98,8 +102,16 @@ class Network:
         return found
 
     def logits(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        found = self.respond(self.embed(flat), flat < 0)
-        pooled = np.concatenate([np.maximum.reduceat(f, ends[:-1]) for f in found], axis=1)
+        """Log-odds of each text, as `encode` gives them. Words go through the filters STRETCH at a time, so a very long text takes
+        no more than a short one; responses are never negative, and a text's peak is the largest of its stretches'."""
+        pooled = np.zeros((len(ends) - 1, len(WIDTHS) * FILTERS), np.float32)
+        for a in range(0, len(flat), STRETCH):
+            b = min(a + STRETCH, len(flat))
+            part = flat[a : b + max(WIDTHS) - 1]
+            first, last = np.searchsorted(ends, a, "right") - 1, np.searchsorted(ends, b)
+            cuts = np.maximum(ends[first:last], a) - a
+            peaks = [np.maximum.reduceat(f[: b - a], cuts) for f in self.respond(self.embed(part), part < 0)]
+            pooled[first:last] = np.maximum(pooled[first:last], np.concatenate(peaks, axis=1))
         return pooled @ self.out + self.out_bias[0] + self.shift
 
     def scores(self, batch: list[bytes | None]) -> np.ndarray:

@@ -434,8 +434,10 @@ def test_toxicity_gradients():
         toxicity.DECAY = kept
 
 
-def test_forward_pass_by_words():
-    """Scores against a plain reading of the network, word by word."""
+@pytest.mark.parametrize("stretch", [1, 2, 5, 1 << 17])
+def test_forward_pass_by_words(monkeypatch, stretch):
+    """Scores against a plain reading of the network, word by word, however long the stretches are."""
+    monkeypatch.setattr(toxicity, "STRETCH", stretch)
     net = toxicity.Network(4)
     batch = [b"Alpha beta, gamma delta", b"beta", b"", None, b"one two"]
     flat, ends = toxicity.encode(batch)
@@ -449,6 +451,12 @@ def test_forward_pass_by_words():
         assert abs(net.scores(batch)[k] - 1 / (1 + np.exp(-z))) < 1e-5
 
 
+def test_word_runs():
+    for text in (b"", b"   ", b"a", b"ab cde f  gh ", b"one" * 50 + b" two"):
+        for most in (1, 3, 4, 1000):
+            assert [w for run in common.word_runs(text, most) for w in run] == text.split()
+
+
 def test_best_cut_and_thinnest(spark):
     bins, hits, misses = np.array([5, -3, 2, 9]), np.array([4, 0, 1, 3]), np.array([0, 6, 5, 0])
     assert toxicity.best_cut(bins, hits, misses) == (5 + 3) / 2 / toxicity.BINS  # F1 is best from bin 5 up
