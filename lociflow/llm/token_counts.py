@@ -40,6 +40,32 @@ STRETCH = 64 << 10
 _PARTS = re.compile(rb"[0-9]|(?<=[A-Za-z])[!-&(-/:-@\[-`{}~]")
 
 
+#: Words of visible ASCII, and what the word-wise tokenizers' pattern (token_store.WORD_PATTERN) finds in them in lower case.
+_PLAIN = re.compile(rb"[!-~]+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+class Remembered:
+    """Counts by key: those used among the last LIMIT / 2 new ones or so; the others go, a generation at a time."""
+
+    def __init__(self):
+        self.young, self.old = {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.young[key] = found
+        return found
+
+    def put(self, key, value: int) -> None:
+        if len(key) <= LONGEST:
+            self.young[key] = value
+
+    def age(self) -> None:
+        if len(self.young) > LIMIT // 2:
+            self.old, self.young = self.young, {}
+
+
 class Merges:
     """Symbols and merge ranks of a BPE definition."""
 
@@ -50,44 +76,39 @@ class Merges:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.rank = {self.vocabulary[a] << 32 | self.vocabulary[b]: r for r, (a, b) in enumerate(pairs)}
         self.result = [self.vocabulary[a + b] for a, b in pairs]
-        self.known: dict[str, int] = {}
+        self.known = Remembered()
 
     def count(self, piece: str) -> int:
         """Tokens of one pre-token, spelled in the model's symbols."""
         found = self.known.get(piece)
         if found is None:
-            found = self.merged([self.vocabulary[c] for c in piece[:-1]] + [self.vocabulary[piece[-1] + self.suffix]])
-            if len(piece) <= LONGEST:
-                self.known[piece] = found
+            found = self.merged([*map(self.vocabulary.__getitem__, piece[:-1]), self.vocabulary[piece[-1] + self.suffix]])
+            self.known.put(piece, found)
         return found
 
-    def merged(self, symbols: list[int]) -> int:
+    def merged(self, symbol: list[int]) -> int:
         """How many symbols are left when no pair can be merged."""
-        n, rank = len(symbols), self.rank
-        symbol, before, after = array("i", symbols), array("i", range(-1, n - 1)), array("i", range(1, n + 1))
-        pairs = ((rank.get(symbol[i] << 32 | symbol[i + 1]), i) for i in range(n - 1))
-        heap = [r << 32 | i for r, i in pairs if r is not None]
+        n, rank = len(symbol), self.rank.get
+        heap = [r << 32 | i for i, pair in enumerate(zip(symbol, symbol[1:])) if (r := rank(pair[0] << 32 | pair[1])) is not None]
         heapq.heapify(heap)
-        left = n
+        links = list if n < 4096 else lambda places: array("i", places)  # long ones compact
+        before, after, left = links(range(-1, n)), links(range(1, n + 1)), n
+        symbol.append(-1)  # an end that merges with nothing
         while heap:
             least = heapq.heappop(heap)
             r, i = least >> 32, least & 0xFFFFFFFF
-            j = after[i]
-            if symbol[i] < 0 or j == n or rank.get(symbol[i] << 32 | symbol[j]) != r:
+            j, own = after[i], symbol[i]
+            if own < 0 or rank(own << 32 | symbol[j]) != r:
                 continue  # one of the pair has been merged meanwhile
-            symbol[i], symbol[j] = self.result[r], -1
-            k = after[i] = after[j]
+            own = symbol[i] = self.result[r]
+            symbol[j] = -1
             left -= 1
-            if k < n:
-                before[k] = i
-                r = rank.get(symbol[i] << 32 | symbol[k])
-                if r is not None:
-                    heapq.heappush(heap, r << 32 | i)
-            h = before[i]
-            if h >= 0:
-                r = rank.get(symbol[h] << 32 | symbol[i])
-                if r is not None:
-                    heapq.heappush(heap, r << 32 | h)
+            k, h = after[j], before[i]
+            after[i], before[k] = k, i
+            if (r := rank(own << 32 | symbol[k])) is not None:
+                heapq.heappush(heap, r << 32 | i)
+            if h >= 0 and (r := rank(symbol[h] << 32 | own)) is not None:
+                heapq.heappush(heap, r << 32 | h)
         return left
 
 
@@ -107,7 +128,7 @@ class Counter:
         self.normal, self.cut = tokenizer.normalizer, tokenizer.pre_tokenizer
         longest_first = sorted((x["content"] for x in added), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, longest_first))) if added else None
-        self.known: dict[bytes, int] = {}
+        self.known = Remembered()
 
     def count(self, text: str) -> int:
         total, parts = 0, [text]
@@ -120,18 +141,20 @@ class Counter:
         return total
 
     def word(self, word: bytes) -> int:
+        """Tokens of a word without white space, by a tokenizer that works word by word."""
         found = self.known.get(word)
         if found is None:
-            found = sum(self.count(x.decode()) for x in stretches(word))
-            if len(word) <= LONGEST:
-                self.known[word] = found
+            if len(word) <= STRETCH and _PLAIN.fullmatch(word) and b"<|" not in word:
+                found = sum(map(self.merges.count, _PIECES.findall(word.decode().lower())))
+            else:
+                found = sum(self.count(x.decode()) for x in stretches(word))
+            self.known.put(word, found)
         return found
 
     def batch(self, column: pa.Array) -> np.ndarray:
         """Tokens of each text of an Arrow column without nulls."""
-        if len(self.known) > LIMIT or len(self.merges.known) > LIMIT:
-            self.known.clear()
-            self.merges.known.clear()
+        self.known.age()
+        self.merges.known.age()
         if not self.by_word:
             return np.fromiter(map(self.count, column.to_pylist()), np.int64, len(column))
         lists = pc.ascii_split_whitespace(column.cast(pa.large_string()))
