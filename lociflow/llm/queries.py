@@ -8,6 +8,7 @@ from lociflow.llm.licenses import OP9_SQL, op9_license_scan
 from lociflow.llm.mixing import OP5_SQL, op5_mixing
 from lociflow.llm.ngram_join import OP3_SQL, op3_ngram_jaccard
 from lociflow.llm.quality import op7_quality
+from lociflow.llm.ranked_search import OP12_SQL, op12_ranked_search
 from lociflow.llm.substring import op10_substring_dedup
 from lociflow.llm.token_counts import op13_token_counts
 from lociflow.llm.token_store import op4_token_ids
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_fill_middle": op11_fill_middle,
+    "op12_ranked_search": op12_ranked_search,
     "op13_token_counts": op13_token_counts,
 }
-ORACLES = {"op3_ngram_jaccard": OP3_SQL, "op2_decontamination": OP2_SQL, "op5_mixing": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_license_scan": OP9_SQL, "op11_fill_middle": OP11_SQL}
+ORACLES = {"op3_ngram_jaccard": OP3_SQL, "op2_decontamination": OP2_SQL, "op5_mixing": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op9_license_scan": OP9_SQL, "op11_fill_middle": OP11_SQL, "op12_ranked_search": OP12_SQL}
