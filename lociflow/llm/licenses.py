@@ -9,9 +9,9 @@ a match may lack.
 
 Runs of lines (lines without a word left out) are only formed in texts that hold as many of a template's bigrams as
 a match needs; they begin where a bigram of the template does and have at most twice as many words as the largest
-admissible size, repeated ones included. Of matching lines, paragraphs and runs that overlap the best one stands for
-the passage (ties: fewer lines, licence, template, the first); a run counts if it is that one. Lines and paragraphs
-count anyhow.
+admissible size, repeated ones included. Of matching lines and runs that overlap the best one stands for
+the passage (ties: fewer lines, licence, template, the first), then the best of those that don't overlap it, and so on; a run counts if it is one
+of them and no paragraph. Lines and paragraphs count anyhow.
 
 Defined results: null and empty texts, and segments of one word, match nothing; several segments of one licence
 count together with the best one's values; a tie between templates goes to the smaller (licence, template);
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ from lociflow.llm.common import LOWER, UPPER, Scratch, ascii_lower
 LEAST = 0.8
 #: Words that are no anchors if others do.
 COMMON = {"a", "and", "at", "by", "for", "in", "is", "of", "on", "or", "the", "this", "to", "with", "you"}
+#: Lines of a block in which runs begin, and the mark for a line that no run can hold.
+BLOCK, END = 256, "|"
 SENTENCE_END = "[.!?;][ \t]+"
 #: A template table with more (template, size) rows than this is joined without a broadcast.
 BROADCAST_ROWS = 100_000
@@ -129,39 +132,64 @@ def _bigrams(words: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, 1, after), F.slice(words, 2, after), lambda a, b: F.concat_ws(" ", a, b)))
 
 
-def runs(docs: DataFrame, templates: DataFrame, anchor: list[str], all_bigrams: list[str], least: float) -> DataFrame:
-    """(doc_id, segment, d, license_id, template_id): matching runs of lines that are better than what they overlap."""
-    spread = docs.filter(F.contains("text", F.lit("\n"))).select("doc_id", "text", F.split(_plain(F.col("text")), " ").alias("words"))
-    spread = spread.filter(F.arrays_overlap("words", F.array(*map(F.lit, anchor))))
+def runs(docs: DataFrame, templates: DataFrame, anchor: list[str], all_bigrams: list[str], least: float, most_bigrams: int) -> DataFrame:
+    """(doc_id, segment, d, license_id, template_id): matching runs of lines that are better than what they overlap.
+
+    A text's lines go to blocks of BLOCK lines, each with as many lines more as a run can have, so no row holds more than that, however
+    long the text. A line with more words than any run is in none: it stands as a mark where runs end.
+    """
+    longest = 2 * most_bigrams + 1
+    plain = F.transform(F.split("text", "\n"), _plain)
+    lines = F.filter(plain, lambda x: x != "")
+    short = F.transform(lines, lambda x: F.when(F.length(x) - F.length(F.translate(x, " ", "")) < longest, x).otherwise(END))
+    rows = docs.filter(F.contains("text", F.lit("\n"))).select("doc_id", F.xxhash64("text").alias("t"), short.alias("lines")).filter(F.size("lines") > 1)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / BLOCK).cast("int")), lambda b: F.struct((b * BLOCK).alias("base"), F.slice("lines", b * BLOCK + 1, BLOCK + longest).alias("lines")))
+    blocks = rows.select("doc_id", "t", F.explode(cut).alias("block")).select("doc_id", "t", "block.*")
+    blocks = blocks.withColumn("words", F.split(F.array_join("lines", " "), " ")).filter(F.arrays_overlap("words", F.array(*map(F.lit, anchor))))
     known = F.array_intersect(_bigrams(F.col("words")), F.array(*map(F.lit, all_bigrams)))
-    spread = spread.select("doc_id", "text", known.alias("known")).filter(F.size("known") > 0)
+    blocks = blocks.withColumn("known", known).drop("words").filter(F.size("known") > 0)
     need = F.ceil(least / (2 - least) * F.size("template") - 1e-9)
-    held = spread.join(F.broadcast(templates), F.size(F.array_intersect("known", "template")) >= need)
-    lines = F.filter(F.transform(F.split("text", "\n"), _plain), lambda x: x != "")
-    paragraphs = F.transform(F.filter(F.split("text", "\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n")) & F.col("text").rlike("\n[ \t\r]*\n")), _plain)
     most = F.floor((2 - least) / least * F.size("template") + 1e-9).cast("int")
-    held = held.select("doc_id", F.xxhash64("text").alias("t"), "license_id", "template_id", "template", lines.alias("lines"), paragraphs.alias("paragraphs"), most.alias("most"))
-    begun = held.select("*", F.posexplode("lines").alias("i", "line")).withColumn("ahead", F.slice("lines", F.col("i") + 1, 2 * F.col("most") + 1)).drop("lines")
-    begun = begun.filter(F.arrays_overlap(_bigrams(F.split(F.array_join(F.slice("ahead", 1, 2), " "), " ")), F.col("template")))
-    run = begun.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("ahead")))).withColumn("run", F.array_join(F.slice("ahead", F.lit(1), F.col("k")), " "))
-    run = run.withColumn("words", F.split("run", " ")).filter((F.size("words") <= 2 * F.col("most") + 1) | (F.col("k") == 1))
-    run = run.withColumn("bigrams", _bigrams(F.col("words"))).filter(F.size("bigrams") <= F.col("most"))
+    held = blocks.join(F.broadcast(templates), F.size(F.array_intersect("known", "template")) >= need).drop("known").withColumn("most", most)
+    two = lambda i: _bigrams(F.split(F.array_join(F.slice("lines", i, F.lit(2)), " "), " "))
+    begins = F.filter(F.sequence(F.lit(1), F.least(F.lit(BLOCK), F.size("lines"))), lambda i: F.arrays_overlap(two(i), F.col("template")))
+    begun = held.withColumn("i", F.explode(begins)).withColumn("ahead", F.slice("lines", F.col("i"), 2 * F.col("most") + 1)).withColumn("i", F.col("base") + F.col("i")).drop("lines", "base")
+    end = F.array_position("ahead", END).cast("int")
+    begun = begun.withColumn("ahead", F.when(end > 0, F.slice("ahead", F.lit(1), end - 1)).otherwise(F.col("ahead"))).filter(F.size("ahead") > 0)
+    start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"))
+    reach = F.aggregate("ahead", start, lambda a, x: F.struct((a["k"] + F.when(a["n"] + F.size(F.split(x, " ")) <= 2 * F.col("most") + 1, 1).otherwise(0)).alias("k"), (a["n"] + F.size(F.split(x, " "))).alias("n")))["k"]
+    run = begun.withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), reach)))).withColumn("run", F.array_join(F.slice("ahead", F.lit(1), F.col("k")), " ")).drop("ahead")
+    run = run.withColumn("bigrams", _bigrams(F.split("run", " "))).filter(F.size("bigrams") <= F.col("most"))
     dice = F.lit(2.0) * F.size(F.array_intersect("bigrams", "template")) / (F.size("bigrams") + F.size("template"))
-    own = (F.col("k") > 1) & ~F.array_contains("paragraphs", F.col("run"))
     met = run.withColumn("dice", dice).filter(F.col("dice") >= least)
-    met = met.select("doc_id", "t", "i", "k", F.struct((-F.col("dice")).alias("d"), "k", "license_id", "template_id", "i", own.alias("own")).alias("hit"))
-    by = Window.partitionBy("doc_id", "t").orderBy("i", "k", "hit")
-    reach = F.max(F.col("i") + F.col("k")).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    met = met.withColumn("apart", (F.col("i") >= reach).cast("int")).withColumn("passage", F.sum(F.coalesce("apart", F.lit(0))).over(by))
-    hits = met.groupBy("doc_id", "t", "passage").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
-    # The best first; one that overlaps a chosen one is left out.
-    chosen = F.aggregate(
-        "hits",
-        F.slice("hits", 1, 0),
-        lambda kept, x: F.when(F.exists(kept, lambda y: (y["i"] < x["i"] + x["k"]) & (x["i"] < y["i"] + y["k"])), kept).otherwise(F.concat(kept, F.array(x))),
-    )
-    best = hits.select("doc_id", F.explode(chosen).alias("hit")).filter("hit.own")
-    return best.select("doc_id", F.concat_ws("+", "hit.i", "hit.k").alias("segment"), "hit.d", "hit.license_id", "hit.template_id")
+    hit = F.struct((-F.col("dice")).alias("d"), "k", "license_id", "template_id", "i").alias("hit")
+    scratch = Scratch(docs.sparkSession, "licence-runs")
+    text = F.struct("doc_id", "t").alias("at")  # equal also where doc_id is null
+    met = scratch.write("met", met.select(text, hit, "run").distinct())
+    best = None
+    left = met.select("at", "hit")
+    while not left.isEmpty():
+        judged = scratch.write(f"round-{uuid.uuid4().hex}", _judged(left))
+        chosen = judged.filter("chosen")
+        best = chosen if best is None else best.unionByName(chosen)
+        left = judged.filter("NOT chosen AND NOT covered").select("at", "hit")
+    if best is None:
+        return met.select("at.doc_id", F.lit("").alias("segment"), "hit.d", "hit.license_id", "hit.template_id").limit(0)
+    # A line or a paragraph of its own is counted as such.
+    paragraphs = F.filter(F.split("text", "\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n")) & F.col("text").rlike("\n[ \t\r]*\n"))
+    counted = docs.filter(F.contains("text", F.lit("\n"))).select("doc_id", F.xxhash64("text").alias("t"), F.explode(paragraphs).alias("p"))
+    counted = counted.select(text, _plain(F.col("p")).alias("run"))
+    own = best.filter("hit.k > 1").join(met, ["at", "hit"]).join(counted, ["at", "run"], "left_anti")
+    return own.select("at.doc_id", F.concat_ws("+", F.col("hit.i") - 1, "hit.k").alias("segment"), "hit.d", "hit.license_id", "hit.template_id")
+
+
+def _judged(hits: DataFrame) -> DataFrame:
+    """(at, hit, chosen, covered): a hit is chosen if it is the best on each of its lines, covered if a chosen one is on any."""
+    line, own = Window.partitionBy("at", "line"), Window.partitionBy("at", "hit")
+    lines = hits.withColumn("line", F.explode(F.sequence(F.col("hit.i"), F.col("hit.i") + F.col("hit.k") - 1)))
+    lines = lines.withColumn("least", F.min("hit").over(line)).withColumn("chosen", F.min(F.col("least") == F.col("hit")).over(own))
+    lines = lines.withColumn("taken", F.max("chosen").over(line))
+    return lines.groupBy("at", "hit").agg(F.max("chosen").alias("chosen"), F.max("taken").alias("covered"))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, least: float = LEAST) -> DataFrame:
@@ -195,7 +223,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, l
     best = best.select("doc_id", F.concat_ws(".", "segment", "one.sentence").alias("segment"), "one.best.*")
     if whole:
         entire = spark.createDataFrame(whole, "license_id string, template_id string, template array<string>")
-        more = runs(docs.select("doc_id", "text"), entire, sorted(anchor), sorted({b for _, _, t in whole for b in t}), least)
+        more = runs(docs.select("doc_id", "text"), entire, sorted(anchor), sorted({b for _, _, t in whole for b in t}), least, max(n for n, *_ in rows))
         more = more.groupBy("doc_id", "segment").agg(F.min(F.struct("d", "license_id", "template_id")).alias("best"))
         best = best.unionByName(more.select("doc_id", "segment", "best.*"))
     found = best.groupBy("doc_id", "license_id").agg(F.min(F.struct("d", "template_id")).alias("best"), F.count(F.lit(1)).alias("n_segments"))
