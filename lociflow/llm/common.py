@@ -96,23 +96,37 @@ def likely_least(h: Column, most: int, count) -> Column:
     return h <= (share * 2.0 - 1.0) * float(1 << 63)
 
 
+#: A text takes a sixteenth of a sample's bytes at most: of a longer one the head stands for it.
+HEADS = 16
+
+
+def charged(text: Column, most_bytes: int) -> Column:
+    """The bytes that a text takes of a sample."""
+    return F.coalesce(F.least(F.octet_length(text), F.lit(most_bytes // HEADS)), F.lit(0))
+
+
+def head(text: Column, most_bytes: int) -> Column:
+    """The text, or of one that is too long for a sample so many code points as surely fit."""
+    return F.when(F.octet_length(text) > most_bytes // HEADS, F.substring(text, 1, max(1, most_bytes // HEADS // 4))).otherwise(text)
+
+
 def bounded_sample(docs: DataFrame, marked: DataFrame, mark: str, limits: dict, most_bytes: int) -> DataFrame:
     """Whole rows of `docs` with the column `mark`: for each value of it at most limits[value] different (doc_id, text), those with
-    the least hash of their id, as far as their texts together have most_bytes.
+    the least hash of their id, as far as their texts together have most_bytes; of texts beyond a sixteenth of that only the head.
 
     marked: (doc_id, mark). Rows of one id and text count once. Neither rows nor bytes can go beyond the limits, whatever
     ids repeat, so the sample may be broadcast or sent to the driver.
     """
     tkey, size, place, upto = (spare(docs, f"_{x}") for x in ("tkey", "size", "place", "upto"))
-    sized = docs.select("doc_id", F.xxhash64("text").alias(tkey), F.octet_length("text").alias(size)).join(marked, "doc_id")
-    sized = sized.groupBy("doc_id", tkey, mark).agg(F.coalesce(F.max(size), F.lit(0)).alias(size)).withColumn(place, F.xxhash64("doc_id"))
+    sized = docs.select("doc_id", F.xxhash64("text").alias(tkey), charged(F.col("text"), most_bytes).alias(size)).join(marked, "doc_id")
+    sized = sized.groupBy("doc_id", tkey, mark).agg(F.max(size).alias(size)).withColumn(place, F.xxhash64("doc_id"))
     order, chosen, counts = [place, "doc_id", tkey], None, dict(sized.groupBy(mark).count().collect())  # one row a value of limits
     for value, most in sorted(limits.items()):
         part = sized.filter((F.col(mark) == value) & likely_least(F.col(place), most, counts.get(value, 0))).orderBy(*order).limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     so_far = Window.partitionBy(mark).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # the limits' rows at most
     chosen = chosen.withColumn(upto, F.sum(size).over(so_far)).filter(F.col(upto) <= most_bytes).select("doc_id", tkey, mark)
-    rows = docs.withColumn(tkey, F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", tkey])
+    rows = docs.withColumn(tkey, F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", tkey]).withColumn("text", head(F.col("text"), most_bytes))
     return one_of_each(rows, ["doc_id", tkey, mark]).drop(tkey)
 
 

@@ -5,7 +5,8 @@ digest, the keeper's id and the number of equal rows in the batch that brought i
 digest, so that a new batch is compared by a sort-merge anti-join that leaves the index where it lies.
 
 Defined results: null text counts as empty text; all empty texts are equal; repeated doc_ids are separate rows
-of a group, and rows of one text under its largest doc_id leave one; a null doc_id comes before all others; an empty
+of a group, and rows of one text under its largest doc_id leave one; a null doc_id comes before all others, and is kept where a
+text has no other; an empty
 batch changes nothing; further columns, whatever their names, are carried along.
 """
 
@@ -73,11 +74,11 @@ def assign(digested: DataFrame, index: DataFrame) -> DataFrame:
     wanted = index.select("digest", "keep_id", "group_size")
     total = wanted.agg(F.sum("group_size")).first()[0] or 0
     least = max(HOT_ROWS, int(total * HOT_SHARE))
-    hot = wanted.filter(F.col("group_size") >= least)
-    marked = digested.join(F.broadcast(hot), "digest", "left")
-    cold = marked.filter(F.col("keep_id").isNull()).select("doc_id", "digest").join(wanted.filter(F.col("group_size") < least), "digest")
+    hot = wanted.filter(F.col("group_size") >= least).withColumn("hot", F.lit(True))
+    marked = digested.select("doc_id", "digest").join(F.broadcast(hot), "digest", "left")
+    cold = marked.filter(F.col("hot").isNull()).select("doc_id", "digest").join(wanted.filter(F.col("group_size") < least), "digest")
     columns = ["doc_id", "digest", "keep_id", "group_size"]
-    return marked.filter(F.col("keep_id").isNotNull()).select(columns).unionByName(cold.select(columns))
+    return marked.filter(F.col("hot")).select(columns).unionByName(cold.select(columns))
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,7 +109,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("doc_id") == F.col("keep_id")).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
@@ -117,6 +118,6 @@ OP6_SQL = """
 WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
            FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = max(doc_id) OVER w AS kept, text_sha256
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, text_sha256
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """

@@ -3,7 +3,7 @@
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability is the sum
 over all its segmentations into pieces, by the forward algorithm; a text's is the product over its words. The
 piece probabilities are fitted by expectation-maximisation over the same lattices, on a bounded sample:
-DOCS_PER_LANG documents of each language with SAMPLE_BYTES of text at most, those with the least hash of their id, whole.
+DOCS_PER_LANG documents of each language with SAMPLE_BYTES of text at most, those with the least hash of their id; of texts beyond a sixteenth of SAMPLE_BYTES the head.
 Words are letters with their combining marks; pieces that no such word can hold are left out.
 
 Defined results: null text, and text without a letter, is `und` with score 0; so is everything when no row has
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lociflow.llm.common import claim, fold, likely_least, mix, one_of_each, remember, slices, texts
+from lociflow.llm.common import charged, claim, fold, head, likely_least, mix, one_of_each, remember, slices, texts
 
 DOCS_PER_LANG, SAMPLE_BYTES, EM_ROUNDS, MAX_WORD = 300, 8 << 20, 3, 40
 #: Probability of a letter that no piece covers, the same in all languages.
@@ -255,7 +255,7 @@ def fit(labelled: DataFrame, vocabulary_path: str | None = None, docs_per_lang:
     """A model out of (doc_id, text, lang) rows; None if none has text and lang."""
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     tkey = F.xxhash64("text")
-    sized = known.select("lang", "doc_id", tkey.alias("tkey"), F.octet_length("text").alias("size")).distinct()
+    sized = known.select("lang", "doc_id", tkey.alias("tkey"), charged(F.col("text"), SAMPLE_BYTES).alias("size")).distinct()
     counts = sized.groupBy(F.col("lang").alias("_lang")).count()
     sized = sized.join(counts, F.col("lang") == F.col("_lang")).filter(likely_least(F.xxhash64("doc_id"), docs_per_lang, F.col("count"))).drop("_lang", "count")
     least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "tkey")
@@ -263,7 +263,7 @@ def fit(labelled: DataFrame, vocabulary_path: str | None = None, docs_per_lang:
     upto = F.sum("size").over(least.rowsBetween(Window.unboundedPreceding, 0))
     chosen = chosen.withColumn("_upto", upto).filter(F.col("_upto") <= SAMPLE_BYTES).select("lang", "doc_id", "tkey")
     # docs_per_lang rows and SAMPLE_BYTES a language.
-    sample = known.select("lang", "doc_id", "text", tkey.alias("tkey")).join(F.broadcast(chosen), ["lang", "doc_id", "tkey"])
+    sample = known.select("lang", "doc_id", head(F.col("text"), SAMPLE_BYTES).alias("text"), tkey.alias("tkey")).join(F.broadcast(chosen), ["lang", "doc_id", "tkey"])
     sample = one_of_each(sample, ["lang", "doc_id", "tkey"]).select("lang", "text")
     rows = sample.mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     if not rows.num_rows:

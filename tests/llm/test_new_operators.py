@@ -218,3 +218,38 @@ def test_merging_takes_the_least_rank_first():
                 i = min(ranks)[1]
                 left[i : i + 2] = [left[i] + left[i + 1]]
             assert own.count(word) == len(left)
+
+
+# ---------------------------------------------------------------- nothing goes by its size
+
+
+def test_an_oversized_text_does_not_empty_its_class(spark, monkeypatch):
+    from lociflow.llm import common, language, toxicity
+
+    rows = [(i, ("scum " if i % 2 else "fine ") * 20 + str(i)) for i in range(40)]
+    first = min((i for i in range(40) if i % 2), key=lambda i: spark.range(1).select(F.xxhash64(F.lit(i).cast("bigint"))).first()[0])
+    rows[first] = (first, "scum " * 60_000)
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("lang", F.lit("en"))
+    known = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("_y"))
+    sample = common.bounded_sample(docs, known, "_y", {0: 30, 1: 30}, 16_000).collect()
+    assert Counter(r._y for r in sample) == {0: 20, 1: 20}
+    assert sum(len(r.text) for r in sample if r._y) <= 16_000 and next(len(r.text) for r in sample if r.doc_id == first) == 250
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 16_000)
+    assert toxicity.fit(docs, known.withColumnRenamed("_y", "toxic")) is not None
+    monkeypatch.setattr(language, "SAMPLE_BYTES", 16_000)
+    two = docs.filter("doc_id % 2 = 0").unionByName(docs.filter(f"doc_id = {first}").withColumn("lang", F.lit("xx")))
+    assert language.fit(two).languages == ["en", "xx"]
+
+
+def test_hot_groups_of_null_ids(spark, monkeypatch):
+    from lociflow.llm import exact_dedup
+
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 3)
+    rows = [(None, "same")] * 5 + [(1, "other"), (None, "other"), (None, "lone"), (7, "seven"), (8, "Seven"), (9, "SEVEN"), (9, "seven")]
+    digested = exact_dedup.digests(spark.createDataFrame(rows, SCHEMA))
+    index = exact_dedup.DigestIndex(spark, buckets=2)
+    index.add(digested)
+    found = exact_dedup.assign(digested, index.rows())
+    got = Counter((r.doc_id, r.keep_id, r.group_size) for r in found.collect())
+    index.drop()
+    assert got == Counter([(None, None, 5)] * 5 + [(1, 1, 2), (None, 1, 2), (None, None, 1), (7, 9, 4), (8, 9, 4), (9, 9, 4), (9, 9, 4)])
