@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.functions.names import spare
 from lociflow.functions.scalars import clip
 
-BIN = 64
+#: Width of the smallest bins, and how many of them make one of the next level.
+BIN, FANOUT = 64, 8
+#: Levels that a 64-bit position can need.
+LEVELS = 20
 
 
 def join_dimension(df: DataFrame, dim: DataFrame, keys: list[str], defaults: dict) -> DataFrame:
@@ -42,17 +46,39 @@ def anti(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 
 
 def interval_annotate(df: DataFrame, intervals: DataFrame, key: str, pos: str, row_id: str, flag: str, name: str) -> DataFrame:
-    """flag and name of the first interval (by ord) that holds the position.
+    """flag and name of the first interval (by ord, equal ones by name) that holds the position.
 
-    intervals: (key, lo, hi, ord, name). Intervals go to bins of BIN positions, so the join is an equi-join on
-    key and bin. row_id tells rows apart.
+    intervals: (key, lo, hi, ord, name). Bins are hierarchical: an interval goes to the lowest level at which it takes few bins (two to
+    FANOUT + 1 of them, whatever its length), a position is looked up in one bin of each level that has intervals, so the join is an equi-join on key, level and
+    bin. row_id tells rows apart. Intervals without a key or an end, or that end before they begin, hold nothing.
     """
-    binned = intervals.select(
-        F.col(key).alias("_key"), "lo", "hi", "ord", F.col("name").alias("_name"), F.explode(F.sequence(F.floor(F.col("lo") / BIN), F.floor(F.col("hi") / BIN))).alias("_bin")
-    )
-    at = (F.col(key) == F.col("_key")) & (F.floor(F.col(pos) / BIN) == F.col("_bin")) & F.col(pos).between(F.col("lo"), F.col("hi"))
-    hits = df.select(row_id, key, pos).join(binned, at).groupBy(F.col(row_id).alias("_row")).agg(F.min_by("_name", "ord").alias(name), F.lit(1).alias(flag))
-    return df.join(hits, F.col(row_id) == F.col("_row"), "left").drop("_row").na.fill({flag: 0})
+    row, own, place, lo, hi, order, label, level, b, at = spare(df, "_row", "_own", "_place", "_lo", "_hi", "_ord", "_name", "_level", "_bin", "_at")
+    known = intervals.filter(F.col(key).isNotNull() & (F.col("lo") <= F.col("hi")))
+    known = known.select(F.col(key).alias(own), F.col("lo").cast("bigint").alias(lo), F.col("hi").cast("bigint").alias(hi), F.col("ord").alias(order), F.col("name").alias(label))
+    known = known.withColumn(level, interval_level(F.col(hi) - F.col(lo)))
+    width = bin_width(F.col(level))
+    binned = known.select("*", F.explode(F.sequence(floor_div(F.col(lo), width), floor_div(F.col(hi), width))).alias(b))
+    used = sorted(r[0] for r in known.select(level).distinct().collect())  # LEVELS at most
+    rows = df.select(F.col(row_id).alias(row), F.col(key).alias(key), F.col(pos).cast("bigint").alias(place), F.explode(F.array(*map(F.lit, used)).cast("array<int>")).alias(at))
+    rows = rows.select("*", floor_div(F.col(place), bin_width(F.col(at))).alias("_pos_bin"))
+    meets = (F.col(key) == F.col(own)) & (F.col(at) == F.col(level)) & (F.col("_pos_bin") == F.col(b)) & F.col(place).between(F.col(lo), F.col(hi))
+    hits = rows.join(binned, meets).groupBy(row).agg(F.min(F.struct(order, label)).alias(place))
+    hits = hits.select(row, F.col(f"{place}.{label}").alias(name), F.lit(1).alias(flag))
+    return df.join(hits, F.col(row_id) == F.col(row), "left").drop(row).na.fill({flag: 0})
+
+
+def bin_width(level: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(BIN).cast("bigint"), level * (FANOUT.bit_length() - 1))
+
+
+def interval_level(length: Column) -> Column:
+    """The lowest level at which `length` takes at most FANOUT widths: a count of comparisons, exact for any length."""
+    return sum(((length > F.lit(min(BIN * FANOUT ** (i + 1), (1 << 63) - 1))).cast("int") for i in range(LEVELS - 1)), F.lit(0))
+
+
+def floor_div(x: Column, width: Column) -> Column:
+    """x / width rounded down, in whole numbers."""
+    return F.call_function("div", x - F.pmod(x, width), width)
 
 
 def site_flag(df: DataFrame, sites: DataFrame, key: str, pos: str, flag: str) -> DataFrame:
@@ -90,6 +116,49 @@ def attach_embeddings(df: DataFrame, embeddings: DataFrame, key: str) -> tuple[D
     return df.join(embeddings, key), df.join(embeddings.select(key), key, "left_anti").count()
 
 
+def key_filter(keys: DataFrame, column: str, bits: int = 1 << 23, hashes: int = 4) -> DataFrame:
+    """One row `words`: a Bloom filter of a column's values (as text) as `bits` bits, whatever their number.
+
+    Each task makes its own words, which are combined by OR; at most bits / 64 rows meet. With n keys a value that isn't one passes by chance in
+    (1 - exp(-hashes * n / bits)) ** hashes of all cases: some 0.5 % for a twelfth as many keys as bits.
+    """
+    places = F.explode(F.array(*_places(F.col(column).cast("string"), bits, hashes))).alias("p")
+    words = keys.filter(F.col(column).isNotNull()).select(places).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("p", F.lit(64)).cast("int"))).alias("bits"))
+    table = words.agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"))
+    return table.select(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(bits // 64 - 1).cast("bigint")), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("bigint"))).alias("words"))
+
+
+def _places(value: Column, bits: int, hashes: int) -> list[Column]:
+    """Where a value sets bits: at steps that one hash gives, from where another does."""
+    first, step = (F.pmod(h, F.lit(bits).cast("bigint")) for h in (F.xxhash64(value), F.xxhash64(value, F.lit(1))))
+    return [(first + i * step) % bits for i in range(hashes)]
+
+
+def packed_matches(df: DataFrame, column: str, keys: DataFrame, key: str, sep: str = ";", bits: int = 1 << 23, hashes: int = 4) -> DataFrame:
+    """df with the elements of a packed text column that `keys` has, a row each under the column's name: what explode and a left semi join give.
+
+    Rows without an element that passes a Bloom filter of the keys are not exploded, of the others only elements that pass; the exact semi join
+    follows. The filter is of a fixed size, so keys may be any number; keys and elements are compared as trimmed text, null ones match nothing.
+    """
+    if bits % 64:
+        raise ValueError("bits come in words of 64")
+    (words,) = spare(df, "_words")
+    filtered = key_filter(keys.select(F.trim(F.col(key).cast("string")).alias("k")), "k", bits, hashes)
+    marked = df.withColumn(words, filtered.scalar())
+
+    def passes(x: Column) -> Column:
+        found = F.lit(True)
+        for p in _places(x, bits, hashes):
+            word = F.get(words, F.shiftright(p, 6).cast("int"))
+            found = found & (F.getbit(word, F.pmod(p, F.lit(64)).cast("int")) == 1)
+        return found
+
+    likely = F.filter(F.transform(F.split(column, sep), lambda x: F.trim(x)), passes)
+    some = marked.withColumn(column, likely).drop(words).filter(F.size(column) > 0)
+    exploded = some.select(*[F.explode(c).alias(c) if c == column else F.col(c) for c in df.columns])
+    return exploded.join(keys.select(F.trim(F.col(key).cast("string")).alias(words)), F.col(column) == F.col(words), "left_semi")
+
+
 def prefilter_packed(df: DataFrame, column: str, keys: list[str], sep: str = ";") -> DataFrame:
     """Rows whose packed field holds one of a short list of keys, before it is exploded."""
     return df.filter(F.arrays_overlap(F.transform(F.split(column, sep), lambda x: F.trim(x)), F.array(*[F.lit(k) for k in keys])))

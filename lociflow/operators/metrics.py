@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.operators.ranks import exact_quantiles, running
+from lociflow.functions.names import equal_keys, spare
+from lociflow.operators.ranks import quantiles, running_by_range
 
 #: Threshold grid, recall floor, beta, abstention margin.
 GRID_LEAST, GRID_MOST, GRID_SIZE = 0.01, 0.99, 393
@@ -64,10 +65,9 @@ def select_threshold(pred: DataFrame, keys: list[str] = [], floor: float = RECAL
 
 
 def curve_points(pred: DataFrame, keys: list[str] = []) -> DataFrame:
-    """(keys, p, pos, neg, tp, fp): cumulative counts at or above each distinct score."""
+    """(keys, p, pos, neg, tp, fp): cumulative counts at or above each distinct score; rows without a score come last, as one point."""
     points = pred.groupBy(*keys, "p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    bucket = -F.floor(F.col("p") * 4096)
-    return running(points, keys, bucket, [F.col("p").desc()], {"tp": F.col("pos"), "fp": F.col("neg")})
+    return running_by_range(points, keys, [F.col("p").desc_nulls_last()], {"tp": F.col("pos"), "fp": F.col("neg")})
 
 
 def ranking_scores(pred: DataFrame, keys: list[str] = []) -> DataFrame:
@@ -134,11 +134,13 @@ def operating_point(pred: DataFrame, keys: list[str] = [], recall: float = RECAL
     return points.groupBy(*keys).agg(F.max("tpr").alias("_m"), best.alias("b")).filter(F.col("_m") >= recall).select(*keys, "b.p", "b.tpr", "b.fpr")
 
 
-def calibration_bins(pred: DataFrame, bins: int = 10) -> DataFrame:
-    """(bin, n, mean_p, rate): equal-frequency bins by exact quantile edges; equal scores share a bin."""
-    edges = exact_quantiles(pred, "p", [i / bins for i in range(1, bins)])
-    place = sum((F.when(F.lit(e) < F.col("p"), 1).otherwise(0) for e in edges), F.lit(0))
-    return pred.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"), F.avg(F.col("y").cast("double")).alias("rate"))
+def calibration_bins(pred: DataFrame, bins: int = 10, keys: list[str] = []) -> DataFrame:
+    """(keys, bin, n, mean_p, rate): equal-frequency bins of each key by exact quantile edges; equal scores share a bin, rows without a score the first."""
+    edge, *others = spare(pred, "_edges", *[f"_key{i}" for i in range(len(keys))])
+    edges = quantiles(pred, keys, ["p"], [i / bins for i in range(1, bins)]).select(*[F.col(k).alias(o) for k, o in zip(keys, others)], F.col("values").alias(edge))
+    marked = pred.join(edges, equal_keys(keys, others)) if keys else pred.withColumn(edge, F.lit((edges.first() or [[]])[0]))
+    place = F.size(F.filter(edge, lambda e: e < F.col("p")))
+    return marked.groupBy(*keys, place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"), F.avg(F.col("y").cast("double")).alias("rate"))
 
 
 def mcnemar_counts(pairs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.operators.ranks import hash_bucket, ranked
+from lociflow.operators.ranks import hash_bucket, ranked, ranked_by_range
 
 
 def shuffled(seed: int, key: str) -> Column:
@@ -39,10 +39,7 @@ def group_folds(df: DataFrame, group: str, label: str, k: int = 5, order: Column
     """
     groups = df.groupBy(group).agg(F.count_if(F.col(label) == 1).alias("positives"), F.count_if(F.col(label) == 0).alias("negatives"))
     groups = groups.withColumn("_stratum", (F.col("positives") > 0).cast("int"))
-    lead = F.when(F.col("positives") > 0, F.col("positives")).otherwise(F.col("negatives"))
-    placed = ranked(
-        groups, ["_stratum"], -F.least(lead, F.lit(4095)), [F.col("positives").desc(), F.col("negatives").desc(), F.col(group) if order is None else order], "_rank"
-    )
+    placed = ranked_by_range(groups, ["_stratum"], [F.col("positives").desc(), F.col("negatives").desc(), (F.col(group) if order is None else order).asc_nulls_first()], "_rank")
     i = F.col("_rank") - 1
     fold = F.when(F.floor(i / k) % 2 == 0, i % k).otherwise(k - 1 - i % k)
     return placed.select(group, "positives", "negatives", fold.cast("int").alias("fold"))
@@ -72,5 +69,5 @@ def pack_batches(df: DataFrame, key: str, length: str, max_items: int = 32, max_
     bucket = F.floor((F.col(length) + 2) / width)
     most = F.greatest(F.lit(1), F.least(F.lit(max_items), F.floor(F.lit(max_tokens) / ((bucket + 1) * width)))).cast("bigint")
     marked = df.withColumn("length_bucket", bucket.cast("bigint"))
-    placed = ranked(marked, ["length_bucket"], F.floor(F.col(key) / 1024), [F.col(key)], "_rank")
+    placed = ranked_by_range(marked, ["length_bucket"], [F.col(key).asc_nulls_first()], "_rank")
     return placed.withColumn("batch", F.floor((F.col("_rank") - 1) / most).cast("bigint")).drop("_rank")

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.functions import scalars as S
 from lociflow.functions.arrays import explode_packed
-from lociflow.operators import clean, dedup, enrich, labels, metrics, ranks, sampling, scale
+from lociflow.operators import clean, dedup, enrich, labels, metrics, packing, ranks, sampling, scale
 from lociflow.plans import reports
-from lociflow.sources import structures
+from lociflow.sources import proteins, structures, tables
+from lociflow.sources.shared import new_folder
+from lociflow.sources.snapshots import Snapshots
 from lociflow.streaming import slices
 
 QUERIES = {}
@@ -383,6 +383,33 @@ def accessibility_grid(spark, sf_dir):
     return structures.neighbours(points, "label", "vec_id", 1.5).groupBy("vec_id").agg(F.count(F.lit(1)).alias("neighbours"))
 
 
+_SPAN = "(c_custkey * 7919) % 100000000"
+
+
+@query(f"""WITH i AS (SELECT c_nationkey AS k, {_SPAN} AS lo, {_SPAN} + CASE c_custkey % 8 WHEN 0 THEN 0 WHEN 1 THEN 10 WHEN 2 THEN 99 WHEN 3 THEN 1000 WHEN 4 THEN 10000 WHEN 5 THEN 99999 WHEN 6 THEN 1000000 ELSE 10000000 END AS hi,
+  c_custkey AS ord, c_name AS name FROM customer), p AS (SELECT l_orderkey, l_linenumber, l_suppkey % 25 AS k, (l_orderkey * 104729 + l_linenumber * 1299709) % 100000000 AS pos FROM lineitem),
+h AS (SELECT l_orderkey, l_linenumber, arg_min(name, ord) AS name FROM p JOIN i ON p.k = i.k AND pos BETWEEN lo AND hi GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, CASE WHEN name IS NULL THEN 0 ELSE 1 END AS inside, name FROM p LEFT JOIN h USING (l_orderkey, l_linenumber)""")
+def interval_long(spark, sf_dir):
+    """Intervals of 1 to ten million positions."""
+    widths = F.array(*[F.lit(x) for x in (0, 10, 99, 1000, 10000, 99999, 1000000, 10000000)])
+    spans = table(spark, sf_dir, "customer").selectExpr("c_nationkey AS k", f"{_SPAN} AS lo", "c_custkey AS ord", "c_name AS name")
+    spans = spans.withColumn("hi", F.col("lo") + F.get(widths, (F.col("ord") % 8).cast("int")))
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_suppkey % 25 AS k", "(l_orderkey * 104729 + l_linenumber * 1299709) % 100000000 AS pos")
+    row = F.struct("l_orderkey", "l_linenumber")
+    out = enrich.interval_annotate(lines.withColumn("row", row), spans, "k", "pos", "row", "inside", "name")
+    return out.select("l_orderkey", "l_linenumber", "inside", "name")
+
+
+@query("""WITH e AS (SELECT o_orderkey, trim(unnest(string_split(o_custkey || ' ; ' || (o_custkey * 7 % 5000) || ';' || o_orderstatus || ';' || (o_orderkey % 100000), ';'))) AS element FROM orders)
+SELECT o_orderkey, element FROM e WHERE element IN (SELECT c_custkey::VARCHAR FROM customer WHERE c_acctbal < 0)""")
+def packed_large_keys(spark, sf_dir):
+    """Packed text against a key set of any size: Bloom filter before the explode, exact semi join after it."""
+    packed = "concat(o_custkey, ' ; ', o_custkey * 7 % 5000, ';', o_orderstatus, ';', o_orderkey % 100000) AS element"
+    df, keys = table(spark, sf_dir, "orders").selectExpr("o_orderkey", packed), table(spark, sf_dir, "customer").filter("c_acctbal < 0")
+    return enrich.packed_matches(df, "element", keys, "c_custkey").select("o_orderkey", "element")
+
+
 # ---------------------------------------------------------------- text and arrays
 
 
@@ -487,6 +514,17 @@ def pack_batches(spark, sf_dir):
     return packed.groupBy("length_bucket", "batch").agg(F.count(F.lit(1)).alias("items"), F.sum(F.col("n_chars") + 2).alias("cost"))
 
 
+@query("""WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY n_chars, doc_id) AS r, doc_id, n_chars + 2 AS cost FROM documents),
+g AS (SELECT r, doc_id, cost AS tokens, 1 AS items, 0 AS batch FROM o WHERE r = 1
+  UNION ALL SELECT o.r, o.doc_id, CASE WHEN items = 32 OR tokens + cost > 16000 THEN cost ELSE tokens + cost END, CASE WHEN items = 32 OR tokens + cost > 16000 THEN 1 ELSE items + 1 END,
+  CASE WHEN items = 32 OR tokens + cost > 16000 THEN batch + 1 ELSE batch END FROM g JOIN o ON o.r = g.r + 1)
+SELECT doc_id, batch::BIGINT AS batch FROM g""")
+def pack_greedy(spark, sf_dir):
+    """The batches of one pass over all documents by length."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return packing.greedy_batches(docs, [F.col("n_chars"), F.col("doc_id")], F.col("n_chars") + 2).select("doc_id", "batch")
+
+
 @query("""WITH d AS (SELECT l_returnflag, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity END AS q FROM lineitem), m AS (SELECT quantile_cont(q, 0.5) AS m FROM d),
 f AS (SELECT l_returnflag, coalesce(q, (SELECT m FROM m)) AS q FROM d)
 SELECT l_returnflag, round(avg((q - (SELECT avg(q) FROM f)) / (SELECT stddev_pop(q) FROM f)), 6) AS mean_z, round(max((q - (SELECT avg(q) FROM f)) / (SELECT stddev_pop(q) FROM f)), 6) AS max_z FROM f GROUP BY l_returnflag""")
@@ -554,6 +592,32 @@ _THR = f"""{_PRED}, g AS (SELECT unnest({_GRID}) AS thr, unnest(range(393)) AS i
 k AS (SELECT *, {_MCC} AS mcc, tp / nullif(tp + fn, 0) AS recall FROM c)"""
 
 
+_BOTH = f"{_PRED}, b AS (SELECT 'a' AS config, doc_id % 3 AS model, y, p FROM pred UNION ALL SELECT 'b', doc_id % 3, y, p2 FROM pred)"
+
+
+def both_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two configurations of three models each."""
+    pred, model = predictions(spark, sf_dir), (F.col("doc_id") % 3).alias("model")
+    return pred.select(F.lit("a").alias("config"), model, "y", "p").unionByName(pred.select(F.lit("b").alias("config"), model, "y", F.col("p2").alias("p")))
+
+
+@query(f"""WITH {_BOTH}, e AS (SELECT config, model, {', '.join(f'quantile_cont(p, {i / 10}) AS e{i}' for i in range(1, 10))} FROM b GROUP BY ALL),
+x AS (SELECT config, model, {' + '.join(f'(CASE WHEN e{i} < p THEN 1 ELSE 0 END)' for i in range(1, 10))} AS bin, p, y FROM b JOIN e USING (config, model))
+SELECT config, model, bin, count(*) AS n, round(avg(p), 9) AS mean_p, round(avg(y), 9) AS rate FROM x GROUP BY ALL""")
+def calibration_by_model(spark, sf_dir):
+    out = metrics.calibration_bins(both_predictions(spark, sf_dir), keys=["config", "model"])
+    return out.select("config", "model", "bin", "n", F.round("mean_p", 9).alias("mean_p"), F.round("rate", 9).alias("rate"))
+
+
+@query(" UNION ALL ".join(f"""SELECT l_returnflag, l_linestatus, '{c}' AS feature, count(v) AS n, round(quantile_cont(v, 0.05), 6) AS q05, round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.95), 6) AS q95
+FROM (SELECT l_returnflag, l_linestatus, CASE WHEN l_linenumber = {i} THEN NULL ELSE {c} END AS v FROM lineitem) GROUP BY ALL""" for i, c in enumerate(_NUMBERS, 1)))
+def grouped_quantiles(spark, sf_dir):
+    """Quantiles of four columns by two keys, all in the same rounds."""
+    df = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", *[F.when(F.col("l_linenumber") != i, F.col(c)).alias(c) for i, c in enumerate(_NUMBERS, 1)])
+    found = ranks.quantiles(df, ["l_returnflag", "l_linestatus"], _NUMBERS, [0.05, 0.5, 0.95])
+    return found.select("l_returnflag", "l_linestatus", F.col("column").alias("feature"), "n", *[F.round(F.col("values")[i], 6).alias(f"q{q}") for i, q in enumerate(("05", "50", "95"))])
+
+
 @query(f"WITH {_PRED} SELECT p, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg, sum(count(*) FILTER (y = 1)) OVER (ORDER BY p DESC)::BIGINT AS tp, sum(count(*) FILTER (y = 0)) OVER (ORDER BY p DESC)::BIGINT AS fp FROM pred GROUP BY p")
 def roc_points(spark, sf_dir):
     return metrics.curve_points(predictions(spark, sf_dir))
@@ -663,7 +727,7 @@ def oof_predict(spark, sf_dir):
     """Out-of-fold boosted trees by source; the prepared features are written first, as every fold reads them."""
     from lociflow.operators import models
 
-    path = f"{_shared_root(spark)}/features-{uuid.uuid4().hex}"
+    path = new_folder(spark, "features")
     _features(spark, sf_dir).write.parquet(path)
     rows = spark.read.parquet(path)
     return models.oof_predict(rows, "doc_id", "source", "y", ["n_chars", "upper", "marks", "lines"])
@@ -676,23 +740,14 @@ def embedding_view(spark, sf_dir):
     return models.project(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
-def _shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; in local mode alone the warehouse does, where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return (root or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-
-
 def _streamed(spark: SparkSession, sf_dir: str, name: str):
     """A stream over one Parquet table, and a new folder for its output."""
-    root = _shared_root(spark)
     # A stream's source is a folder; a table that is one file is picked out of its folder by name.
     at, schema = f"{sf_dir}/{name}.parquet", spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     is_folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
     stream = slices.file_stream(spark, at, schema) if is_folder else slices.file_stream(spark, sf_dir, schema, name_filter=f"{name}.parquet")
-    return stream, f"{root}/stream-{uuid.uuid4().hex}"
+    return stream, new_folder(spark, "stream")
 
 
 _EVENT = "CASE WHEN event_type = 'purchase' THEN 1 WHEN value < 10 THEN 0 ELSE -1 END AS label"
@@ -728,12 +783,64 @@ def stream_keep_first(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows")
 
 
+@query("SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) = 1")
+def stream_keep_best(spark, sf_dir):
+    """Events arrive in several files; the best of each (user, type) is the batch operator's."""
+    rows, out = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), new_folder(spark, "stream")
+    rows.repartition(5, "event_id").write.parquet(f"{out}/in")
+    keys, order = ["user_id", "event_type"], [F.col("value").desc_nulls_last(), F.col("event_id")]
+    slices.keep_best_arriving(slices.file_stream(spark, f"{out}/in", rows.schema, 2), keys, order, f"{out}/best", f"{out}/state", runs=2)
+    return slices.best_so_far(spark, f"{out}/best", keys, order)
+
+
+@query(f"""WITH {_PRED} SELECT 1 AS version, 'a' AS config, doc_id, y, p FROM pred UNION ALL SELECT 1, 'b', doc_id, y, p FROM pred
+UNION ALL SELECT 2, 'a', doc_id, y, p FROM pred UNION ALL SELECT 2, 'b', doc_id, y, p2 FROM pred""")
+def prediction_versions(spark, sf_dir):
+    """Two configurations are stored, one of them again; both versions are read."""
+    path, pred = new_folder(spark, "versions"), predictions(spark, sf_dir)
+    rows = lambda config, p: pred.select(F.lit(config).alias("config"), F.lit("m").alias("model"), "doc_id", "y", F.col(p).alias("p"))
+    numbers = [tables.upsert_versioned(rows("a", "p").unionByName(rows("b", "p")), path), tables.upsert_versioned(rows("b", "p2"), path)]
+    first, second = (Snapshots(spark, path).read(n).withColumn("version", F.lit(i)) for i, n in enumerate(numbers, 1))
+    return first.unionByName(second).select("version", "config", "doc_id", "y", "p")
+
+
+_RECORD = """concat('ID   O', o_orderkey, '\\nAC   C', o_custkey, '; X;\\nGN   Name=', replace(o_orderpriority, ' ', '_'), ' {E};\\n', features, 'SQ   SEQUENCE\\n     ', substr(repeat('ACDEF', 9), 1, cast(o_orderkey % 40 AS int)), '\\n     MKV')"""
+
+
+@query("""WITH f AS (SELECT l_orderkey, count(*) AS n_features, sum(l_linenumber)::BIGINT AS starts, sum(l_linenumber + cast(l_quantity AS BIGINT))::BIGINT AS ends FROM lineitem GROUP BY l_orderkey)
+SELECT 'O' || o_orderkey AS entry, 'C' || o_custkey AS accession, replace(o_orderpriority, ' ', '_') AS gene, (o_orderkey % 40)::BIGINT + 3 AS residues, coalesce(n_features, 0) AS n_features, coalesce(starts, 0) AS starts, coalesce(ends, 0) AS ends
+FROM orders LEFT JOIN f ON o_orderkey = l_orderkey""")
+def record_files(spark, sf_dir):
+    """Orders with their lines, written as flat files of records and read back."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS o_orderkey", "concat('FT   DOMAIN          ', l_linenumber, '..', cast(l_linenumber + l_quantity AS bigint), '\\n') AS ft")
+    features = lines.groupBy("o_orderkey").agg(F.array_join(F.collect_list("ft"), "").alias("features"))
+    rows = table(spark, sf_dir, "orders").join(features, "o_orderkey", "left").na.fill({"features": ""}).selectExpr(f"{_RECORD} AS value")
+    path = new_folder(spark, "records")
+    rows.write.option("lineSep", "\n//\n").text(path)
+    found = proteins.parse(proteins.read_records(spark, path))
+    total = lambda field: F.aggregate("features", F.lit(0).cast("bigint"), lambda a, x: a + x[field])
+    return found.select("entry", "accession", "gene", F.length("sequence").cast("bigint").alias("residues"), F.size("features").cast("bigint").alias("n_features"), total("start").alias("starts"), total("end").alias("ends"))
+
+
+_STRAY = "CASE WHEN page_id % 7 = 0 THEN concat(url, '\\t', 'more') WHEN page_id % 5 = 0 THEN concat('\"', url) ELSE url END"
+
+
+@query("""SELECT 'good' AS part, page_id::VARCHAR AS page_id, CASE WHEN page_id % 5 = 0 THEN '"' || url ELSE url END AS url FROM pages WHERE page_id % 7 <> 0
+UNION ALL SELECT 'bad', 'all', count(*)::VARCHAR FROM pages WHERE page_id % 7 = 0""")
+def checked_scan(spark, sf_dir):
+    """Pages written as tab-separated text with stray quotes and tabs: what can be read comes back, the other lines are counted."""
+    path = new_folder(spark, "checked")
+    lines = table(spark, sf_dir, "pages").selectExpr(f"concat(page_id, '\\t', {_STRAY}) AS `page_id\turl`")
+    tables.write_table(lines, f"{path}/pages", kind="csv", sep="\u0001", quote="\u0000", emptyValue="")
+    good, rejected = tables.read_checked(spark, f"{path}/pages")
+    count = tables.quarantine(rejected, f"{path}/rejected").agg(F.coalesce(F.sum("count"), F.lit(0)).cast("string").alias("url"))
+    return good.select(F.lit("good").alias("part"), "page_id", "url").unionByName(count.select(F.lit("bad").alias("part"), F.lit("all").alias("page_id"), "url"))
+
+
 @query(f"WITH {_PRED} SELECT 'a' AS config, 'm' AS model, doc_id, y, p FROM pred UNION ALL SELECT 'b', 'm', doc_id, y, p2 FROM pred")
 def prediction_upsert(spark, sf_dir):
     """Two configurations are stored, the second of them is written again, and the store is read back."""
-    from lociflow.sources import tables
-
-    path, pred = f"{_shared_root(spark)}/predictions-{uuid.uuid4().hex}", predictions(spark, sf_dir)
+    path, pred = new_folder(spark, "predictions"), predictions(spark, sf_dir)
     rows = lambda config, p: pred.select(F.lit(config).alias("config"), F.lit("m").alias("model"), "doc_id", "y", F.col(p).alias("p"))
     tables.upsert_predictions(rows("a", "p").unionByName(rows("b", "p")), path)
     tables.upsert_predictions(rows("b", "p2"), path)

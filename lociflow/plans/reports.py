@@ -7,7 +7,9 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.functions.names import equal_keys
 from lociflow.operators import metrics
+from lociflow.operators.ranks import quantiles
 
 
 def label_evidence(df: DataFrame, source: str = "evidence_source", label: str = "label") -> DataFrame:
@@ -28,9 +30,10 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def class_distribution(df: DataFrame, label: str, feature: str, missing: float = -1.0, shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """(label, n, mean, q25, ...) of a feature with `missing` read as NULL."""
-    v = F.when(F.col(feature) != missing, F.col(feature).cast("double"))
-    quantiles = [F.percentile(v, F.lit(s)).alias(f"q{int(s * 100)}") for s in shares]
-    return df.groupBy(label).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), *quantiles)
+    known = df.select(F.col(label), F.when(F.col(feature) != missing, F.col(feature).cast("double")).alias("_v"))
+    found = quantiles(known, [label], ["_v"], list(shares)).select(F.col(label).alias("_label"), "values")
+    means = known.groupBy(label).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"))
+    return means.join(found, equal_keys([label], ["_label"])).select(label, "n", "mean", *[F.col("values")[i].alias(f"q{int(s * 100)}") for i, s in enumerate(shares)])
 
 
 def histogram(df: DataFrame, label: str, feature: str, lo: float, hi: float, bins: int) -> DataFrame:

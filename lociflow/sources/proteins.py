@@ -12,8 +12,13 @@ KINDS = ("DOMAIN", "ACT_SITE", "BINDING", "TRANSMEM", "SIGNAL")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(input_seq, record): records end with a line of two slashes; input_seq (path, start, id) sorts them as the files do."""
-    rows = spark.read.option("lineSep", "\n//\n").text(path)
+    """(input_seq, record): records end with a line that begins with two slashes; input_seq (path, start, id) sorts them as the files do.
+
+    Lines end in either way; in a record they end with a line feed.
+    """
+    rows = spark.read.option("lineSep", "\n//").text(path)
+    # What follows the slashes on their line stands in front of the next record.
+    rows = rows.withColumn("value", F.regexp_replace(F.regexp_replace("value", "\r(?=\n|$)", ""), "^\n", ""))
     place = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")
     seq = F.struct(*place, F.monotonically_increasing_id().alias("id"))
     return rows.select(seq.alias("input_seq"), F.col("value").alias("record")).filter(F.length(F.trim("record")) > 0)

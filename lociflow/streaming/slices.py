@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from lociflow.operators.dedup import keep_best
+from lociflow.sources.snapshots import Snapshots
+
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None, name_filter: str | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -22,15 +25,36 @@ def append_all(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], pa
 
 
 def keep_first(stream: DataFrame, keys: list[str], event_time: str | None = None, late: str = "1 hour") -> DataFrame:
-    """One row a key: the first that arrives. With an event time the state is bounded by how late rows may be.
-
-    The best row of a key needs all rows: that is the batch operator's.
-    """
+    """One row a key: the first that arrives. With an event time the state is bounded by how late rows may be."""
     if event_time:
         return stream.withWatermark(event_time, late).dropDuplicatesWithinWatermark(keys)
     return stream.dropDuplicates(keys)
 
 
+def keep_best_arriving(stream: DataFrame, keys: list[str], order: list[Column], path: str, checkpoint: str, runs: int = 8) -> None:
+    """The best row of each key among all that have arrived, as a versioned table; `best_so_far` reads it.
+
+    A batch adds its own best rows as one more run, so its work grows with the batch, not with the table; from `runs` runs on they are merged
+    into one. The version's manifest names the batch, so a batch that is run again after a crash changes nothing. What is best doesn't depend on
+    how the rows arrive: `order` and then all columns settle it.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        table = Snapshots(batch.sparkSession, path)
+        if table.fact("batch", -1) >= number:
+            return
+        table.append(keep_best(batch, keys, order), batch=number)
+        if len(table.manifest()["parts"]) >= runs:
+            table.compact(lambda rows: keep_best(rows, keys, order))
+        table.clean()
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def best_so_far(spark: SparkSession, path: str, keys: list[str], order: list[Column]) -> DataFrame:
+    return keep_best(Snapshots(spark, path).read(), keys, order)
+
+
 def running_counts(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> None:
     """Totals by key, a new folder under `path` for each batch; `latest` reads them.
 
