@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.operators import enrich, metrics, sampling
+from lociflow.operators import enrich, metrics, sampling, tuning
 from lociflow.operators.clean import align_features, check_classes
 from lociflow.operators.scale import fit_impute, fit_scale, impute, scale
 
@@ -37,16 +37,16 @@ class Scorer:
         trees = GBTClassifier(featuresCol="_x", labelCol="_y", **self.params)
         if validation is not None:
             trees = trees.setValidationIndicatorCol("_validation")
-        self.model = trees.fit(self._prepared(rows).withColumn("_y", F.col(self.label).cast("double")).select("_x", "_y", "_validation"))
+        self.model = trees.fit(self.prepared(rows).withColumn("_y", F.col(self.label).cast("double")).select("_x", "_y", "_validation"))
         return self
 
-    def _prepared(self, df: DataFrame) -> DataFrame:
+    def prepared(self, df: DataFrame) -> DataFrame:
         ready = scale(impute(df, self.medians), self.scaling)
         return VectorAssembler(inputCols=self.features, outputCol="_x", handleInvalid="keep").transform(ready)
 
     def predict(self, df: DataFrame, key: str) -> DataFrame:
         """(key, y, p)"""
-        out = self.model.transform(self._prepared(df))
+        out = self.model.transform(self.prepared(df))
         return out.select(key, F.col(self.label).cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
 
 
@@ -94,6 +94,22 @@ def search(df: DataFrame, space: dict[str, list], n: int, key: str, group: str,
     return df.sparkSession.createDataFrame(rows, "trial int, params string, mcc double, auroc double, auprc double, brier double, objective double, seconds double")
 
 
+def adaptive_search(df: DataFrame, space: dict, n: int, key: str, group: str, label: str, features: list[str], k: int = 3, seed: int = 42, parallel: int = 4, startup: int = tuning.STARTUP, **fixed) -> DataFrame:
+    """(trial, params, mcc, auroc, auprc, brier, objective, seconds) of n settings that a Parzen sampler chooses, each by grouped cross-validation;
+    `parallel` trials at a time, with the same history for a seed."""
+
+    def measured(chosen: dict) -> tuple[float, dict]:
+        pred = oof_predict(df, key, group, label, features, k, **(fixed | chosen))
+        m = metrics.evaluate(pred, metrics.select_threshold(pred)).first()
+        return sum(w * (m[name] or 0.0) for name, w in OBJECTIVE.items()), {name: m[name] for name in OBJECTIVE}
+
+    rows = []
+    for trial, params, objective, seconds, kept in tuning.tune(df.sparkSession, measured, space, n, seed, parallel, startup):
+        m = json.loads(kept)
+        rows.append((trial, params, m["mcc"], m["auroc"], m["auprc"], m["brier"], objective, seconds))
+    return df.sparkSession.createDataFrame(rows, "trial int, params string, mcc double, auroc double, auprc double, brier double, objective double, seconds double")
+
+
 def confirm(df: DataFrame, history: DataFrame, key: str, group: str, label: str, features: list[str], k: int = 5, **fixed) -> DataFrame:
     """Metrics by `setting`: the best of a search (the first trial of equals) and the defaults, each fitted and scored anew on k folds."""
     best = history.orderBy(F.col("objective").desc(), "trial").first()

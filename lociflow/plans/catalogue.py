@@ -733,6 +733,17 @@ def oof_predict(spark, sf_dir):
     return models.oof_predict(rows, "doc_id", "source", "y", ["n_chars", "upper", "marks", "lines"])
 
 
+@query()
+def tree_attributions(spark, sf_dir):
+    """Attributions of every labelled document's features under one fitted model, in rows of (doc_id, feature, value)."""
+    from lociflow.operators import attributions, models
+
+    path, features = new_folder(spark, "features"), ["n_chars", "upper", "marks", "lines"]
+    _features(spark, sf_dir).write.parquet(path)
+    rows = spark.read.parquet(path)
+    return attributions.attributions(models.Scorer(features, "y", maxIter=20).fit(rows), rows, "doc_id")
+
+
 @query()
 def embedding_view(spark, sf_dir):
     from lociflow.operators import models
