@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from lociflow.functions.names import spare
 
 
-def keep_best(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in `order`; further ties are settled by all other columns that can be ordered."""
+def keep_best(df: DataFrame, keys: list[str], order: list[Column], total: bool = False) -> DataFrame:
+    """The first row of each key in `order`; further ties are settled by all other columns that can be ordered, unless `order` is total."""
     (place,) = spare(df, "_place")
     ties = [F.col(f"`{f.name}`").asc_nulls_last() for f in df.schema if f.name not in keys and f.dataType.typeName() not in ("map", "variant")]
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *ties))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *([] if total else ties)))
     return df.withColumn(place, first).filter(F.col(place) == 1).drop(place)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lociflow.functions.names import spare
 from lociflow.functions.scalars import clip
+from lociflow.operators.ranks import ranked_by_range
 
 #: Width of the smallest bins, and how many of them make one of the next level.
 BIN, FANOUT = 64, 8
@@ -164,7 +165,12 @@ def prefilter_packed(df: DataFrame, column: str, keys: list[str], sep: str = ";"
     return df.filter(F.arrays_overlap(F.transform(F.split(column, sep), lambda x: F.trim(x)), F.array(*[F.lit(k) for k in keys])))
 
 
-def grouped_rows(df: DataFrame, key: str, columns: list[str], order: list[str]) -> DataFrame:
-    """A key's rows as one sorted array of structs."""
+def grouped_rows(df: DataFrame, key: str, columns: list[str], order: list[str], most: int | None = None) -> DataFrame:
+    """A key's rows as one sorted array of structs; with `most` as several (key, part, rows) of at most so many, whatever a key holds."""
+    if most is not None:
+        place, part = spare(df, "_place", "part")
+        ranked = ranked_by_range(df, [key], [F.col(c).asc_nulls_first() for c in order], place)
+        numbered = ranked.withColumn(part, F.call_function("div", F.col(place) - 1, F.lit(most).cast("bigint")))
+        return numbered.groupBy(key, part).agg(F.sort_array(F.collect_list(F.struct(*order, *[c for c in columns if c not in order]))).alias("rows"))
     return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, *[c for c in columns if c not in order]))).alias("rows"))
 

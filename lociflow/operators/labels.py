@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.functions.names import spare
 from lociflow.functions.scalars import contains_any
 
 
@@ -49,20 +50,17 @@ def clinical_flags(df: DataFrame, column: str) -> DataFrame:
 
 def label_by_evidence(df: DataFrame, rules: EvidenceRules = EvidenceRules()) -> DataFrame:
     """label 1, 0 or -1, and the evidence source that won (first match)."""
-    path, benign = rules.conditions("path"), rules.conditions("benign")
-    any_path, any_benign = F.lit(False), F.lit(False)
-    for _, c in path:
-        any_path = any_path | c
-    for _, c in benign:
-        any_benign = any_benign | c
+    path, benign = spare(df, "_path", "_benign")
+    df = df.withColumns({path: _first(rules.conditions("path")), benign: _first(rules.conditions("benign"))})
     common = F.coalesce(F.col("af") >= F.lit(rules.common_af), F.lit(False))
-    label = F.when(any_path & ~common, 1).when(any_benign & ~any_path, 0).otherwise(-1)
-    source = F.lit("None")
-    for name, c in reversed(benign):
-        source = F.when((label == 0) & c, name).otherwise(source)
-    for name, c in reversed(path):
-        source = F.when((label == 1) & c, name).otherwise(source)
-    return df.withColumns({"label": label, "evidence_source": source})
+    label = F.when(F.col(path).isNotNull() & ~common, 1).when(F.col(benign).isNotNull() & F.col(path).isNull(), 0).otherwise(-1)
+    source = F.when(F.col("label") == 1, F.col(path)).when(F.col("label") == 0, F.col(benign)).otherwise("None")
+    return df.withColumn("label", label).withColumn("evidence_source", source).drop(path, benign)
+
+
+def _first(conditions: list[tuple[str, Column]]) -> Column:
+    """The name of the first condition that holds, or NULL; each is looked at once."""
+    return F.coalesce(*[F.when(c, F.lit(name)) for name, c in conditions], F.lit(None).cast("string"))
 
 
 def rescue_reason(df: DataFrame, rules: EvidenceRules = EvidenceRules()) -> DataFrame:

@@ -212,7 +212,7 @@ k AS (SELECT * FROM e WHERE label <> -1 QUALIFY row_number() OVER (PARTITION BY
 SELECT evidence_source, count(*) FILTER (label = 0) AS benign, count(*) FILTER (label = 1) AS pathogenic FROM k GROUP BY evidence_source""")
 def evidence_report(spark, sf_dir):
     """Labelled evidence counts after keep-best deduplication."""
-    kept = dedup.keep_best(labels.labelled(labelled_variants(spark, sf_dir)), ["chr", "gene", "aapos"], [F.col("consensus").desc(), F.col("id").asc()])
+    kept = dedup.keep_best(labels.labelled(labelled_variants(spark, sf_dir)), ["chr", "gene", "aapos"], [F.col("consensus").desc(), F.col("id").asc()], total=True)
     return reports.label_evidence(kept)
 
 
@@ -323,6 +323,14 @@ def grouped_rows(spark, sf_dir):
     return lists.select("o_custkey", F.size("rows").cast("bigint").alias("n"), F.array_join(one, ",").alias("rows"))
 
 
+@query("""WITH r AS (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 20 AS part FROM events)
+SELECT user_id, part, count(*) AS n, string_agg(event_id::VARCHAR, ',' ORDER BY t.ts, event_id) AS rows FROM r JOIN events t USING (user_id, event_id) GROUP BY user_id, part""")
+def grouped_rows_parts(spark, sf_dir):
+    """A user's events in lists of at most 20."""
+    lists = enrich.grouped_rows(table(spark, sf_dir, "events"), "user_id", ["event_id"], ["ts", "event_id"], 20)
+    return lists.select("user_id", "part", F.size("rows").cast("bigint").alias("n"), F.array_join(F.transform("rows", lambda r: r["event_id"].cast("string")), ",").alias("rows"))
+
+
 _INTERVALS = "(SELECT n_nationkey AS k, 'Brand#' || n_nationkey AS p_brand, (n_nationkey * 7) % 40 AS lo, (n_nationkey * 7) % 40 + 12 AS hi, 'D' || n_nationkey AS name FROM nation)"
 
 
@@ -410,6 +418,26 @@ def packed_large_keys(spark, sf_dir):
     return enrich.packed_matches(df, "element", keys, "c_custkey").select("o_orderkey", "element")
 
 
+_ATOMS = "vec_id AS serial, 'S' || label AS accession, (vec_id // 5)::INT AS res_no, CASE WHEN vec_id // 5 % 3 = 0 THEN 'ALA' WHEN vec_id // 5 % 3 = 1 THEN 'GLY' ELSE 'SEC' END AS res_name, ['CA', 'N', 'O', 'SG', 'XX'][(vec_id % 5 + 1)::INT] AS atom, round(embedding[1]::DOUBLE * 60, 3) AS x, round(embedding[2]::DOUBLE * 60, 3) AS y, round(embedding[3]::DOUBLE * 60, 3) AS z, vec_id % 100 AS bfactor"
+_BALL = "[" + ", ".join(f"{{'i': {i}, 'x': {x!r}::DOUBLE, 'y': {y!r}::DOUBLE, 'z': {z!r}::DOUBLE}}" for i, (x, y, z) in enumerate(structures.sphere(structures.POINTS))) + "]"
+
+
+@query(f"""WITH a AS (SELECT {_ATOMS} FROM embeddings), r AS (SELECT *, CASE substr(atom, 1, 1) WHEN 'C' THEN 1.7::DOUBLE WHEN 'N' THEN 1.55 WHEN 'O' THEN 1.52 WHEN 'S' THEN 1.8 WHEN 'H' THEN 1.2 WHEN 'P' THEN 1.8 ELSE 1.8 END + 1.4::DOUBLE AS r FROM a),
+b AS (SELECT accession, serial, unnest({_BALL}) AS p FROM a), s AS (SELECT r.accession, r.serial, r.x + r.r * p.x AS x, r.y + r.r * p.y AS y, r.z + r.r * p.z AS z FROM r JOIN b USING (accession, serial)),
+o AS (SELECT accession, serial, count(*) AS n FROM s WHERE NOT EXISTS (SELECT 1 FROM r n WHERE n.accession = s.accession AND n.serial <> s.serial AND (s.x - n.x) * (s.x - n.x) + (s.y - n.y) * (s.y - n.y) + (s.z - n.z) * (s.z - n.z) < n.r * n.r) GROUP BY ALL),
+g AS (SELECT accession, res_no, arg_min(res_name, serial) AS res_name, sum(coalesce(n, 0) * 4 * pi() / {structures.POINTS} * r * r) AS sasa, arg_min(bfactor, serial)::DOUBLE AS plddt FROM r LEFT JOIN o USING (accession, serial) GROUP BY accession, res_no)
+SELECT accession, res_no, round(sasa, 4) AS sasa, CASE WHEN sasa > 0 THEN round(sasa / CASE res_name WHEN 'ALA' THEN 121 WHEN 'GLY' THEN 97 ELSE 200 END, 4) ELSE -1 END AS relative_sasa, plddt FROM g""")
+def accessibility(spark, sf_dir):
+    """Rolling-probe surface of structures whose atoms are the embeddings' first three numbers."""
+    names = F.array(*map(F.lit, ("CA", "N", "O", "SG", "XX")))
+    atoms = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("serial"), F.concat(F.lit("S"), "label").alias("accession"), F.floor(F.col("vec_id") / 5).cast("int").alias("res_no"), F.get(names, (F.col("vec_id") % 5).cast("int")).alias("atom"),
+        F.element_at(F.array(*map(F.lit, ("ALA", "GLY", "SEC"))), (F.floor(F.col("vec_id") / 5) % 3 + 1).cast("int")).alias("res_name"),
+        *[F.round(F.col("embedding")[i].cast("double") * 60, 3).alias(c) for i, c in enumerate("xyz")], (F.col("vec_id") % 100).cast("double").alias("bfactor"),
+    )
+    return structures.accessibility(atoms).select("accession", "res_no", "sasa", "relative_sasa", "plddt")
+
+
 # ---------------------------------------------------------------- text and arrays
 
 

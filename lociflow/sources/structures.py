@@ -42,21 +42,21 @@ def read_atoms(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def neighbours(points: DataFrame, group: str, key: str, radius: float) -> DataFrame:
-    """(group, key, other, distance) of points of a group at most `radius` apart.
+def neighbours(points: DataFrame, group: str, key: str, radius: float, carried: list[str] = []) -> DataFrame:
+    """(group, key, other, distance) of points of a group at most `radius` apart, and `near`: the other point's x, y, z and carried columns, if any are.
 
     Points go to cells as wide as the radius; each looks into the 27 cells around, so the join is an equi-join
     on group and cell.
     """
     cell = [F.floor(F.col(c) / radius) for c in "xyz"]
-    own = points.select(group, key, "x", "y", "z", *[c.alias(f"c{i}") for i, c in enumerate(cell)])
+    own = points.select(group, key, "x", "y", "z", *carried, *[c.alias(f"c{i}") for i, c in enumerate(cell)])
     step = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip((i, j, k), "ijk")]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
     looking = own.withColumn("s", F.explode(step)).select(
-        F.col(group).alias("_g"), F.col(key).alias("other"), *[F.col(c).alias(f"o{c}") for c in "xyz"], *[(F.col(f"c{i}") + F.col(f"s.{n}")).alias(f"d{i}") for i, n in enumerate("ijk")]
+        F.col(group).alias("_g"), F.col(key).alias("other"), *[F.col(c).alias(f"o{c}") for c in "xyz"], *([F.struct("x", "y", "z", *carried).alias("near")] if carried else []), *[(F.col(f"c{i}") + F.col(f"s.{n}")).alias(f"d{i}") for i, n in enumerate("ijk")]
     )
     at = (F.col(group) == F.col("_g")) & (F.col("c0") == F.col("d0")) & (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")) & (F.col(key) != F.col("other"))
     apart = F.sqrt(sum((F.pow(F.col(c) - F.col(f"o{c}"), 2) for c in "xyz"), F.lit(0.0)))
-    return own.join(looking, at).withColumn("distance", apart).filter(F.col("distance") <= radius).select(group, key, "other", "distance")
+    return own.join(looking, at).withColumn("distance", apart).filter(F.col("distance") <= radius).select(group, key, "other", "distance", *(["near"] if carried else []))
 
 
 def sphere(n: int) -> list[tuple[float, float, float]]:
@@ -79,20 +79,18 @@ def accessibility(atoms: DataFrame, probe: float = PROBE, points: int = POINTS)
     reach = F.coalesce(F.try_element_at(table, F.substring("atom", 1, 1)), F.lit(1.8)) + probe
     own = atoms.filter("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").withColumn("r", reach)
     widest = 2 * (max(RADII.values()) + probe)
-    near = neighbours(own, "accession", "serial", widest)
-    others = own.select("accession", F.col("serial").alias("other"), F.struct("x", "y", "z", "r").alias("n"))
-    near = near.join(others, ["accession", "other"])
+    near = neighbours(own, "accession", "serial", widest, ["r"])
     # An atom has some dozens of neighbours, however large the structure.
-    around = near.groupBy("accession", "serial").agg(F.collect_list("n").alias("around"))
-    ball = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(p, "xyz")]) for p in sphere(points)])
-    joined = own.join(around, ["accession", "serial"], "left").withColumn("around", F.coalesce("around", F.array()))
+    around = near.groupBy("accession", "serial").agg(F.collect_list("near").alias("around"))
+    ball = atoms.sparkSession.createDataFrame([(sphere(points),)], "ball array<struct<x: double, y: double, z: double>>").scalar()
+    joined = own.join(around, ["accession", "serial"], "left").withColumns({"around": F.coalesce("around", F.array()), "ball": ball})
+
+    placed = F.transform("ball", lambda p: F.struct(*[(F.col(c) + F.col("r") * p[c]).alias(c) for c in "xyz"]))
 
     def open_point(p: Column) -> Column:
-        at = [F.col(c) + F.col("r") * p[c] for c in "xyz"]
-        covers = lambda n: sum(((a - n[c]) * (a - n[c]) for a, c in zip(at, "xyz")), F.lit(0.0)) < n["r"] * n["r"]
-        return ~F.exists("around", covers)
+        return ~F.exists("around", lambda n: sum(((p[c] - n[c]) * (p[c] - n[c]) for c in "xyz"), F.lit(0.0)) < n["r"] * n["r"])
 
-    area = F.size(F.filter(ball, open_point)) * (4 * math.pi / points) * F.col("r") * F.col("r")
+    area = F.size(F.filter(placed, open_point)) * (4 * math.pi / points) * F.col("r") * F.col("r")
     residues = joined.withColumn("area", area).groupBy("accession", "res_no").agg(
         F.min_by("res_name", "serial").alias("res_name"), F.sum("area").alias("sasa"), F.min_by("bfactor", "serial").alias("plddt")
     )
