@@ -45,8 +45,6 @@ WORDS, NUM, DEN = 5, 3, 4
 HEAVY, HEAVY_LEAST, SEGMENT = 1 << 22, 32, 1 << 22
 #: Blocks up to this size are counted pair by pair.
 SMALL_BLOCK = 64
-#: Pairs of blocks are counted in this many tasks at least. A pair has a row for each task that meets it.
-COUNT_TASKS = 64
 #: A tile holds about so many texts, or shingles, at most; a node so many children.
 TILE, TILE_SHINGLES, FAN = 1024, 500_000, 8
 #: Texts of a large family that each of its tiles meets; a linked group of a quarter of a tile has tiles of its own.
@@ -212,13 +210,14 @@ def _count_pairs(batches):
 def families(first: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) out of (key, rep): groups of classes outside of which no link is possible; lone ones are left out."""
     spark = first.sparkSession
-    parts = max(COUNT_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = first.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("key")
     members = scratch.write("members", first.join(scratch.write("keys", shared), "key", "left_semi").distinct())
     scratch.drop("first", "keys")
     blocks = scratch.write("blocks", members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("a")))
-    small = members.join(blocks.filter(F.col("m") <= SMALL_BLOCK).select("key"), "key").join(classes.select("rep", "n"), "rep")
-    small = small.select("key", F.col("rep").alias("doc"), "n").repartition(parts, "key").sortWithinPartitions("key")
+    small = members.join(blocks.filter(F.col("m") <= SMALL_BLOCK).select("key", "a"), "key").join(classes.select("rep", "n"), "rep")
+    # Blocks are dealt out by their least text: near copies share many first shingles, and most of those blocks meet in one task, so a pair has few rows.
+    small = small.select("a", "key", F.col("rep").alias("doc"), "n").repartition(parts, "a").sortWithinPartitions("a", "key").drop("a")
     counted = small.mapInArrow(_count_pairs, "a bigint, b bigint, na bigint, nb bigint, c bigint")
     counted = counted.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("na").alias("na"), F.min("nb").alias("nb"))
     large = scratch.write("large", members.join(blocks.filter(F.col("m") > SMALL_BLOCK).select("key", "a"), "key").select("a", F.col("rep").alias("b")))
