@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.functions.names import spare
 from lociflow.functions.scalars import clip
-from lociflow.operators.ranks import ranked_by_range
+from lociflow.operators.ranks import dealt_by_range, ranked_by_range
 
 #: Width of the smallest bins, and how many of them make one of the next level.
 BIN, FANOUT = 64, 8
@@ -49,25 +49,69 @@ def anti(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 def interval_annotate(df: DataFrame, intervals: DataFrame, key: str, pos: str, row_id: str, flag: str, name: str) -> DataFrame:
     """flag and name of the first interval (by ord, equal ones by name) that holds the position.
 
-    intervals: (key, lo, hi, ord, name). Bins are hierarchical: an interval goes to the lowest level at which it takes few bins (two to
-    FANOUT + 1 of them, whatever its length), a position is looked up in one bin of each level that has intervals, so the join is an equi-join on key, level and
-    bin. row_id tells rows apart. Intervals without a key or an end, or that end before they begin, hold nothing.
+    intervals: (key, lo, hi, ord, name). They become `first_by_step`, and a position takes the step that it stands on, so it meets one
+    value however many intervals hold it. row_id tells rows apart; rows of the same one share the first of all their intervals.
+    Intervals without a key or an end, or that end before they begin, hold nothing.
     """
-    row, own, place, lo, hi, order, label, level, b, at = spare(df, "_row", "_own", "_place", "_lo", "_hi", "_ord", "_name", "_level", "_bin", "_at")
+    (row,) = spare(df, "_row")
     known = intervals.filter(F.col(key).isNotNull() & (F.col("lo") <= F.col("hi")))
-    known = known.select(F.col(key).alias(own), F.col("lo").cast("bigint").alias(lo), F.col("hi").cast("bigint").alias(hi), F.col("ord").alias(order), F.col("name").alias(label))
-    known = known.withColumn(level, interval_level(F.col(hi) - F.col(lo)))
-    width = bin_width(F.col(level))
-    binned = known.select("*", F.explode(F.sequence(floor_div(F.col(lo), width), floor_div(F.col(hi), width))).alias(b))
-    used = sorted(r[0] for r in known.select(level).distinct().collect())  # LEVELS at most
-    rows = df.select(F.col(row_id).alias(row), F.col(key).alias(key), F.col(pos).cast("bigint").alias(place), F.explode(F.array(*map(F.lit, used)).cast("array<int>")).alias(at))
-    rows = rows.select("*", floor_div(F.col(place), bin_width(F.col(at))).alias("_pos_bin"))
-    meets = (F.col(key) == F.col(own)) & (F.col(at) == F.col(level)) & (F.col("_pos_bin") == F.col(b)) & F.col(place).between(F.col(lo), F.col(hi))
-    hits = rows.join(binned, meets).groupBy(row).agg(F.min(F.struct(order, label)).alias(place))
-    hits = hits.select(row, F.col(f"{place}.{label}").alias(name), F.lit(1).alias(flag))
+    known = known.select(F.col(key).alias("k"), F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"), F.struct(F.col("ord").alias("ord"), F.col("name").alias("name")).alias("v"))
+    places = df.select(F.col(key).alias("k"), F.col(pos).cast("bigint").alias("at"), F.col(row_id).alias("row")).na.drop()
+    hits = on_steps(places, first_by_step(known)).groupBy("row").agg(F.min("v").alias("v"))
+    hits = hits.select(F.col("row").alias(row), F.col("v.name").alias(name), F.lit(1).alias(flag))
     return df.join(hits, F.col(row_id) == F.col(row), "left").drop(row).na.fill({flag: 0})
 
 
+def first_by_step(intervals: DataFrame) -> DataFrame:
+    """(k, at, v) of intervals (k, lo, hi, v): from `at` to the next one of its key, the least v of the intervals there, NULL where there is none.
+
+    An interval is cut into blocks of 1, 4, 16, ... positions, the largest that lie in it, at most six of a size, and a block keeps its least v. A step begins
+    where an interval begins or has ended, and looks into the block of each size around its first position.
+    """
+    least, most = -(1 << 63), (1 << 63) - 1
+    halves = F.explode(F.array(F.struct("lo", F.least("hi", F.lit(-1)).alias("hi")), F.struct(F.greatest("lo", F.lit(0)).alias("lo"), "hi"))).alias("h")  # a length is a bigint on either side of 0
+    sided = intervals.select("k", "v", halves).select("k", "v", "h.*").filter("lo <= hi")
+    sided = sided.withColumn("length", F.col("hi") - F.col("lo"))
+    sided = sided.withColumn("top", sum(((F.col("length") >= F.lit(4 ** (i + 1) - 1)).cast("int") for i in range(31)), F.lit(0)))
+    shifted = lambda way, x, bits: F.call_function(way, x, bits)
+
+    def inside(level: Column) -> tuple[Column, Column]:
+        """First and last block of a size that lie in the interval; its length is no less."""
+        beyond = F.least(shifted("shiftleft", F.lit(1).cast("bigint"), 2 * level) - 1, F.col("length"))
+        return shifted("shiftright", F.col("lo") + beyond, 2 * level), shifted("shiftright", F.col("hi") - beyond, 2 * level)
+
+    upto = lambda x, y: F.when(x <= y, F.sequence(x, y)).otherwise(F.array().cast("array<bigint>"))
+    a, b = inside(F.col("level"))
+    # Blocks of the next size, where there are some, take the middle.
+    larger = F.when(F.col("level") < F.col("top"), F.struct(*[x.alias(n) for x, n in zip(inside(F.col("level") + 1), "ab")]))
+    sized = sided.select("*", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level")).select("k", "v", "level", a.alias("a"), b.alias("b"), larger.alias("up"))
+    rest = F.concat(upto(F.col("a"), F.try_subtract(F.col("up.a") * 4, F.lit(1))), upto(F.try_add(F.col("up.b") * 4, F.lit(4)), F.col("b")))
+    blocks = F.when(F.col("up.a") <= F.col("up.b"), rest).otherwise(upto(F.col("a"), F.col("b")))
+    nodes = sized.select("k", "v", "level", F.explode(blocks).alias("block")).groupBy("k", "level", "block").agg(F.min("v").alias("v"))
+    largest = sided.agg(F.max("top")).first()[0] or 0
+    ends = F.array(F.col("lo"), F.when(F.col("hi") < most, F.col("hi") + 1).otherwise(F.lit(least)))
+    starts = intervals.select("k", F.explode(ends).alias("at")).distinct()
+    looks = starts.select("k", "at", F.explode(F.sequence(F.lit(0), F.lit(largest))).alias("level"))
+    looks = looks.select("k", "at", "level", shifted("shiftright", F.col("at"), 2 * F.col("level")).alias("block"))
+    return looks.join(nodes, ["k", "level", "block"], "left").groupBy("k", "at").agg(F.min("v").alias("v"))
+
+
+def on_steps(places: DataFrame, steps: DataFrame) -> DataFrame:
+    """(row, v) of places (k, at, row): v of the last step (k, at, v) at or before it, where that isn't NULL.
+
+    Both are dealt by ranges of (k, at), with a row's hash to part those at one place; what a part begins with is the last step of the parts before.
+    """
+    nothing = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    both = places.select("k", "at", "row", nothing(steps, "v"), F.lit(1).alias("kind")).unionByName(steps.select("k", "at", nothing(places, "row"), "v", F.lit(0).alias("kind")))
+    dealt = dealt_by_range(both, ["k"], [F.col("at"), F.col("kind"), F.xxhash64("row")], "part").withColumn("step", F.when(F.col("kind") == 0, F.struct("v")))
+    ends = dealt.groupBy("k", "part").agg(F.max_by("step", F.when(F.col("kind") == 0, F.col("at"))).alias("step"))
+    before = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    ends = ends.select("k", "part", F.last("step", True).over(before).alias("begin"))
+    local = Window.partitionBy("k", "part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = dealt.withColumn("step", F.last("step", True).over(local)).filter("kind = 1").join(ends, ["k", "part"])
+    return met.select("row", F.coalesce("step", "begin")["v"].alias("v")).filter("v IS NOT NULL")
+
+
 def bin_width(level: Column) -> Column:
     return F.call_function("shiftleft", F.lit(BIN).cast("bigint"), level * (FANOUT.bit_length() - 1))
 

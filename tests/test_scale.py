@@ -118,6 +118,29 @@ def test_long_intervals_against_brute_force(spark):
         assert bins <= enrich.FANOUT and 0 <= level < enrich.LEVELS
 
 
+def test_first_by_step_against_brute_force(spark):
+    rng, low, high = random.Random(7), -(1 << 63), (1 << 63) - 1
+    spans = [(rng.choice("ab"), (lo := rng.randrange(-300, 300)), lo + rng.randrange(0, 4 ** rng.randrange(1, 5)), (rng.randrange(9), f"n{i}")) for i in range(120)]
+    spans += [("b", low, high, (20, "all")), ("a", high - 5, high, (1, "end")), ("a", low, low, (1, "begin")), ("c", -1, 0, (1, "zero"))]
+    steps = enrich.first_by_step(spark.createDataFrame(spans, "k string, lo bigint, hi bigint, v struct<ord: int, name: string>")).collect()
+    assert len(steps) == len({(r.k, r["at"]) for r in steps}) <= 2 * len(spans)
+    for r in steps:
+        own = [v for k, lo, hi, v in spans if k == r.k and lo <= r["at"] <= hi]
+        assert (tuple(r.v) if r.v else None) == (min(own) if own else None)
+
+
+def test_many_intervals_around_many_places(spark):
+    """A place meets one step however many intervals hold it, and places on one spot go to several parts."""
+    df = spark.range(20_000).selectExpr("id", "'g' AS k", "CASE WHEN id % 2 = 0 THEN 5000 ELSE id END AS p")
+    spans = spark.range(5_000).selectExpr("'g' AS k", "-id AS lo", "20000 + id AS hi", "5000 - id AS ord", "concat('n', id) AS name")
+    spans = spans.unionByName(spark.createDataFrame([("g", -(1 << 63), (1 << 63) - 1, 9999, "all")], spans.schema))
+    known = spans.select("k", "lo", "hi", F.struct("ord", "name").alias("v"))
+    met = enrich.on_steps(df.selectExpr("k", "p AS at", "id AS row"), enrich.first_by_step(known))
+    assert met.count() == 20_000
+    out = enrich.interval_annotate(df, spans, "k", "p", "id", "inside", "name")
+    assert [tuple(r) for r in out.groupBy("inside", "name").count().collect()] == [(1, "n4999", 20_000)]
+
+
 def greedy(costs, most_items, most_cost):
     out, batch, items, total = [], -1, 0, 0
     for c in costs:
