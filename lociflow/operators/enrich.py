@@ -168,9 +168,10 @@ def key_filter(keys: DataFrame, column: str, bits: int = 1 << 23, hashes: int =
     (1 - exp(-hashes * n / bits)) ** hashes of all cases: some 0.5 % for a twelfth as many keys as bits.
     """
     places = F.explode(F.array(*_places(F.col(column).cast("string"), bits, hashes))).alias("p")
-    words = keys.filter(F.col(column).isNotNull()).select(places).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("p", F.lit(64)).cast("int"))).alias("bits"))
-    table = words.agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"))
-    return table.select(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(bits // 64 - 1).cast("bigint")), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("bigint"))).alias("words"))
+    set_bits = keys.filter(F.col(column).isNotNull()).select(places).select(F.shiftright("p", 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("p", F.lit(64)).cast("int")).alias("bits"))
+    every = keys.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("bits"))
+    words = set_bits.unionByName(every).groupBy("w").agg(F.bit_or("bits").alias("bits"))
+    return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "bits"))), lambda x: x["bits"]).alias("words"))
 
 
 def _places(value: Column, bits: int, hashes: int) -> list[Column]:
@@ -182,26 +183,19 @@ def _places(value: Column, bits: int, hashes: int) -> list[Column]:
 def packed_matches(df: DataFrame, column: str, keys: DataFrame, key: str, sep: str = ";", bits: int = 1 << 23, hashes: int = 4) -> DataFrame:
     """df with the elements of a packed text column that `keys` has, a row each under the column's name: what explode and a left semi join give.
 
-    Rows without an element that passes a Bloom filter of the keys are not exploded, of the others only elements that pass; the exact semi join
+    Each element is looked up in a Bloom filter of the keys as it is exploded, in the same task, and only those that pass are joined; the exact semi join
     follows. The filter is of a fixed size, so keys may be any number; keys and elements are compared as trimmed text, null ones match nothing.
     """
     if bits % 64:
         raise ValueError("bits come in words of 64")
-    (words,) = spare(df, "_words")
-    filtered = key_filter(keys.select(F.trim(F.col(key).cast("string")).alias("k")), "k", bits, hashes)
-    marked = df.withColumn(words, filtered.scalar())
-
-    def passes(x: Column) -> Column:
-        found = F.lit(True)
-        for p in _places(x, bits, hashes):
-            word = F.get(words, F.shiftright(p, 6).cast("int"))
-            found = found & (F.getbit(word, F.pmod(p, F.lit(64)).cast("int")) == 1)
-        return found
-
-    likely = F.filter(F.transform(F.split(column, sep), lambda x: F.trim(x)), passes)
-    some = marked.withColumn(column, likely).drop(words).filter(F.size(column) > 0)
-    exploded = some.select(*[F.explode(c).alias(c) if c == column else F.col(c) for c in df.columns])
-    return exploded.join(keys.select(F.trim(F.col(key).cast("string")).alias(words)), F.col(column) == F.col(words), "left_semi")
+    known = keys.select(F.trim(F.col(key).cast("string")).alias("k"))
+    # Not a column: rows would carry the whole filter with them.
+    words = key_filter(known, "k", bits, hashes).scalar()
+    exploded = df.select(*[F.explode(F.split(c, sep)).alias(c) if c == column else F.col(c) for c in df.columns]).withColumn(column, F.trim(column))
+    for p in _places(F.col(column), bits, hashes):
+        exploded = exploded.filter(F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1)
+    (other,) = spare(df, "_key")
+    return exploded.join(known.withColumnRenamed("k", other), F.col(column) == F.col(other), "left_semi")
 
 
 def prefilter_packed(df: DataFrame, column: str, keys: list[str], sep: str = ";") -> DataFrame:

@@ -183,6 +183,19 @@ def test_packed_matches(spark):
     assert enrich.packed_matches(df, "packed", keys.limit(0), "key").isEmpty()
 
 
+def test_no_row_carries_the_key_filter(spark):
+    """The filter stays a value of the plan: as a column every row would be copied with all its words."""
+    df = spark.createDataFrame([(1, "a;b"), (2, "c")], "id int, packed string")
+    out = enrich.packed_matches(df, "packed", df.selectExpr("'b' AS key"), "key")
+    nodes, types = [out._jdf.queryExecution().optimizedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        types += [node.output().apply(i).dataType().sql() for i in range(node.output().size())]
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert "STRING" in types and "ARRAY<BIGINT>" not in types
+    assert [tuple(r) for r in out.collect()] == [(1, "b")]
+
+
 def test_keep_best_keeps_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, 2.0, "a"), (1, 3.0, "b")], "k int, _place double, _priority string")
     assert [tuple(r) for r in dedup.keep_best(df, ["k"], [F.col("_place").desc()]).collect()] == [(1, 3.0, "b")]
