@@ -13,6 +13,8 @@ _NAME = r"AF-([^-/]+)-(F\d+)-model_v(\d+)\.(pdb|cif)(?:\.gz)?$"
 #: Van der Waals radii in angstrom by element, others 1.8; probe radius.
 RADII = {"C": 1.7, "N": 1.55, "O": 1.52, "S": 1.8, "H": 1.2, "P": 1.8}
 PROBE, POINTS = 1.4, 100
+#: Atoms that a block has on average, at most.
+BLOCK = 256
 
 
 def structure_catalog(paths: DataFrame, column: str = "path") -> DataFrame:
@@ -73,24 +75,21 @@ def sphere(n: int) -> list[tuple[float, float, float]]:
 def accessibility(atoms: DataFrame, probe: float = PROBE, points: int = POINTS) -> DataFrame:
     """(accession, res_no, res_name, sasa, relative_sasa, plddt): rolling-probe surface (Shrake and Rupley 1973).
 
-    An atom's share is 4 pi R^2 / n for each point of its sphere that no neighbour's sphere covers.
+    An atom's share is 4 pi R^2 / n for each point of its sphere that no neighbour's sphere covers. Which points are covered is a row of bits by
+    atom, combined by OR where blocks of atoms meet, so what is shuffled grows with the atoms and not with the pairs of neighbours.
     """
     table = F.create_map(*[F.lit(v) for pair in RADII.items() for v in pair])
     reach = F.coalesce(F.try_element_at(table, F.substring("atom", 1, 1)), F.lit(1.8)) + probe
     own = atoms.filter("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").withColumn("r", reach)
-    widest = 2 * (max(RADII.values()) + probe)
-    near = neighbours(own, "accession", "serial", widest, ["r"])
-    # An atom has some dozens of neighbours, however large the structure.
-    around = near.groupBy("accession", "serial").agg(F.collect_list("near").alias("around"))
-    ball = atoms.sparkSession.createDataFrame([(sphere(points),)], "ball array<struct<x: double, y: double, z: double>>").scalar()
-    joined = own.join(around, ["accession", "serial"], "left").withColumns({"around": F.coalesce("around", F.array()), "ball": ball})
-
-    placed = F.transform("ball", lambda p: F.struct(*[(F.col(c) + F.col("r") * p[c]).alias(c) for c in "xyz"]))
-
-    def open_point(p: Column) -> Column:
-        return ~F.exists("around", lambda n: sum(((p[c] - n[c]) * (p[c] - n[c]) for c in "xyz"), F.lit(0.0)) < n["r"] * n["r"])
-
-    area = F.size(F.filter(placed, open_point)) * (4 * math.pi / points) * F.col("r") * F.col("r")
+    widest, key = 2 * (max(RADII.values()) + probe), ["accession", "serial", "x", "y", "z", "r"]
+    met = meeting_blocks(own.filter("accession IS NOT NULL AND serial IS NOT NULL"), widest)
+    words = [f"w{i}" for i in range(-(-points // 64))]
+    kind = own.schema["serial"].dataType.simpleString()
+    bits = met.mapInArrow(_covered(sphere(points)), f"accession string, serial {kind}, x double, y double, z double, r double, " + ", ".join(f"{w} bigint" for w in words))
+    covered = bits.groupBy(*key).agg(*[F.bit_or(w).alias(w) for w in words])
+    joined = own.join(covered, key, "left")
+    n_open = F.lit(points) - sum((F.coalesce(F.bit_count(w), F.lit(0)) for w in words), F.lit(0))
+    area = n_open * (4 * math.pi / points) * F.col("r") * F.col("r")
     residues = joined.withColumn("area", area).groupBy("accession", "res_no").agg(
         F.min_by("res_name", "serial").alias("res_name"), F.sum("area").alias("sasa"), F.min_by("bfactor", "serial").alias("plddt")
     )
@@ -98,6 +97,77 @@ def accessibility(atoms: DataFrame, probe: float = PROBE, points: int = POINTS)
     return residues.select("accession", "res_no", "res_name", F.round("sasa", 4).alias("sasa"), relative.alias("relative_sasa"), "plddt")
 
 
+def meeting_blocks(own: DataFrame, radius: float) -> DataFrame:
+    """(accession, mine, others): blocks of some BLOCK atoms of a cell as wide as `radius`, each with every block of the 27 cells around it.
+
+    A block is a list of (serial, x, y, z, r). A cell has as many blocks as its atoms need, and atoms go to them by hash.
+    """
+    cell = ["c0", "c1", "c2"]
+    placed = own.select("accession", "serial", "x", "y", "z", "r", *[F.floor(F.col(c) / radius).alias(n) for c, n in zip("xyz", cell)])
+    counts = placed.groupBy("accession", *cell).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = placed.join(counts, ["accession", *cell]).withColumn("block", F.pmod(F.xxhash64("serial", "x", "y", "z"), F.col("blocks")))
+    blocks = dealt.groupBy("accession", *cell, "block").agg(F.collect_list(F.struct("serial", "x", "y", "z", "r")).alias("mine"))
+    steps = F.array(*[F.lit(v) for v in (-1, 0, 1)])
+    looking = blocks.select("accession", *cell, F.col("mine").alias("others"))
+    for n in cell:
+        looking = looking.withColumn("s", F.explode(steps)).withColumn(n, F.col(n) + F.col("s")).drop("s")
+    # Blocks around are 27 times the atoms, whatever Spark estimates, so never broadcast.
+    return blocks.join(looking.hint("merge"), ["accession", *cell]).select("accession", "mine", "others")
+
+
+def _covered(ball: list[tuple[float, float, float]]):
+    """Rows of `meeting_blocks` to (accession, serial, x, y, z, r, words): the points of mine that a sphere of another atom covers, as bits.
+
+    A point u of a unit sphere is covered if 2 r d.u < s^2 - r^2 - d.d, where d is the way from the other centre, of radius s; where both
+    sides are nearly equal the distance itself is compared, in the order of terms that the query's SQL has.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    unit = np.array(ball)
+    n_words = -(-len(ball) // 64)
+
+    def bits(mine: np.ndarray, others: np.ndarray, same: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(mine), n_words), np.int64)
+        apart = sum((mine[:, None, c] - others[None, :, c]) ** 2 for c in range(3))
+        i, j = np.nonzero((apart < (mine[:, None, 3] + others[None, :, 3]) ** 2 * 1.000001) & ~same)
+        for at in range(0, len(i), 4096):
+            a, b = mine[i[at : at + 4096]], others[j[at : at + 4096]]
+            d, r, s = a[:, :3] - b[:, :3], a[:, 3], b[:, 3]
+            slack = (s * s - r * r - (d * d).sum(1))[:, None] - (2 * r[:, None] * d) @ unit.T
+            hit = slack > 0
+            p, q = np.nonzero(np.abs(slack) < 1e-6)
+            if len(p):
+                t = [(a[p, c] + r[p] * unit[q, c]) - b[p, c] for c in range(3)]
+                hit[p, q] = t[0] * t[0] + t[1] * t[1] + t[2] * t[2] < s[p] * s[p]
+            packed = np.zeros((len(a), 8 * n_words), np.uint8)
+            packed[:, : -(-len(ball) // 8)] = np.packbits(hit, axis=1, bitorder="little")
+            first = np.flatnonzero(np.diff(i[at : at + 4096], prepend=-1))
+            out[i[at + first]] |= np.bitwise_or.reduceat(packed.view("<i8"), first, axis=0)
+        return out
+
+    def table(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat = column.flatten()
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(column.value_lengths().to_numpy())])
+        return np.stack([flat.field(c).to_numpy() for c in ("x", "y", "z", "r")], axis=1), flat.field("serial").to_numpy(), ends
+
+    def run(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, 64):
+                batch = whole.slice(k, 64)
+                (mine, own, at), (others, ids, to) = table(batch.column("mine")), table(batch.column("others"))
+                words = [bits(mine[a:b], others[c:d], own[a:b, None] == ids[None, c:d]) for a, b, c, d in zip(at, at[1:], to, to[1:])]
+                found = np.concatenate(words) if words else np.zeros((0, n_words), np.int64)
+                some = np.flatnonzero(found.any(axis=1))
+                row = np.repeat(np.arange(batch.num_rows), np.diff(at))[some]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("accession").take(pa.array(row)), pa.array(own[some]), *[pa.array(mine[some, c]) for c in range(4)], *[pa.array(found[some, w]) for w in range(n_words)]],
+                    ["accession", "serial", "x", "y", "z", "r", *[f"w{w}" for w in range(n_words)]],
+                )
+
+    return run
+
+
 def join_residues(df: DataFrame, residues: DataFrame, keys: list[str]) -> DataFrame:
     """Structure features at (accession, res_no); -1 where there are none."""
     return df.join(residues.select(*keys, "sasa", "relative_sasa", "plddt"), keys, "left").na.fill(-1.0, subset=["sasa", "relative_sasa", "plddt"])
