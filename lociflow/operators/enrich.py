@@ -93,7 +93,8 @@ def first_by_step(intervals: DataFrame) -> DataFrame:
     starts = intervals.select("k", F.explode(ends).alias("at")).distinct()
     looks = starts.select("k", "at", F.explode(F.sequence(F.lit(0), F.lit(largest))).alias("level"))
     looks = looks.select("k", "at", "level", shifted("shiftright", F.col("at"), 2 * F.col("level")).alias("block"))
-    return looks.join(nodes, ["k", "level", "block"], "left").groupBy("k", "at").agg(F.min("v").alias("v"))
+    # Blocks are many times what Spark estimates from the intervals, so never broadcast.
+    return looks.join(nodes.hint("merge"), ["k", "level", "block"], "left").groupBy("k", "at").agg(F.min("v").alias("v"))
 
 
 def on_steps(places: DataFrame, steps: DataFrame) -> DataFrame:
