@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lociflow.operators import enrich, metrics, sampling, tuning
 from lociflow.operators.clean import align_features, check_classes
 from lociflow.operators.scale import fit_impute, fit_scale, impute, scale
+from lociflow.sources.shared import written
 
 #: Defaults of the boosted trees.
 TREES = {"maxIter": 100, "stepSize": 0.02, "maxDepth": 5, "minInstancesPerNode": 60, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
@@ -51,10 +52,10 @@ class Scorer:
 
 
 def oof_predict(df: DataFrame, key: str, group: str, label: str, features: list[str], k: int = 5, **params) -> DataFrame:
-    """(key, y, p, fold): each row scored once, by the model that did not see its group."""
+    """(key, y, p, fold): each row scored once, by the model that did not see its group. A fold's parts are written, as dozens of jobs read them."""
     out = None
     for fold in range(k):
-        parts = sampling.nested_split(df, group, label, fold, k)
+        parts = written(sampling.nested_split(df, group, label, fold, k), "parts")
         model = Scorer(features, label, **params).fit(parts.filter("part = 'train'"), parts.filter("part = 'validation'"))
         scored = model.predict(parts.filter("part = 'test'"), key).withColumn("fold", F.lit(fold))
         out = scored if out is None else out.unionByName(scored)

@@ -34,7 +34,8 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
     before = Window.partitionBy(*keys).orderBy(F.col(b).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     table = totals.select(*[F.col(k).alias(o) for k, o in zip(keys, others)], F.col(b).alias(at), *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(s) for s in starts])
     local = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = marked.join(table, equal_keys([b, *keys], [at, *others]))
+    # Every bucket has its start; as a left join it never sends the rows to the driver for a broadcast.
+    joined = marked.join(table, equal_keys([b, *keys], [at, *others]), "left")
     return joined.select(*df.columns, *[(F.col(s) + F.sum(v).over(local)).alias(n) for s, (n, v) in zip(starts, sums.items())])
 
 
@@ -86,7 +87,8 @@ def quantiles(df: DataFrame, keys: list[str], columns: list[str], shares: list[f
     def rows_in(some: DataFrame) -> DataFrame:
         """The values in the ranges `some`, of which there are at most two a share for each key and column."""
         held = some.groupBy(*k, "column").agg(F.collect_list(F.struct("lo", "hi", "before", "places")).alias("held")).withColumnsRenamed(dict(zip([*k, "column"], names)))
-        met = every.filter("v IS NOT NULL").join(held, equal_keys([*k, "column"], names))
+        # A left join: an inner one may broadcast the values, by way of the driver.
+        met = every.filter("v IS NOT NULL").join(held, equal_keys([*k, "column"], names), "left")
         return met.select(*k, "column", "v", F.get(F.filter("held", lambda r: F.col("v").between(r["lo"], r["hi"])), F.lit(0)).alias("r")).filter("r IS NOT NULL")
 
     while not (wide := ranges.filter((F.col("n") > SMALL) & (F.col("lo") < F.col("hi")))).isEmpty():

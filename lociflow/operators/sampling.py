@@ -55,7 +55,8 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int
 def nested_split(df: DataFrame, group: str, label: str, test_fold: int, k: int = 5, inner_order: Column | None = None) -> DataFrame:
     """df with `part`: test, validation (first fold of the rest, dealt anew) or train."""
     folds = group_folds(df, group, label, k).select(F.col(group).alias("_g"), "fold")
-    marked = df.join(folds, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    # Every group has its fold; as a left join it never sends the rows to the driver for a broadcast.
+    marked = df.join(folds, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
     inner = group_folds(marked.filter(F.col("fold") != test_fold), group, label, k, F.xxhash64(F.lit(test_fold), F.col(group)) if inner_order is None else inner_order)
     inner = inner.select(F.col(group).alias("_g"), F.col("fold").alias("_inner"))
     marked = marked.join(inner, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")

@@ -103,3 +103,26 @@ def test_adaptive_search_on_a_model(spark):
     df = spark.range(120).select("id", (F.col("id") % 12).alias("g"), F.sin("id").alias("x"), (F.sin("id") > 0.2).cast("int").alias("y"))
     history = models.adaptive_search(df, {"maxDepth": [1, 2]}, 2, "id", "g", "y", ["x"], k=2, parallel=2, maxIter=2, minInstancesPerNode=2).collect()
     assert [r.trial for r in history] == [0, 1] and all(r.objective > 0.5 for r in history)
+
+
+def test_folds_read_written_parts(spark, monkeypatch):
+    """The split's joins run once a fold, not in each of the jobs that fit and score it."""
+    plans = []
+
+    class Recorder:
+        def __init__(self, features, label, **params):
+            pass
+
+        def fit(self, train, validation):
+            plans.extend(x._jdf.queryExecution().optimizedPlan().toString() for x in (train, validation))
+            return self
+
+        def predict(self, df, key):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return df.select(key, "y", F.lit(0.5).alias("p"))
+
+    monkeypatch.setattr(models, "Scorer", Recorder)
+    df = spark.range(60).selectExpr("id", "concat('g', id % 12) AS g", "cast(id % 3 = 0 AS int) AS y")
+    out = models.oof_predict(df, "id", "g", "y", [], 3)
+    assert len(plans) == 9 and not any("Join" in p for p in plans)
+    assert sorted(r.id for r in out.collect()) == [*range(60)]
