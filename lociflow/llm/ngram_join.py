@@ -5,9 +5,11 @@ Two texts link when their sets of 5-word shingles have a Jaccard index of at lea
 1. Equal word sequences collapse to one class (128-bit digest); all further work is on classes, by the 64-bit hash of
    their words. No row number or doc_id stands for a text, so ids may repeat.
 2. A set that links to x shares one of the first |x| - ceil(3|x|/4) + 1 shingles of x, in any order that is the
-   same for all sets. The order puts very frequent shingles last and is by hash otherwise, so passages that
+   same for all sets. The order puts frequent shingles last and is by hash otherwise, so passages that
    many texts share seldom bring them together. Frequent ones are found over all texts: each task lists what
-   fills a HEAVY-th part of it or more, the lists are summed, and at most HEAVY shingles pass.
+   it has more than once, the lists are summed, and at most HEAVY shingles pass. What is found later to be among the
+   first ones of more than SMALL_BLOCK texts is put last as well, and those texts choose anew: else such blocks,
+   more of them the more texts there are, would tie all texts to one family.
 3. Shingles that two classes or more have among their first make blocks; they are found by partial aggregates, so a
    shingle that a third of all texts share fills no task. Two sets that link share even more of them than one: with
    c common first shingles, at most c + ceil(3n/4) - 1 shingles of the larger set n are common at all. Pairs of
@@ -18,7 +20,8 @@ Two texts link when their sets of 5-word shingles have a Jaccard index of at lea
    dropped when its sizes can't match, or when the bits in common can't reach the least overlap that its sizes
    ask for. A family of many texts is dealt out as tiles, each searched together with up to LEADERS texts that all
    tiles of the family share: near copies come together through those, and the work grows with the number of tiles.
-   Only tiles of texts that are still apart are then searched pair by pair.
+   Only tiles of texts that are still apart are then searched pair by pair, a batch of pairs after another, so that
+   the disk grows with the texts and not with the pairs of tiles.
 5. Of the pairs that the tree lets through a spanning forest is checked on the whole texts, and every pair
    whose bitmaps leave it open. Should a pair of the forest fail, all pairs of its family are checked.
 
@@ -30,26 +33,31 @@ table gives an empty result; other columns are carried by `keep_one_of_each`, no
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lociflow.llm.common import Scratch, hashed, list_array, row_hash, shingles, signed, slices, spare, texts
+from lociflow.llm.common import Scratch, hashed, key_filter, list_array, passes, row_hash, shingles, signed, slices, spare, texts
 from lociflow.llm.components import components
 
 WORDS, NUM, DEN = 5, 3, 4
 #: Most frequent shingles told apart: 32 MB of hashes go to each task.
-HEAVY, HEAVY_LEAST, SEGMENT = 1 << 22, 32, 1 << 22
-#: Blocks up to this size are counted pair by pair.
-SMALL_BLOCK = 64
+HEAVY, SEGMENT = 1 << 22, 1 << 22
+#: Keys are searched for shared ones in so many parts, one after another, to hold the shuffle of one part at a time.
+KEY_PARTS = 4
+#: Blocks up to this size are counted pair by pair; texts of larger ones choose other first shingles, so often at most.
+SMALL_BLOCK, ROUNDS = 64, 4
 #: A tile holds about so many texts, or shingles, at most; a node so many children.
 TILE, TILE_SHINGLES, FAN = 1024, 500_000, 8
 #: Texts of a large family that each of its tiles meets; a linked group of a quarter of a tile has tiles of its own.
 LEADERS, PURE = 64, 4
-#: Ids of documents in question are broadcast up to this many (16 MB), joined beyond.
+#: Ids of documents in question are broadcast up to this many (16 MB), beyond it as a filter of a fixed size.
 ID_BROADCAST = 1_000_000
 
 FEATURES = "doc_id bigint, digest binary, rep bigint, n bigint, heavy array<bigint>, heavy_n array<bigint>"
@@ -72,7 +80,7 @@ def least_overlap(a, b):
 
 
 class HeavyCounts:
-    """What fills a HEAVY-th part of each SEGMENT of shingles, and how often it was there."""
+    """What is in each SEGMENT of shingles twice or more, and how often it was there."""
 
     def __init__(self):
         self.parts, self.size = [], 0
@@ -86,7 +94,7 @@ class HeavyCounts:
         if not self.size:
             return None
         every, n = np.unique(np.concatenate(self.parts), return_counts=True)
-        keep = n >= max(2, self.size // HEAVY)
+        keep = n >= 2
         self.parts, self.size = [], 0
         return signed(every[keep]), n[keep].astype(np.int64)
 
@@ -121,17 +129,29 @@ def _features(batches):
 FEATURE_NAMES = [x.split()[0] for x in FEATURES.split(", ")]
 
 
-def heavy_shingles(features: DataFrame) -> np.ndarray:
-    """Hashes of frequent shingles, sorted; at most HEAVY, as each fills a HEAVY-th part of all or more."""
-    total = features.agg(F.sum("n")).first()[0] or 0
-    each = features.filter("n IS NULL").select(F.explode(F.arrays_zip("heavy", "heavy_n")).alias("x")).select("x.heavy", "x.heavy_n")
-    found = each.groupBy("heavy").agg(F.sum("heavy_n").alias("c")).filter(F.col("c") >= max(HEAVY_LEAST, -(-total // HEAVY)))
-    return np.sort(found.select("heavy").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+def heavy_shingles(features: DataFrame, scratch: Scratch) -> np.ndarray:
+    """Hashes of frequent shingles, sorted: those that SMALL_BLOCK texts have are likely among them, however many texts there are; at most HEAVY,
+    the most frequent ones.
+
+    Each segment lists what it has twice or more, so of a shingle that c texts have, some c * (1 - exp(-c / segments)) are listed. Which shingles
+    are found is no matter of right results.
+    """
+    lists = features.filter("n IS NULL")
+    segments = max(1, lists.count())
+    least = max(2, round(SMALL_BLOCK / 2 * -np.expm1(-SMALL_BLOCK / segments)))
+    each = lists.select(F.explode(F.arrays_zip("heavy", "heavy_n")).alias("x")).select("x.heavy", "x.heavy_n")
+    found = scratch.write("heavy", each.groupBy("heavy").agg(F.sum("heavy_n").alias("c")).filter(F.col("c") >= least))
+    counts = sorted(found.groupBy(F.least("c", F.lit(1 << 16)).alias("c")).count().collect(), reverse=True)  # 65,536 rows at most
+    passed = np.cumsum([n for _, n in counts])
+    if len(counts) and passed[-1] > HEAVY:
+        found = found.filter(F.col("c") >= counts[max(0, int(np.searchsorted(passed, HEAVY, "right")) - 1)][0]).limit(HEAVY)
+    return np.sort(found.select("heavy").toArrow().column("heavy").to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _first_shingles(heavy):
     def run(batches):
-        rare_bits, known, seen = 22, heavy.value, set()
+        known, seen = heavy.value, set()
+        rare_bits = max(22, len(known).bit_length() + 3)
         may = np.zeros(1 << rare_bits, bool)
         may[(known & np.uint64((1 << rare_bits) - 1)).astype(np.int64)] = True
         for batch in slices(batches):
@@ -207,14 +227,69 @@ def _count_pairs(batches):
         yield take()
 
 
-def families(first: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, component) out of (key, rep): groups of classes outside of which no link is possible; lone ones are left out."""
-    spark = first.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = first.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("key")
-    members = scratch.write("members", first.join(scratch.write("keys", shared), "key", "left_semi").distinct())
-    scratch.drop("first", "keys")
-    blocks = scratch.write("blocks", members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("a")))
+def _passing(held, column: str):
+    """Rows whose key may be in the filter; none of a null key."""
+
+    def run(batches):
+        for batch in batches:
+            key = batch.column(column)
+            yield batch.filter(pc.and_(pa.array(passes(held.value, pc.fill_null(key, 0).to_numpy())), key.is_valid()))
+
+    return run
+
+
+def shared_keys(first: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key) of the first shingles that two classes or more share. All keys are shuffled for it, but only a part of them at a time."""
+    parts = [first.filter(F.pmod("key", F.lit(KEY_PARTS)) == i).groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")) for i in range(KEY_PARTS)]
+    return functools.reduce(DataFrame.unionByName, [scratch.write(f"keys-{i}", part.filter("lo < hi").select("key")) for i, part in enumerate(parts)])
+
+
+def _blocks(members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    return scratch.write(name, members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("a")))
+
+
+def blocks_of(docs: DataFrame, classes: DataFrame, heavy: np.ndarray, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(key, rep) of the first shingles that two classes or more share, and (key, m, a): how many do, and the least of them.
+
+    A key of more than SMALL_BLOCK classes that is not among the heavy shingles joins them, and the classes that have it choose their first shingles
+    anew; the others' stay as they are, as what comes late now was not among theirs. Blocks that are large after that hold texts of heavy shingles.
+    """
+    sc = docs.sparkSession.sparkContext
+    first = scratch.write("first", docs.mapInArrow(_first_shingles(sc.broadcast(heavy)), "key bigint, rep bigint"))
+    keys = shared_keys(first, scratch)
+    # Most keys stand in one text alone, and don't have to be shuffled to be left out.
+    held = key_filter(keys, scratch, "keys-filter")
+    members = scratch.write("members", first.mapInArrow(_passing(held, "key"), first.schema).join(keys, "key", "left_semi").distinct())
+    held.destroy()
+    scratch.drop(*(f"keys-{i}" for i in range(KEY_PARTS)))
+    blocks, chosen = _blocks(members, scratch, "blocks"), [(first, [])]
+    for round_ in range(ROUNDS):
+        large = blocks.filter(F.col("m") > SMALL_BLOCK).select("key")
+        most = np.sort(large.limit(HEAVY).toArrow().column("key").to_numpy().astype(np.int64).view(np.uint64))
+        more = np.setdiff1d(most, heavy)[: max(0, HEAVY - len(heavy))]
+        if not len(more):
+            break
+        heavy = np.union1d(heavy, more)
+        touched = scratch.write(f"touched-{round_}", members.join(large, "key", "left_semi").select("rep").distinct())
+        anew = in_question(docs, touched, classes, scratch, f"touched-{round_}-ids").mapInArrow(_first_shingles(sc.broadcast(heavy)), first.schema)
+        anew = scratch.write(f"first-{round_}", anew.join(touched, "rep", "left_semi").select("key", "rep").distinct())
+        held = key_filter(anew.select("key").distinct(), scratch, f"anew-{round_}")
+        pool = [members]
+        for choice, since in chosen:  # of each class the latest choice counts
+            pool.append(functools.reduce(lambda x, t: x.join(t, "rep", "left_anti"), since, choice.mapInArrow(_passing(held, "key"), first.schema)))
+            since.append(touched)
+        pool = functools.reduce(DataFrame.unionByName, pool).join(touched, "rep", "left_anti").unionByName(anew).distinct()
+        chosen.append((anew, []))
+        pool = scratch.write(f"pool-{round_}", pool)
+        shared = pool.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("key")
+        members = scratch.write(f"members-{round_}", pool.join(shared, "key", "left_semi"))
+        blocks = _blocks(members, scratch, f"blocks-{round_}")
+    return members, blocks
+
+
+def families(members: DataFrame, blocks: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, component) out of blocks_of: groups of classes outside of which no link is possible; lone ones are left out."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = members.join(blocks.filter(F.col("m") <= SMALL_BLOCK).select("key", "a"), "key").join(classes.select("rep", "n"), "rep")
     # Blocks are dealt out by their least text: near copies share many first shingles, and most of those blocks meet in one task, so a pair has few rows.
     small = small.select("a", "key", F.col("rep").alias("doc"), "n").repartition(parts, "a").sortWithinPartitions("a", "key").drop("a")
@@ -228,8 +303,9 @@ def families(first: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFram
     both = F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
     wanted = F.ceil(F.lit(NUM) * (F.col("na") + F.col("nb")) / (NUM + DEN))
     most = F.col("c") + both + F.ceil(F.lit(NUM) * F.greatest("na", "nb") / DEN) - 1
-    edges = counted.filter(most >= wanted).select("a", "b")
-    return components(edges.unionByName(large.filter("a <> b").distinct()), scratch, "families")
+    edges = scratch.write("edges", counted.filter(most >= wanted).select("a", "b").unionByName(large.filter("a <> b").distinct()))
+    scratch.drop("large", "large-counts")
+    return components(edges, scratch, "families")
 
 
 # ---------------------------------------------------------------- step 4: signature trees
@@ -408,17 +484,28 @@ def _search(whole: bool):
 
 
 def in_question(docs: DataFrame, reps: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Rows of (doc_id, text) under the ids of the classes in reps (rep); other texts of those ids come along."""
+    """Rows of (doc_id, text) under the ids of the classes in reps (rep); other texts of those ids come along, and few of others. No text is shuffled."""
     ids = scratch.write(name, classes.join(reps, "rep", "left_semi").select(F.col("doc").alias("doc_id")).distinct())
-    return docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= ID_BROADCAST else ids, "doc_id", "left_semi")
+    docs = docs.select("doc_id", "text")
+    if ids.count() <= ID_BROADCAST:
+        return docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    return docs.mapInArrow(_passing(key_filter(ids, scratch, f"{name}-filter"), "doc_id"), docs.schema)
 
 
-def _searched(dealt: DataFrame, whole: bool, table: str, scratch: Scratch) -> DataFrame:
+def _searched(dealt: DataFrame, whole: bool, table: str, scratch: Scratch, mode: str = "overwrite") -> DataFrame:
     """(a, b, sure) out of rows (family, tile_a, tile_b, tile, doc, n, tokens)."""
     key = ["family", "tile_a", "tile_b"]
     dealt = dealt.repartition(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key)
     found = dealt.mapInArrow(_search(whole), "a bigint, b bigint, sure boolean")
-    return scratch.write(table, found.groupBy("a", "b").agg(F.max("sure").alias("sure")))
+    return scratch.write(table, found.groupBy("a", "b").agg(F.max("sure").alias("sure")), mode)
+
+
+def _in_batches(dealt: DataFrame, batches: int, whole: bool, table: str, scratch: Scratch) -> DataFrame:
+    """_searched, so many batches one after another: the pairs of tiles may be many, the disk for a batch of them is not."""
+    batch = F.pmod(F.xxhash64("family", "tile_a", "tile_b"), F.lit(batches))
+    for i in range(batches):
+        found = _searched(dealt.filter(batch == i), whole, table, scratch, "append")
+    return found
 
 
 def tokens_of(docs: DataFrame, classes: DataFrame, family: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -480,14 +567,15 @@ def search_apart(each: DataFrame, links: DataFrame, scratch: Scratch) -> DataFra
         side = placed.join(pairs.withColumnRenamed("family", "_family"), (F.col("family") == F.col("_family")) & F.col("part").eqNullSafe(F.col("_part")) & (F.col("chunk") == F.col("_chunk")))
         side = side.select("family", "tile_a", "tile_b", F.lit(tile).alias("tile"), "doc", "n", "tokens")
         dealt = side if dealt is None else dealt.unionByName(side)
-    return _searched(dealt, False, "apart-pairs", scratch)
+    # A text goes to as many pairs of tiles as there are tiles: one batch of them after another, each of about as many rows as there are texts.
+    return _in_batches(dealt, max(1, -(-2 * TILE * both.count() // max(1, many.count()))), False, "apart-pairs", scratch)
 
 
 def search_whole(each: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b, not sure) of all pairs that may link: every tile with every other."""
     tiled = each.withColumn("tile", _place("doc", F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.withColumn("tile_a", F.least("tile", "other")).withColumn("tile_b", F.greatest("tile", "other"))
-    return _searched(tiled.drop("other", "tiles"), True, "whole-pairs", scratch)
+    return _in_batches(tiled.drop("other", "tiles"), each.agg(F.max("tiles")).first()[0] or 1, True, "whole-pairs", scratch)
 
 
 # ---------------------------------------------------------------- exact check
@@ -523,16 +611,17 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scr
 def labelled(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, n) of every row of (doc_id, text), and (digest, component_id, stays) of every class: the smallest
     doc_id that its links reach, and whether the class is the one that stands for them (the smallest digest under that id)."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     features = scratch.write("features", docs.mapInArrow(_features, FEATURES))
-    heavy = spark.sparkContext.broadcast(heavy_shingles(features))
+    heavy = heavy_shingles(features, scratch)
     known = features.filter("digest IS NOT NULL").groupBy("digest")
     classes = scratch.write("classes", known.agg(F.min("doc_id").alias("doc"), F.min("rep").alias("rep"), F.min("n").alias("n")))
     named = classes.filter("doc IS NOT NULL")
 
-    first = scratch.write("first", docs.mapInArrow(_first_shingles(heavy), "key bigint, rep bigint"))
-    family = scratch.write("family", families(first, named, scratch))
+    members, blocks = blocks_of(docs, named, heavy, scratch)
+    scratch.drop("heavy", "first", *(f"{x}-{i}" for i in range(ROUNDS) for x in ("first", "pool")))
+    family = scratch.write("family", families(members, blocks, named, scratch))
+    scratch.drop("members", "blocks", *(f"{x}-{i}" for i in range(ROUNDS) for x in ("members", "blocks", "touched")))
     each = tokens_of(docs, named, family, scratch, "forest")
     pairs = search(each, scratch)
     links = verified(pairs, docs, named, scratch, "forest")
@@ -540,6 +629,7 @@ def labelled(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     if apart is not None:
         pairs = pairs.unionByName(apart)
         links = links.unionByName(verified(apart, docs, named, scratch, "apart"))
+    scratch.drop("forest-tokens", "leaders", "apart-texts")
     failed = pairs.filter("sure").join(links, ["a", "b"], "left_anti").select(F.col("a").alias("id")).join(family, "id").select("component").distinct()
     failed = scratch.write("failed", failed)
     if not failed.isEmpty():
