@@ -660,6 +660,22 @@ def _digested(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, digest], [*batch.schema.names, "digest"])
 
 
+def without(docs: DataFrame, ids: DataFrame, own: Column, scratch: Scratch) -> DataFrame:
+    """The rows of docs whose id is not in ids (one column, joined by `own`). Texts are shuffled only of the rows that pass a filter of the ids,
+    and only if those are too many to broadcast."""
+    if ids.count() <= ID_BROADCAST:
+        return docs.join(F.broadcast(ids), own, "left_anti")
+    held = key_filter(ids, scratch, "gone-filter")
+
+    @F.arrow_udf("boolean")
+    def may_go(key: pa.Array) -> pa.Array:
+        return pa.array(passes(held.value, key.to_numpy(zero_copy_only=False)))
+
+    mark = spare(docs, "may_go")
+    marked = docs.withColumn(mark, may_go(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0).cast("bigint"))) | F.col("doc_id").isNull())
+    return marked.filter(~F.col(mark)).drop(mark).unionByName(marked.filter(F.col(mark)).drop(mark).join(ids, own, "left_anti"))
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """Of each component the row of the smallest doc_id (of different texts under it the one of the smallest digest, of equal
     ones the one of the least row hash); rows without words all stay.
@@ -673,7 +689,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     by_id = rows.join(labels, "digest", "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(goes).alias("gone"))
     by_id = scratch.write("by-id", by_id.filter("n > 1 OR gone > 0 OR doc_id IS NULL").withColumnRenamed("doc_id", other))
     own = F.col("doc_id").eqNullSafe(F.col(other))
-    kept = docs.join(by_id.select(other), own, "left_anti")
+    kept = without(docs, by_id.select(other), own, scratch)
     several = by_id.filter((F.col("n") > 1) | F.col(other).isNull()).select(other)
     if several.isEmpty():
         return kept

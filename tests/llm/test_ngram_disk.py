@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociflow.llm import common, ngram_join
-from tests.llm.test_operators import brute_components, corpus, frame, importable  # noqa: F401
+from tests.llm.test_operators import brute_components, corpus, frame, importable, repeated  # noqa: F401
 
 
 def shuffle_files(spark):
@@ -88,3 +88,19 @@ def test_texts_in_question_by_filter(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "ID_BROADCAST", 0)
     texts = corpus(3)
     assert found_by(spark, texts, common.Scratch(spark, "t")) == brute_components(texts)
+
+
+def test_stage_shuffles_no_text(spark, monkeypatch):
+    """The rows that go are told by their ids alone, few or many; the others' texts stay where they are."""
+    df = repeated(spark).unionByName(frame(spark, corpus(4)).withColumn("doc_id", F.col("doc_id") + 100))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = ngram_join.keep_one_of_each(df)
+        unique = ngram_join.keep_one_of_each(df.filter("doc_id >= 100"))
+        assert "SortMergeJoin" not in unique._jdf.queryExecution().executedPlan().toString()
+        want = sorted(map(str, kept.collect()))
+        monkeypatch.setattr(ngram_join, "ID_BROADCAST", 0)
+        assert sorted(map(str, ngram_join.keep_one_of_each(df).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
